@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, mixing, quality_rules
+from quarry.llm import chat, language, mixing, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op7_language": language.op7_language,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
