@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, language, mixing, near_duplicates, quality_rules
+from quarry.llm import chat, decontamination, language, mixing, near_duplicates, quality_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op7_language": language.op7_language,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op10_chat_formatting": chat.op10_chat_formatting,
@@ -18,6 +19,7 @@ QUERIES = {
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_near_duplicates": near_duplicates.OP3_SQL,
+    "op5_decontamination": decontamination.OP5_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
 
