@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontamination, language, mixing, near_duplicates, quality_rules
+from quarry.llm import chat, decontamination, language, mixing, near_duplicates, quality_rules, repeated_lines
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -14,12 +14,14 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op7_language": language.op7_language,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_repeated_lines": repeated_lines.op9_repeated_lines,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_near_duplicates": near_duplicates.OP3_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
+    "op9_repeated_lines": repeated_lines.OP9_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
 }
 
