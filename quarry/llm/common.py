@@ -69,3 +69,8 @@ def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         yield i, j
         i = j
+
+
+def small(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """df, marked for a broadcast if it is counted to have few enough rows; otherwise joins with it shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontamination, language, mixing, near_duplicates, quality_rules, repeated_lines
+from quarry.llm import chat, decontamination, language, mixing, near_duplicates, quality_rules, repeated_lines, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_language": language.op7_language,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_repeated_lines": repeated_lines.op9_repeated_lines,
