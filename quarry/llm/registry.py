@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import chat, decontamination, language, mixing, near_duplicates, quality_classifier, quality_rules, repeated_lines, toxicity
+from quarry.llm import chat, decontamination, language, mixing, near_duplicates, privacy, quality_classifier, quality_rules, repeated_lines, toxicity
 
 QUERIES = {
+    "op1_pii": privacy.op1_pii,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
