@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import runs, small, table, text_bytes, written
 from quarry.llm.hashing import grams, split_words
@@ -93,8 +94,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns `keep` of each row with its features. Null and empty texts have features of 0."""
     kept = docs.select(F.col(text).alias("_text"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    return kept.mapInArrow(_measured, f"{fields}, features array<double>")
+    return kept.mapInArrow(_measured, kept.drop("_text").schema.add("features", T.ArrayType(T.DoubleType())))
 
 
 class Model:

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quarry.llm import chat, decontamination, language, mixing, near_duplicates, privacy, quality_classifier, quality_rules, repeated_lines, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_pii": privacy.op1_pii,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_near_duplicates": near_duplicates.op3_near_duplicates,

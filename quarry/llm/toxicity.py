@@ -262,14 +262,17 @@ def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], tex
     else:
         rate = min(0.49, max(0.01, float((y * n).sum()) / max(1, n.sum())))
         w = np.array([np.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
-    kept = docs.select(F.col(text).alias("_text"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[1:])
-    measured = kept.mapInArrow(measure, f"{fields}, {schema}")
+    # what is kept goes as one struct, so that no name of it clashes with ours
+    kept = docs.select(F.col(text).alias("_text"), F.struct(*keep).alias("_row"))
+    fields = kept.select("_row").schema
+    for f in (*FEATURES, "restored"):
+        fields = fields.add(f, "double")
+    measured = kept.mapInArrow(measure, fields)
     total: Column = F.lit(float(w[0]))
     for k, f in enumerate(FEATURES):
         total = total + F.lit(float(w[k + 1])) * F.col(f)
     score = 1 / (1 + F.exp(-total))
-    return measured.select(*keep, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("restored").cast("long").alias("restored"))
+    return measured.select(*(F.col("_row")[k].alias(k) for k in keep if k not in ("score", "predicted", "restored")), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("restored").cast("long").alias("restored"))
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, parts: int, part: int) -> DataFrame:
@@ -281,8 +284,8 @@ def with_labels(docs: DataFrame, labels: DataFrame, parts: int, part: int) -> Da
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted toxic, same columns."""
     labelled = written(with_labels(docs, labels, 5, 0).select("text", "toxic"))
-    scored = score_texts(docs.withColumn("_copy", F.col("text")), labelled, tuple(docs.columns), text="_copy")
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = score_texts(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), labelled, ("_doc",))
+    return scored.where("predicted = 0").select("_doc.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
