@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans import evaluation, lexical
+from quarry.plans import dense, evaluation, lexical
 from quarry.plans.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (lexical, evaluation)
+GROUPS = (lexical, evaluation, dense)
 
 
 def _bound(make: Callable[[Tables], DataFrame]) -> Query:
