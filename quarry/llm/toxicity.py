@@ -161,45 +161,72 @@ class _Restorer:
         return found + restored, len(restored)
 
 
-def _distinct_words(counts: list[tuple[int, int]]):  # noqa: ANN202  a function of batches
-    """(word, toxic, group): distinct words of each labelled text; group is its least shingle, which near copies share."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least shingle of each text, which near copies share."""
+    for batch in batches:
+        data, at = text_bytes(batch.column(0))
+        groups = []
+        for i in range(batch.num_rows):
+            raw = data[at[i] : at[i + 1]]
+            words = split_words(raw, np.array([0, len(raw)]), lower=True).digest
+            groups.append(int(grams(words, min(5, len(words))).min().astype(np.int64)) if len(words) else 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(groups, pa.int64())], names=["text", "toxic", "group"])
+
+
+def _word_counts(counts: list[tuple[int, int]]):  # noqa: ANN202  a function of batches
+    """(word, hits, seen): texts and toxic texts that hold a word, summed over a task or as far as its table may grow."""
+
+    def emptied(table: dict[bytes, list[int]]) -> pa.RecordBatch:
+        words = pa.array([w.decode("utf-8", "replace") for w in table], pa.string())
+        columns = [pa.array([v[k] for v in table.values()], pa.int64()) for k in range(2)]
+        table.clear()
+        return pa.RecordBatch.from_arrays([words, *columns], names=["word", "hits", "seen"])
 
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _Restorer(counts)
+        table: dict[bytes, list[int]] = {}
         for batch in batches:
             data, at = text_bytes(batch.column(0))
-            words, labels, groups = [], [], []
             for i, label in enumerate(batch.column(1).to_pylist()):
-                raw = data[at[i] : at[i + 1]]
-                split = split_words(raw, np.array([0, len(raw)]), lower=True).digest
-                least = int(grams(split, min(5, len(split))).min().astype(np.int64)) if len(split) else 0
-                own = {w for w in restorer.words(raw.tobytes())[0] if 3 <= len(w) <= LONGEST}
-                words += [w.decode("utf-8", "replace") for w in own]
-                labels += [label] * len(own)
-                groups += [least] * len(own)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "toxic": pa.array(labels, pa.int32()), "group": pa.array(groups, pa.int64())})
+                for w in set(restorer.words(data[at[i] : at[i + 1]].tobytes())[0]):
+                    if 3 <= len(w) <= LONGEST:
+                        both = table.setdefault(w, [0, 0])
+                        both[0] += label
+                        both[1] += 1
+                if len(table) > 400_000:
+                    yield emptied(table)
+        yield emptied(table)
 
-    return cut_up
+    return counted
 
 
-def learn_lexicon(labelled: DataFrame, counts: list[tuple[int, int]], text: str = "text", label: str = "toxic") -> DataFrame:
-    """(word, weight) of words that mark toxic texts, from all labelled rows.
+def labelled_texts(docs: DataFrame, labels: DataFrame, parts: int, part: int, text: str = "text", label: str = "toxic") -> DataFrame:
+    """(text, toxic, group, row): labelled documents that aren't held out, as a table in the shared folder. Documents and
+    labels are joined by doc_id; a null id or label joins nothing; repeated ones give a row each."""
+    own = labels.where(~held_out(F.col("doc_id"), parts, part) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("toxic"))
+    joined = docs.select("doc_id", F.col(text).alias("text")).join(small(own), "doc_id").select("text", "toxic")
+    return written(joined.mapInArrow(_grouped, "text string, toxic int, group long").withColumn("row", F.monotonically_increasing_id()))
 
-    Near copies, told by their least shingle, count once for a word. A word is kept if the lower bound (two standard errors) of its share of toxic texts is at least 0.6 and its count is too large for chance over all words tested (Chernoff bound below 1 in 100). weight is its
-    smoothed log odds over the base rate. Rows whose label is null are left out.
+
+def learn_lexicon(labelled: DataFrame, counts: list[tuple[int, int]]) -> DataFrame:
+    """(word, weight) of words that mark toxic texts, from all of labelled_texts().
+
+    Of near copies, told by their least shingle, one counts. A word is kept if the lower bound (two standard errors) of
+    its share of toxic texts is at least 0.6 and its count is too large for chance over all words tested (Chernoff bound
+    below 1 in 100). weight is its smoothed log odds over the base rate.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic")).where("toxic IS NOT NULL")
-    found = rows.mapInArrow(_distinct_words(counts), "word string, toxic int, group long")
-    once = found.groupBy("word", "group").agg(F.max("toxic").alias("toxic"))
-    n = once.groupBy("word").agg(F.sum(F.col("toxic").cast("double")).alias("hits"), F.count("*").cast("double").alias("seen"))
+    one_each = labelled.groupBy("group").agg(F.min("row").alias("row")).select("row")
+    once = labelled.join(small(one_each), "row", "left_semi").select("text", "toxic")
+    n = once.mapInArrow(_word_counts(counts), "word string, hits long, seen long").groupBy("word").agg(F.sum("hits").cast("double").alias("hits"), F.sum("seen").cast("double").alias("seen"))
     n = cut(n.where("seen >= 3"))
-    base = rows.agg(F.avg("toxic").alias("rate"), F.lit(1).alias("one"))
+    base = once.agg(F.avg("toxic").alias("rate"))
     tested = n.agg(F.count("*").alias("tested"))
     share = F.col("hits") / F.col("seen")
     low = (share + 2 / F.col("seen") - 2 * F.sqrt(share * (1 - share) / F.col("seen") + 1 / (F.col("seen") * F.col("seen")))) / (1 + 4 / F.col("seen"))
     at_most_one = F.least(share, F.lit(1 - 1e-9))
     bound = F.col("seen") * (at_most_one * F.log(at_most_one / F.col("rate")) + (1 - at_most_one) * F.log((1 - at_most_one) / (1 - F.col("rate"))))
-    scored = n.join(F.broadcast(base.crossJoin(tested)), F.lit(True))
+    one_row = base.join(tested, F.lit(True))
+    scored = n.join(F.broadcast(one_row), F.lit(True))
     kept = scored.where((low >= 0.6) & (share > F.col("rate")) & (bound > F.log(100 * F.col("tested"))))
     odds = F.log((F.col("hits") + 0.5) / (F.col("seen") - F.col("hits") + 0.5)) - F.log(F.col("rate") / (1 - F.col("rate")))
     return kept.select("word", odds.alias("weight")).orderBy(F.desc("weight"), "word").limit(MOST_WORDS)
@@ -240,9 +267,9 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], text: str = "text", label: str = "toxic") -> DataFrame:
+def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns `keep` of every row of docs with `score` (0 to 1), `predicted` (1 from 0.5 on) and `restored`, the
-    number of restored tokens. labelled: the rows with labels that may be learned from.
+    number of restored tokens. labelled: what labelled_texts() gives of the rows that may be learned from.
 
     The character model counts all of docs; the lexicon counts all labelled rows; the logistic model is fitted on
     MOST_FITTED labelled rows at most, by hash order. Null and empty texts get the score of a text without finds. Without
@@ -250,11 +277,12 @@ def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], tex
     repeated ones too. The lexicon (MOST_WORDS at most) and the trigram table go to the tasks as closures.
     """
     counts = [(r["gram"], r["n"]) for r in character_counts(docs, text).collect()]  # 28 ** 3 rows at most
-    lexicon = {r["word"]: r["weight"] for r in learn_lexicon(labelled, counts, text, label).collect()}
+    lexicon = {r["word"]: r["weight"] for r in learn_lexicon(labelled, counts).collect()}
     schema = ", ".join(f"{f} double" for f in (*FEATURES, "restored"))
     measure = _features(counts, lexicon)
-    fitted = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("text"), "label").limit(MOST_FITTED)
-    seen = fitted.select("text", "label").mapInArrow(measure, f"label int, {schema}").groupBy("label", *FEATURES).count().toArrow()
+    chosen = labelled.select("row").orderBy(F.xxhash64("row")).limit(MOST_FITTED)
+    fitted = labelled.join(small(chosen), "row", "left_semi").select("text", F.col("toxic").alias("label"))
+    seen = fitted.mapInArrow(measure, f"label int, {schema}").groupBy("label", *FEATURES).count().toArrow()
     x = np.column_stack([seen.column(f).to_numpy() for f in FEATURES]) if seen.num_rows else np.zeros((0, 3))
     y, n = seen.column("label").to_numpy(), seen.column("count").to_numpy()
     if len(set(y.tolist())) == 2 and lexicon:
@@ -275,15 +303,9 @@ def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], tex
     return measured.select(*(F.col("_row")[k].alias(k) for k in keep if k not in ("score", "predicted", "restored")), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("restored").cast("long").alias("restored"))
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, parts: int, part: int) -> DataFrame:
-    """Labelled documents that aren't held out."""
-    own = labels.where(~held_out(F.col("doc_id"), parts, part)).select("doc_id", "quality", "toxic")
-    return docs.select("doc_id", "text").join(small(own), "doc_id")
-
-
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows predicted toxic, same columns."""
-    labelled = written(with_labels(docs, labels, 5, 0).select("text", "toxic"))
+    labelled = labelled_texts(docs, labels, 5, 0)
     scored = score_texts(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), labelled, ("_doc",))
     return scored.where("predicted = 0").select("_doc.*")
 
@@ -291,5 +313,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
-    labelled = written(with_labels(docs, table(spark, sf_dir, "labels"), 5, 0).select("text", "toxic"))
+    labelled = labelled_texts(docs, table(spark, sf_dir, "labels"), 5, 0)
     return score_texts(docs, labelled, ("doc_id", "held_out"))
