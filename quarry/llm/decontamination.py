@@ -12,7 +12,6 @@ verification could keep is lost by that.
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ SHINGLE, SIMILAR, DIFFERENT = 5, 75, 100
 #: Hamming radius and blocks of the multi-index. At similarity 0.75 fingerprints differ by 11 of 64 bits with a standard deviation of 3.
 RADIUS, BLOCKS = 22, 8
 #: Words of benchmark that are held by a task at once; a larger benchmark is taken in slices.
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 500_000
 AT_ONCE = 1 << 20
 
 _BITS = 64 // BLOCKS
@@ -63,41 +62,32 @@ def simhash(shingles: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items of one length: their fingerprints, and for each block value the items with a near one there."""
+    """Items of one length: their fingerprints, and for each block and value there the items with a near one."""
 
     items: np.ndarray
     prints: np.ndarray
-    rows: list[dict[int, np.ndarray]]
+    near: np.ndarray
 
     @classmethod
     def of(cls, items: list[int], prints: np.ndarray, radius: int = RADIUS) -> Index:
-        flips = [sum(1 << b for b in bits) for e in range(radius // BLOCKS + 1) for bits in itertools.combinations(range(_BITS), e)]
-        rows: list[dict[int, np.ndarray]] = []
-        for k in range(BLOCKS):
-            near: dict[int, list[int]] = defaultdict(list)
-            for i, p in enumerate(prints.tolist()):
-                value = (p >> (k * _BITS)) & ((1 << _BITS) - 1)
-                for flip in flips:
-                    near[value ^ flip].append(i)
-            rows.append({v: np.array(x) for v, x in near.items()})
-        return cls(np.array(items), prints, rows)
+        values = np.arange(1 << _BITS)
+        flips = np.array([sum(1 << b for b in bits) for e in range(radius // BLOCKS + 1) for bits in itertools.combinations(range(_BITS), e)])
+        close = np.zeros((1 << _BITS, 1 << _BITS), bool)
+        close[values[:, None], values[:, None] ^ flips[None, :]] = True
+        return cls(np.array(items), prints, np.stack([close[:, _block(prints, k)] for k in range(BLOCKS)]))
 
     def within(self, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (row of prints, row of items) within the radius."""
-        found = []
-        for k, near in enumerate(self.rows):
-            values = ((prints >> np.uint64(k * _BITS)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-            order = np.argsort(values, kind="stable")
-            bounds = np.flatnonzero(np.diff(values[order], prepend=-1, append=-1))
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                items = near.get(int(values[order[a]]))
-                if items is not None:
-                    rows = order[a:b]
-                    apart = np.bitwise_count(prints[rows][:, None] ^ self.prints[items][None, :])
-                    x, y = np.nonzero(apart <= radius)
-                    found.append(rows[x] * len(self.items) + items[y])
-        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-        return pairs // max(1, len(self.items)), pairs % max(1, len(self.items))
+        likely = self.near[0][_block(prints, 0)]
+        for k in range(1, BLOCKS):
+            likely |= self.near[k][_block(prints, k)]
+        rows, items = np.nonzero(likely)
+        right = np.bitwise_count(prints[rows] ^ self.prints[items]) <= radius
+        return rows[right], items[right]
+
+
+def _block(prints: np.ndarray, k: int) -> np.ndarray:
+    return ((prints >> np.uint64(k * _BITS)) & np.uint64((1 << _BITS) - 1)).astype(np.int64)
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -129,6 +119,12 @@ class _Benchmark:
             size = len(self.shingles[at[0]])
             joined = np.concatenate([self.shingles[i] for i in at])
             self.lengths[n] = Index.of(at, simhash(joined, np.arange(len(at)) * size, size))
+        # a window can only match an item that it shares a shingle with, so each shingle leads to the lengths of its items
+        self.lengths_of: dict[int, tuple[int, ...]] = {}
+        for shingles, n in zip(self.shingles, self.words, strict=True):
+            for x in set(shingles.tolist()):
+                if n not in self.lengths_of.get(x, ()):
+                    self.lengths_of[x] = (*self.lengths_of.get(x, ()), n)
         self.known = {k: np.unique(np.concatenate(parts)) for k in range(1, SHINGLE + 1) if (parts := [s for s, w in zip(self.shingles, self.words, strict=True) if min(SHINGLE, w) == k])}
         self.filter = {k: np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=1 << 20) > 0 for k, v in self.known.items()}
 
@@ -139,11 +135,15 @@ class _Benchmark:
 
     def matches(self, shingles: np.ndarray, hits: np.ndarray, n_words: int, k: int) -> Iterator[tuple[int, int, int, int, int]]:
         """(item, first word, words, weight in common, weight of the union) of the best window for each item of a document."""
-        for n, index in self.lengths.items():
+        places: dict[int, list[int]] = {}
+        for place, shingle in zip(hits.tolist(), shingles[hits].tolist(), strict=True):
+            for n in self.lengths_of[shingle]:
+                places.setdefault(n, []).append(place)
+        for n, own in places.items():
             if min(SHINGLE, n) != k or n > n_words:
                 continue
-            size = n - k + 1
-            # windows over a shared shingle
+            index, size, hits = self.lengths[n], n - k + 1, np.array(own)
+            # windows over a shingle that they share with an item of their length
             begin = np.unique((hits[:, None] - np.arange(size)[None, :]).ravel()) if len(hits) * size < 4 * len(shingles) else np.arange(len(shingles))
             begin = begin[(begin >= 0) & (begin + size <= len(shingles))]
             if not len(begin):
