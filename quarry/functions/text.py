@@ -83,7 +83,7 @@ def preprocess_document(text: Column, max_len: int = 5_000, min_len: int = 10) -
 def passages(text: Column, size: int = 10, stride: int = 5, max_chars: int = 10_000) -> Column:
     """Windows of `size` sentences every `stride`, the last one that which reaches the end; array of strings."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, max_chars)
-    units = F.filter(F.transform(F.split(head, r"\.[\s]+|\n"), F.trim), lambda s: s != "")
+    units = F.filter(F.transform(F.split(head, r"\.[\s]+|\n"), lambda s: F.trim(s)), lambda s: s != "")
     n = F.size(units)
     last = F.greatest(F.lit(0), F.ceil((n - size) / stride).cast("int"))
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(
