@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans import dense, evaluation, files, lexical, training
+from quarry.plans import dense, evaluation, files, interaction, lexical, training
 from quarry.plans.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (lexical, evaluation, dense, training, files)
+GROUPS = (lexical, evaluation, dense, training, files, interaction)
 
 
 def _bound(make: Callable[[Tables], DataFrame]) -> Query:
