@@ -1,20 +1,22 @@
 """Toxicity by a noisy channel: tokens that look disguised are restored, then words are scored.
 
-A disguised token (digits or signs for letters, letters spaced out, letters repeated) is a lattice of the letters that
-each sign may stand for. Viterbi decoding picks the path that a character trigram model of the corpus and the channel
-make likeliest. Restored and plain words are then looked up in a lexicon learned from labelled rows, and a logistic model
+A token that holds a sign or a repeated letter, or a run of letters spaced out, is a lattice of what each sign may stand
+for; spaces and punctuation are part of it and are read as nothing or as a break between words. Viterbi decoding picks the
+path that a character trigram model of the corpus and the channel make likeliest. Restored and plain words are then looked up in a lexicon learned from labelled rows, and a logistic model
 of what was found gives the score.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import cut, runs, small, table, text_bytes, written
 from quarry.llm.hashing import grams, split_words
@@ -41,9 +43,12 @@ READINGS: dict[str, tuple[tuple[str, float], ...]] = {
     "*": (("", -0.7), ("i", -2.0), ("u", -2.0), ("a", -2.0), ("o", -2.0), ("e", -2.0)),
     "#": (("", -0.7), ("h", -2.0)),
 }
-#: Signs that stand between letters and for nothing.
-SEPARATORS = "._-~^`'\"/\\,:;"
-READINGS |= {c: (("", -0.1),) for c in SEPARATORS}
+#: Signs that stand for nothing or for a break between words, and the blank between spaced letters. A break is " ".
+SEPARATORS = "._-~^`'\"/\\,:;?%&=()[]{}<>"
+READINGS |= {c: (("", -0.1), (" ", -0.5)) for c in SEPARATORS if c not in READINGS}
+READINGS |= {" ": (("", 0.0), (" ", -0.5))}
+#: A sign at the edge of a token may also be punctuation, and a letter or sign that is there twice may stand for one.
+AT_EDGE, DOUBLED = ("", -0.7), -1.0
 
 #: Letters beyond a to z are one symbol of the model; 0 is the edge of a word.
 OTHER, SYMBOLS = 27, 28
@@ -53,14 +58,34 @@ _SYMBOL[128:] = OTHER
 #: Bytes as they are matched: A to Z in lower case, ASCII that is neither letter nor digit as a space.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
-#: Longest token that is decoded; longer ones are keys or addresses, not words.
-LONGEST = 40
-#: A token with a sign between letters, a letter three times running, or four or more single letters in a row.
-_SIGNED = re.compile(rb"(?<![^\s])[^\s]{0,60}[A-Za-z][^A-Za-z\s\x80-\xff]{1,3}[A-Za-z][^\s]{0,60}(?![^\s])|(?<![^\s])[0-9@$!|+(][A-Za-z][^\s]{1,60}(?![^\s])|(?<![^\s])[^\s]{0,60}([A-Za-z])\1\1[^\s]{0,60}(?![^\s])")
-_SPACED = re.compile(rb"(?<![^\s])[^\s](?:[ \t][^\s]){3,40}(?![^\s])")
+#: Letters, digits and signs that a run of spaced letters has at least.
+LEAST_SPACED = 3
+#: What is stripped from tokens before they are looked at: separators without a reading as a letter.
+_AROUND = "".join(c for c in SEPARATORS if c != "(").encode()
+_SIGN, _LETTER, _TWICE = re.compile(rb"[^A-Za-z\x80-\xff]"), re.compile(rb"[A-Za-z\x80-\xff]"), re.compile(rb"([a-z])\1", re.I)
+_PUNCTUATION = set(SEPARATORS) - {"("}
 
-#: Labelled rows from which the lexicon is learned and those the logistic model is fitted on, at most.
-MOST_FITTED, MOST_WORDS = 50_000, 5_000
+#: Labelled rows that the logistic model of three features is fitted on, at most.
+MOST_FITTED = 50_000
+#: Words of a lexicon that is broadcast, at most; a larger one is joined.
+MOST_HELD = 200_000
+#: Longest token, in bytes, whose reading is remembered.
+REMEMBERED = 64
+
+
+#: A reading as text, log probability and symbols.
+Reading = tuple[str, float, tuple[int, ...]]
+_STATES = SYMBOLS * SYMBOLS
+
+
+def _reading(letters: str, cost: float) -> Reading:
+    return letters, cost, tuple(0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else OTHER for c in letters)
+
+
+_SIGNS = {c: tuple(_reading(*x) for x in readings) for c, readings in READINGS.items()}
+_LETTERS = {chr(c): (_reading(chr(c), 0.0),) for c in range(97, 123)}
+#: What read() says of a token that is one plain word.
+_NOTHING: tuple[int, list[bytes]] = 0, []
 
 
 class CharacterModel:
@@ -73,39 +98,60 @@ class CharacterModel:
         pairs = cube.sum(0)
         two = (pairs + 5.0 * one[None, :]) / (pairs.sum(1, keepdims=True) + 5.0)
         three = (cube + 5.0 * two[None, :, :]) / (cube.sum(2, keepdims=True) + 5.0)
-        self.log = np.log(three).tolist()
-
-    def restore(self, token: str) -> str:
-        """The likeliest word behind a token, letters a to z and whatever else has no reading as it is."""
-        steps: list[tuple[tuple[str, float], ...]] = []
+        # by state (the last two symbols) and next symbol; 2.5 is about what a letter costs, so that dropping one gains nothing
+        log = np.log(three)
+        log[:, :, 1:] += 2.5
+        self.log = log.ravel().tolist()
+
+    def restore(self, token: str, fold: bool = True) -> str:
+        """The likeliest word or words behind a token or a spaced run, letters a to z and whatever else has no reading as it
+        is. fold: what is there twice may stand for one, and signs at the edges for nothing."""
+        steps: list[tuple[Reading, ...]] = []
         i, low = 0, token.lower()
         while i < len(low):
-            j = i
-            while j < len(low) and low[j] == low[i]:
+            c, j = low[i], i + 1
+            while j < len(low) and low[j] == c:
                 j += 1
-            c, run = low[i], j - i
-            if c in READINGS:
-                steps += [READINGS[c]] * min(run, 2)
+            run = j - i
+            if c in _SIGNS:
+                readings = _SIGNS[c]
+                if fold and c not in _PUNCTUATION and c != " " and not c.isdigit() and (low[i - 1 : i] in ("", " ")) != (low[j : j + 1] in ("", " ")):
+                    readings = (*readings, _reading(*AT_EDGE))
+                steps.append(readings)
+                if run > 1 and c != " ":
+                    steps.append((*readings, _reading("", DOUBLED)) if fold else readings)
             elif run >= 3:  # a stretched letter stands for one or two
-                steps.append(((c, -0.3), (c + c, -1.5)))
+                steps.append((_reading(c, -0.3), _reading(c + c, -1.5)))
+            elif run == 2:
+                steps.append((_reading(c + c, 0.0), _reading(c, DOUBLED)) if fold else (_reading(c + c, 0.0),))
             else:
-                steps += [((c, 0.0),)] * run
+                steps.append(_LETTERS.get(c) or (_reading(c, 0.0),))
             i = j
-        # the states of a step are the last two symbols; each keeps its best score and text
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # each state keeps its best score and the way to it, a list from its end
+        log = self.log
+        best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for step in steps:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (p, q), (score, text) in best.items():
-                for letters, cost in step:
-                    a, b, total = p, q, score + cost
-                    for c in letters:
-                        s = ord(c) - 96 if "a" <= c <= "z" else OTHER
-                        total += self.log[a][b][s] + 2.5  # about what a letter costs, so that dropping one gains nothing
-                        a, b = b, s
-                    if (a, b) not in after or total > after[a, b][0]:
-                        after[a, b] = total, text + letters
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (score, way) in best.items():
+                for letters, cost, symbols in step:
+                    at, total = state, score + cost
+                    for x in symbols:
+                        if x:
+                            at = at * SYMBOLS + x
+                            total += log[at]
+                            at %= _STATES
+                        elif at:
+                            total += log[at * SYMBOLS]
+                            at = 0
+                    if at not in after or total > after[at][0]:
+                        after[at] = total, ((way, letters) if letters else way)
             best = after
-        return max(((score + self.log[p][q][0], text) for (p, q), (score, text) in best.items()), default=(0.0, ""))[1]
+        way = max(((score + (log[at * SYMBOLS] if at else 0.0), k, way) for k, (at, (score, way)) in enumerate(best.items())), default=(0.0, 0, None))[2]
+        out: list[str] = []
+        while way:
+            way, letters = way
+            out.append(letters)
+        return "".join(reversed(out))
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,29 +183,72 @@ class _Restorer:
         for gram, n in counts:
             cube[gram] = n
         self.model = CharacterModel(cube)
-        self.memory: dict[bytes, bytes] = {}
-
-    def decode(self, token: bytes) -> bytes:
-        if token not in self.memory:
-            if len(self.memory) > 200_000:
+        self.memory: dict[bytes, tuple[int, list[bytes]]] = {}
+        self.decoded: dict[str, list[bytes]] = {}
+
+    def decode(self, token: bytes) -> list[bytes]:
+        """The words behind a token or spaced run that it doesn't show openly."""
+        text = token.decode("utf-8", "replace").lower()
+        if text in self.decoded:
+            return self.decoded[text]
+        shown = set(text.encode().translate(PLAIN).split())
+        found = self.model.restore(text).encode().split()
+        if _SIGN.search(token):  # a doubled letter or a sign at the edge may belong to the word
+            found += [w for w in self.model.restore(text, fold=False).encode().split() if w not in found]
+        hidden = [w for w in found if w not in shown]
+        if len(text) <= REMEMBERED:
+            if len(self.decoded) > 200_000:
+                self.decoded.clear()
+            self.decoded[text] = hidden
+        return hidden
+
+    def read(self, token: bytes) -> tuple[int, list[bytes]]:
+        """What a token is in a spaced run (2 a letter or sign, 1 punctuation, 0 neither), and its restored words."""
+        core = token.strip(_AROUND)
+        signed, twice = not core.isalpha() and _SIGN.search(core), _TWICE.search(core)
+        if len(core) > 2 and not signed and not twice and core[0] < 128:
+            value = _NOTHING
+        else:
+            text = core.decode("utf-8", "replace").lower()
+            solid = {c for c in text if c.isalnum() or ord(c) >= 128}
+            part = 0 if len(solid) > 1 else 2 if core else 1
+            value = part, self.decode(core) if len(core) > 2 and _LETTER.search(core) and (signed or twice) else []
+            value = value if part or value[1] else _NOTHING
+        if len(token) <= REMEMBERED:
+            if len(self.memory) > 400_000:
                 self.memory.clear()
-            self.memory[token] = self.model.restore(token.decode("utf-8", "replace")).encode()
-        return self.memory[token]
+            self.memory[token] = value
+        return value
 
     def words(self, raw: bytes) -> tuple[list[bytes], int]:
         """Words of the text and after them the restored ones; and the number of the latter."""
         found = raw.translate(PLAIN).split()
-        restored = []
-        for m in _SIGNED.finditer(raw):
-            token = m[0].strip(b".,;:?!\"'`#%&*")
-            if 3 <= len(token) <= LONGEST:
-                restored.append(self.decode(token))
-        for m in _SPACED.finditer(raw):
-            token = m[0].translate(None, b" \t")
-            if len(token) <= LONGEST:
-                restored.append(self.decode(token))
+        restored: list[bytes] = []
+        run: list[bytes] = []
+        solid = 0
+        known = self.memory.get
+        for token in raw.split():
+            value = known(token) or self.read(token)
+            if value is _NOTHING and not run:
+                continue
+            part, own = value
+            if own:
+                restored += own
+            if part:
+                run.append(token)
+                solid += part == 2
+            elif run:
+                if solid >= LEAST_SPACED:
+                    restored += self.spaced(run)
+                run, solid = [], 0
+        if solid >= LEAST_SPACED:
+            restored += self.spaced(run)
         return found + restored, len(restored)
 
+    def spaced(self, run: list[bytes]) -> list[bytes]:
+        text = b" ".join(run)
+        return self.decode(text) if _LETTER.search(text) else []
+
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least shingle of each text, which near copies share."""
@@ -189,7 +278,7 @@ def _word_counts(counts: list[tuple[int, int]]):  # noqa: ANN202  a function of
             data, at = text_bytes(batch.column(0))
             for i, label in enumerate(batch.column(1).to_pylist()):
                 for w in set(restorer.words(data[at[i] : at[i + 1]].tobytes())[0]):
-                    if 3 <= len(w) <= LONGEST:
+                    if len(w) >= 3:
                         both = table.setdefault(w, [0, 0])
                         both[0] += label
                         both[1] += 1
@@ -229,18 +318,16 @@ def learn_lexicon(labelled: DataFrame, counts: list[tuple[int, int]]) -> DataFra
     scored = n.join(F.broadcast(one_row), F.lit(True))
     kept = scored.where((low >= 0.6) & (share > F.col("rate")) & (bound > F.log(100 * F.col("tested"))))
     odds = F.log((F.col("hits") + 0.5) / (F.col("seen") - F.col("hits") + 0.5)) - F.log(F.col("rate") / (1 - F.col("rate")))
-    return kept.select("word", odds.alias("weight")).orderBy(F.desc("weight"), "word").limit(MOST_WORDS)
+    return cut(kept.select("word", odds.alias("weight")))
 
 
 #: What the logistic model sees of a text.
 FEATURES = ("found", "weight", "density")
 
 
-def _features(counts: list[tuple[int, int]], lexicon: dict[str, float]):  # noqa: ANN202  a function of batches
-    weights = {w.encode(): v for w, v in lexicon.items()}
-
+def _features(counts: list[tuple[int, int]], lexicon):  # noqa: ANN001, ANN202  a broadcast value, and a function of batches
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _Restorer(counts)
+        restorer, weights = _Restorer(counts), lexicon.value
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             rows = np.zeros((batch.num_rows, 4))
@@ -253,6 +340,39 @@ def _features(counts: list[tuple[int, int]], lexicon: dict[str, float]):  # noqa
     return measured
 
 
+def _listed(counts: list[tuple[int, int]]):  # noqa: ANN202  a function of batches
+    """(at, word, n, words, restored): the words of each text, and once for each, under a null word, their numbers."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = _Restorer(counts)
+        for batch in batches:
+            data, at = text_bytes(batch.column(0))
+            for i, row in enumerate(batch.column(1).to_pylist()):
+                words, restored = restorer.words(data[at[i] : at[i + 1]].tobytes())
+                table = Counter(words)
+                yield pa.RecordBatch.from_pydict({
+                    "at": pa.array([row] * (len(table) + 1), pa.int64()), "word": pa.array([None, *(w.decode("utf-8", "replace") for w in table)], pa.string()),
+                    "n": pa.array([0, *table.values()], pa.int64()), "words": pa.array([len(words)] + [0] * len(table), pa.int64()), "restored": pa.array([restored] + [0] * len(table), pa.int64()),
+                })
+
+    return listed
+
+
+def _measure(rows: DataFrame, counts: list[tuple[int, int]], lexicon: DataFrame, held: bool, fields: T.StructType) -> DataFrame:
+    """rows (a text and other columns) with FEATURES and `restored` for the text, by a broadcast lexicon or by a join."""
+    if held:
+        known = rows.sparkSession.sparkContext.broadcast({r["word"].encode(): r["weight"] for r in lexicon.collect()})
+        return rows.mapInArrow(_features(counts, known), fields)
+    text, *others = rows.columns
+    numbered = written(rows.withColumn("_at", F.monotonically_increasing_id()))
+    listed = numbered.select(text, "_at").mapInArrow(_listed(counts), "at long, word string, n long, words long, restored long")
+    hit = listed.join(lexicon, "word", "left").groupBy("at").agg(
+        F.sum(F.when(F.col("weight").isNotNull(), F.col("n")).otherwise(0)).alias("hits"), F.coalesce(F.sum(F.col("n") * F.col("weight")), F.lit(0.0)).alias("sum"), F.sum("words").alias("words"), F.sum("restored").cast("double").alias("restored")
+    )
+    values = hit.select("at", (F.col("hits") > 0).cast("double").alias("found"), F.log1p("sum").alias("weight"), F.sqrt(F.col("hits") / F.greatest(F.lit(20), "words")).alias("density"), "restored")
+    return numbered.join(values, numbered["_at"] == values["at"]).select(*others, *FEATURES, "restored")
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic regression by Newton's steps, with a ridge on all but the constant."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -267,6 +387,10 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _measures() -> list[T.StructField]:
+    return [T.StructField(f, T.DoubleType()) for f in (*FEATURES, "restored")]
+
+
 def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns `keep` of every row of docs with `score` (0 to 1), `predicted` (1 from 0.5 on) and `restored`, the
     number of restored tokens. labelled: what labelled_texts() gives of the rows that may be learned from.
@@ -274,28 +398,28 @@ def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], tex
     The character model counts all of docs; the lexicon counts all labelled rows; the logistic model is fitted on
     MOST_FITTED labelled rows at most, by hash order. Null and empty texts get the score of a text without finds. Without
     labelled rows of both classes the lexicon is empty and every score is the base rate, 0.5 at most. Rows map one to one,
-    repeated ones too. The lexicon (MOST_WORDS at most) and the trigram table go to the tasks as closures.
+    repeated ones too. The trigram table goes to the tasks as a closure; the lexicon is broadcast if it is counted to have
+    MOST_HELD words or fewer, and joined to the words of the texts otherwise.
     """
     counts = [(r["gram"], r["n"]) for r in character_counts(docs, text).collect()]  # 28 ** 3 rows at most
-    lexicon = {r["word"]: r["weight"] for r in learn_lexicon(labelled, counts).collect()}
-    schema = ", ".join(f"{f} double" for f in (*FEATURES, "restored"))
-    measure = _features(counts, lexicon)
+    lexicon = learn_lexicon(labelled, counts)
+    n_words = lexicon.count()
+    held = n_words <= MOST_HELD
     chosen = labelled.select("row").orderBy(F.xxhash64("row")).limit(MOST_FITTED)
     fitted = labelled.join(small(chosen), "row", "left_semi").select("text", F.col("toxic").alias("label"))
-    seen = fitted.mapInArrow(measure, f"label int, {schema}").groupBy("label", *FEATURES).count().toArrow()
+    fields = T.StructType([T.StructField("label", T.IntegerType()), *_measures()])
+    seen = _measure(fitted, counts, lexicon, held, fields).groupBy("label", *FEATURES).count().toArrow()
     x = np.column_stack([seen.column(f).to_numpy() for f in FEATURES]) if seen.num_rows else np.zeros((0, 3))
     y, n = seen.column("label").to_numpy(), seen.column("count").to_numpy()
-    if len(set(y.tolist())) == 2 and lexicon:
+    if len(set(y.tolist())) == 2 and n_words:
         w = _fit(np.repeat(x, n, axis=0), np.repeat(y, n))
     else:
         rate = min(0.49, max(0.01, float((y * n).sum()) / max(1, n.sum())))
         w = np.array([np.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
     # what is kept goes as one struct, so that no name of it clashes with ours
     kept = docs.select(F.col(text).alias("_text"), F.struct(*keep).alias("_row"))
-    fields = kept.select("_row").schema
-    for f in (*FEATURES, "restored"):
-        fields = fields.add(f, "double")
-    measured = kept.mapInArrow(measure, fields)
+    fields = T.StructType([*kept.select("_row").schema.fields, *_measures()])
+    measured = _measure(kept, counts, lexicon, held, fields)
     total: Column = F.lit(float(w[0]))
     for k, f in enumerate(FEATURES):
         total = total + F.lit(float(w[k + 1])) * F.col(f)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,6 +327,30 @@ def test_toxicity_restores_words(spark, odd, empty):
     assert toxicity.reject_toxic(empty, labels).count() == 0
 
 
+def test_lattices_take_separators_and_signs_anywhere():
+    text = ("you are an idiot and all fools hate that ass of a dumbass but the idiot is a fool " * 50).encode()
+    rows = next(toxicity._trigrams(iter([pa.RecordBatch.from_pydict({"text": pa.array([text])})])))
+    restorer = toxicity._Restorer(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
+    cases = {
+        "i d i o t.": "idiot", "f o o l, he": "fool", '"i d i o t"': "idiot", "a i d i o t": "idiot", "y o u a r e a n i d i o t": "you are an idiot", "i - d - i - o - t": "idiot", "i\nd\n1\no\nt": "idiot",
+        "the " + "y o u a r e a n i d i o t " * 20: "you are an idiot", "you.are.an.id10t": "you are an idiot", "idi07": "idiot", "foo15": "fools", "ha73": "hate", "a55": "ass", "dumb4$$": "dumbass", "iddiioott": "idiot", "idiott": "idiot", "1diot!": "idiot",
+    }
+    for raw, want in cases.items():
+        assert set(want.encode().split()) <= set(restorer.words(raw.encode())[0]), raw
+    assert restorer.words(b"all fools, that (ass) of a dumbass; hate!")[1] <= 1
+
+
+def test_large_lexicons_are_joined(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, 25) + (" nasty" if i % 5 == 0 else "") + (" v i l e" if i % 10 == 0 else "")) for i in range(200)] + [(500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = toxicity.labelled_texts(df, spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int"), 5, 0)
+    read = lambda: {r["doc_id"]: (round(r["score"], 9), r["restored"]) for r in toxicity.score_texts(df, labelled, ("doc_id",)).collect()}
+    held = read()
+    monkeypatch.setattr(toxicity, "MOST_HELD", 0)
+    assert read() == held and len(held) == 201 and len({s for s, _ in held.values()}) > 1
+
+
 def test_hash_of_base_spans_is_of_the_listed_form(spark, tmp_path):
     spark.createDataFrame([(1, "a@b.co é 1.2.3.4"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in privacy.op1_pii(spark, str(tmp_path)).collect()}
