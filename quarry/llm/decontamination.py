@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index over Hamming blocks, and exact verification.
 
-For each length of a benchmark item, every window of a document that has as many words gets a 64-bit SimHash of its
+For each length of a benchmark item, every window of a document that has as many words (the whole document if it has fewer) gets a 64-bit SimHash of its
 five-word shingles, each weighted by its occurrences. The multi-index cuts fingerprints into blocks: two fingerprints
 within the radius differ by at most radius // BLOCKS in some block, so looking up each block's neighbourhood finds all of
 them. Candidates within the radius are verified by the weighted similarity of their shingles.
@@ -140,9 +140,10 @@ class _Benchmark:
             for n in self.lengths_of[shingle]:
                 places.setdefault(n, []).append(place)
         for n, own in places.items():
-            if min(SHINGLE, n) != k or n > n_words:
+            if min(SHINGLE, n) != k:
                 continue
-            index, size, hits = self.lengths[n], n - k + 1, np.array(own)
+            # a document of fewer words than the item is its own only window
+            index, size, hits = self.lengths[n], min(n, n_words) - k + 1, np.array(own)
             # windows over a shingle that they share with an item of their length
             begin = np.unique((hits[:, None] - np.arange(size)[None, :]).ravel()) if len(hits) * size < 4 * len(shingles) else np.arange(len(shingles))
             begin = begin[(begin >= 0) & (begin + size <= len(shingles))]
@@ -155,13 +156,13 @@ class _Benchmark:
                 if DIFFERENT * common >= SIMILAR * union and (i not in best or common * best[i][2] > best[i][1] * union):
                     best[i] = r, common, union
             for i, (r, common, union) in best.items():
-                yield self.ids[i], r, n, common, union
+                yield self.ids[i], r, min(n, n_words), common, union
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", slice_words: int = SLICE_WORDS) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): the best window of a document for each item it leaks.
 
-    A window has as many words as the item, words and case as for near duplicates, and matches at a weighted similarity of
+    A window has as many words as the item, or is the whole document if that has fewer words; words and case as for near duplicates, and matches at a weighted similarity of
     0.75 or more; ties go to the earliest window. Items of fewer than five words are one shingle and match where they
     occur. Items and documents that are null or have no word match nothing. Repeated documents and items give a row each;
     items are told apart by item_id, so equal texts under two ids give two rows. Null ids are carried through. Extra

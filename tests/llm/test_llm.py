@@ -133,6 +133,24 @@ def test_leaks_against_all_windows(spark, odd, empty):
     assert decontamination.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_documents_shorter_than_the_item(spark):
+    rng = random.Random(21)
+    items = [(k, sentence(rng, n).split()) for k, n in enumerate((38, 60, 150, 8))]
+    docs, want = [], {}
+    for k, w in items:
+        for cut in range(1, len(w), max(1, len(w) // 20)):
+            d = len(docs)
+            docs.append((d, " ".join(w[cut:] if d % 2 else w[: len(w) - cut])))
+            n, m = len(w) - 4, len(w) - cut - 4  # all shingles of the document are the item's
+            if m > 0 and 100 * m >= 75 * n:
+                want[d, k] = (round(m / n, 9), 0, len(w) - cut)
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == want and len(want) > 10
+    assert decontamination.remove_leaking(docs, bench).count() == docs.count() - len({d for d, _ in want})
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
