@@ -309,6 +309,14 @@ def test_private_spans_and_redaction(spark, odd, empty):
     assert not privacy.learn(empty).nodes and privacy.find_spans(empty, trees).count() == 0
 
 
+def test_gate_and_secrets_hold_all_that_is_generated():
+    for text in ("write john.smith AT example DOT com", "write john.smith [AT] example [DOT] com", "write john.smith(At)example(Dot)com", "john.smith at example dot com"):
+        assert [k for k, _, _ in privacy.candidates(text)[1]] == ["spelled"] and privacy._MAY_HOLD.search(text.encode()), text
+    for key in ("Ab3/" * 64, "Ab3/" * 65, "Ab3/" * 5000, "k" * 300 + "7", "k" * 5000 + "7" * 300):
+        assert ("secret", 6, 6 + len(key)) in privacy.candidates(f"key = {key} end")[1], len(key)
+    assert not [k for k, _, _ in privacy.candidates("k" * 5000 + " 7")[1] if k == "secret"]
+
+
 def test_quality_from_positives(spark, odd, empty):
     rng = random.Random(7)
     rows = [(i, sentence(rng, 60) if i % 4 else " ".join(w + "%%%" for w in sentence(rng, 60).split())) for i in range(400)]
