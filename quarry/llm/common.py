@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,10 +31,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share, as the session names it. Where it names none, a local session gets one of
+    its own, as in tests; on a cluster that is an error, because other machines would not find the files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-checkpoint-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -47,9 +51,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: for larger tables that are read more than once."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return Scratch(df.sparkSession).written(df)
+
+
+class Scratch:
+    """Parquet tables in the shared folder that go when their job is done with them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/tables/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        """Removes the tables; nothing may read them any more."""
+        files = self.spark._jvm.org.apache.hadoop.fs
+        for path in self.paths:
+            at = files.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = []
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +94,12 @@ def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def small(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
-    """df, marked for a broadcast if it is counted to have few enough rows; otherwise joins with it shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+#: Bytes that a value of each type takes in a broadcast row, about; others count as TEXT_BYTES.
+_WIDTH, _TEXT_BYTES = {"bigint": 8, "int": 8, "double": 8, "boolean": 8, "float": 8}, 64
+
+
+def small(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
+    """df, marked for a broadcast if it is counted to take at most so many bytes in memory, about; otherwise joins with it
+    shuffle. df is read once more for the count, so it should be a table or a checkpoint."""
+    row = 24 + sum(_WIDTH.get(kind, _TEXT_BYTES) for _, kind in df.dtypes)
+    return F.broadcast(df) if df.limit(most_bytes // row + 1).count() <= most_bytes // row else df
