@@ -103,3 +103,17 @@ def small(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
     shuffle. df is read once more for the count, so it should be a table or a checkpoint."""
     row = 24 + sum(_WIDTH.get(kind, _TEXT_BYTES) for _, kind in df.dtypes)
     return F.broadcast(df) if df.limit(most_bytes // row + 1).count() <= most_bytes // row else df
+
+
+def bounded(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """The first `most` rows of df by a hash of the columns `by`, all of them if there are no more. Rows are cut by the value
+    of the hash before they are sorted, so that all tasks together send about `most` rows. df is read once for a count."""
+    order, n = F.xxhash64(F.lit(17), *by), df.count()
+    if n > most:
+        df = df.where(order < F.lit(int(-(2**63) + min(1.0, (most + 8 * most**0.5) / n) * (2**64 - 1024))))
+    return df.orderBy(order, *by).limit(most)
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """docs without the rows whose doc_id is in gone, a written table with one column id. Rows with a null doc_id stay."""
+    return docs.join(small(gone.select(F.col("id").alias("_gone_id"))), docs[doc_id] == F.col("_gone_id"), "left_anti")

@@ -104,3 +104,28 @@ def shingle_lists(words: Words, n: int) -> list[np.ndarray]:
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         out.append(found[a : b - n + 1] if b - a >= n else grams(words.digest[a:b], b - a) if b > a else found[:0])
     return out
+
+
+_STEP = [int(c) for c in constants(2, 23)]
+_run_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _run_powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _run_tables or len(_run_tables[which][0]) < n:
+        both = []
+        for base in (_STEP[which], pow(_STEP[which], -1, 1 << 64)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            both.append(np.multiply.accumulate(steps))
+        _run_tables[which] = both[0], both[1]
+    return _run_tables[which]
+
+
+def run_digests(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit digests of the word sequences from first to before last."""
+    out = []
+    for which in range(2):
+        power, inverse = _run_powers(which, len(words) + 1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)], dtype=np.uint64)))
+        out.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)))
+    return out

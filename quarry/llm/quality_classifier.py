@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import runs, small, table, text_bytes, written
-from quarry.llm.hashing import grams, split_words
+from quarry.llm.common import bounded, runs, small, table, text_bytes, written
+from quarry.llm.hashing import grams, run_digests, split_words
 from quarry.llm.language import held_out
 
 #: Trusted positives and unlabelled texts that the model is fitted on, each at most, by hash order.
@@ -59,14 +59,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     last[1:] = words.digest[1:] == words.digest[:-1]
     last[words.first[:-1][n > 0]] = False
     pairs, eights = grams(words.digest, 2), grams(words.digest, 8)
-    # a line is known by its first three words
+    # a line is known by all its words
     breaks = np.concatenate(([0], np.cumsum(data == 10)))
     line_of = breaks[words.start] if len(words.start) else np.empty(0, int)
     begins = np.ones(len(words.start), bool)
     begins[1:] = line_of[1:] != line_of[:-1]
     begins[words.first[:-1][n > 0]] = True
     begin_at = np.flatnonzero(begins)
-    heads = np.append(grams(words.digest, 3), words.digest[-2:])[begin_at] if len(words.digest) else np.empty(0, np.uint64)
+    heads = run_digests(words.digest, begin_at, np.append(begin_at[1:], len(words.digest)))[0] if len(begin_at) else np.empty(0, np.uint64)
     line_first = np.searchsorted(begin_at, words.first)
     some = np.maximum(1, n)
     longest = np.zeros(len(n))
@@ -92,9 +92,10 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measure(docs: DataFrame, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns `keep` of each row with its features. Null and empty texts have features of 0."""
-    kept = docs.select(F.col(text).alias("_text"), *keep)
-    return kept.mapInArrow(_measured, kept.drop("_text").schema.add("features", T.ArrayType(T.DoubleType())))
+    """The columns `keep` of each row with its features; one of them that is named features is replaced. Null and empty texts
+    have features of 0. Rows map one to one, repeated ones too; an empty table gives an empty result."""
+    kept = docs.select(F.col(text).alias("_text"), *(c for c in keep if c != "features"))
+    return kept.mapInArrow(_measured, T.StructType(kept.schema.fields[1:]).add("features", T.ArrayType(T.DoubleType())))
 
 
 class Model:
@@ -170,7 +171,7 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Model, float]:
 
 
 def _sample(measured: DataFrame, key: str, most: int) -> np.ndarray:
-    rows = measured.orderBy(F.xxhash64(F.lit(17), key), "features").limit(most).select("features").toArrow().column(0)
+    rows = bounded(measured, most, key, "features").select("features").toArrow().column(0)
     flat = rows.combine_chunks()
     return np.asarray(flat.flatten()).reshape(-1, len(FEATURES)) if len(flat) else np.zeros((0, len(FEATURES)))
 

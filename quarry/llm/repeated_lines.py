@@ -1,4 +1,8 @@
-"""Substring deduplication by hashing lines or paragraphs."""
+"""Substring deduplication by hashing sentences, lines or paragraphs.
+
+Units are normalised to their words, digests are grouped over all documents, the earliest occurrence of each stays, and
+neighbouring repeated units of a document are joined into one span of its original text.
+"""
 
 from __future__ import annotations
 
@@ -10,122 +14,123 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import runs, table, text_bytes, written
-from quarry.llm.hashing import constants, mix, split_words
+from quarry.llm.hashing import Words, run_digests, split_words
 
-#: Units of fewer words are left alone: headings, greetings and licence lines repeat in clean documents.
-LEAST_WORDS = 20
+#: Spans of fewer words are left alone: headings, greetings and licence lines repeat in clean documents.
+LEAST_WORDS = 30
 AT_ONCE = 1 << 20
 
-_STEP = [int(c) for c in constants(2, 23)]
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if which not in _tables or len(_tables[which][0]) < n:
-        both = []
-        for base in (_STEP[which], pow(_STEP[which], -1, 1 << 64)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _tables[which] = both[0], both[1]
-    return _tables[which]
-
+#: Bytes that end a sentence if a word ends with one.
+_ENDS = np.isin(np.arange(256), list(b".!?"))
 
-def _digests(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit digests of the word sequences from first to before last."""
-    out = []
-    for which in range(2):
-        power, inverse = _powers(which, len(words) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)], dtype=np.uint64)))
-        out.append(mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64)))
-    return out
 
+def _first_words(data: np.ndarray, words: Words, unit: str) -> np.ndarray:
+    """Numbers of the words that begin a unit: the first of a document, after a line break (a paragraph: after two with
+    nothing but space between), and, if the unit is a sentence, after a word that ends one."""
+    begins = np.zeros(len(words.start), bool)
+    begins[words.first[:-1][words.first[:-1] < len(begins)]] = True
+    breaks = np.concatenate((np.zeros(1, np.int64), np.cumsum(data == 10)))
+    begins[1:] |= breaks[words.start[1:]] - breaks[words.end[:-1]] >= (2 if unit == "paragraph" else 1)
+    if unit == "sentence":
+        begins[1:] |= _ENDS[data[words.end[:-1] - 1]]
+    return np.flatnonzero(begins)
 
-def _borders(data: np.ndarray, offsets: np.ndarray, unit: str) -> np.ndarray:
-    """Byte places at which a unit begins: after a line break, or after a blank line, and at each document."""
-    breaks = np.flatnonzero(data == 10)
-    if unit == "paragraph":
-        breaks = breaks[1:][np.diff(breaks) == 1]
-    return np.unique(np.concatenate((offsets, breaks + 1)))
 
-
-def _units(least_words: int, unit: str):  # noqa: ANN202  a function of batches
+def _units(unit: str):  # noqa: ANN202  a function of batches
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             for i, j in runs(at, AT_ONCE):
                 piece, offsets = data[at[i] : at[j]], at[i : j + 1] - at[i]
                 words = split_words(piece, offsets, lower=True)
-                begin = _borders(piece, offsets, unit)
-                begin = begin[begin < len(piece)]
-                finish = np.append(begin[1:], len(piece))
-                first, last = np.searchsorted(words.start, begin), np.searchsorted(words.start, finish)
-                keep = last - first >= least_words
-                begin, first, last = begin[keep], first[keep], last[keep]
-                finish = words.end[last - 1]  # up to the end of the last word
-                begin = words.start[first]
-                high, low = _digests(words.digest, first, last)
-                owner = np.searchsorted(offsets, begin, "right") - 1
+                first = _first_words(piece, words, unit)
+                last = np.append(first[1:], len(words.start))
+                begin, finish = words.start[first], words.end[last - 1]
+                high, low = run_digests(words.digest, first, last)
+                owner = np.searchsorted(words.first, first, "right") - 1
                 points = np.concatenate((np.zeros(1, np.int64), np.cumsum((piece & 0xC0) != 0x80)))
                 base = points[offsets[owner]]
+                place = np.arange(len(first)) - np.searchsorted(first, words.first)[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(owner + i)), pa.array(points[begin] - base), pa.array(points[finish] - base), pa.array(last - first), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))],
-                    names=["doc_id", "start", "end", "n_words", "high", "low"],
-                )
+                    [
+                        *(batch.column(k).take(pa.array(owner + i)) for k in (1, 2)), pa.array(place),
+                        pa.array(points[begin] - base), pa.array(points[finish] - base), pa.array(last - first), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)),
+                    ],
+                    names=["doc_id", "body", "unit", "start", "end", "n_words", "high", "low"],
+                )
 
     return cut_up
 
 
-def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, unit: str = "line") -> DataFrame:
-    """Every unit that repeats an earlier one: (doc_id, start, end, n_words, first_doc_id, first_start).
+def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, unit: str = "sentence") -> DataFrame:
+    """Every span that repeats what came before: (doc_id, start, end, n_words, n_units, first_doc_id, first_start, body).
+
+    A unit is a sentence (up to a word that ends with a full stop, an exclamation or question mark, or to the end of the
+    line), a line, or a paragraph (what lies between blank lines). It is normalised to its words, A to Z in lower case, so
+    spacing doesn't count. Of equal units that of the least doc_id stays, nulls last, then that which begins first, also
+    within a document; the others are repeats. Neighbouring repeats of a document form one span, which is returned if it
+    has least_words words or more. Offsets are code points of the original text, from the first word to the end of the
+    last, end exclusive; first_doc_id and first_start are the place that the span's first unit repeats; body is the
+    xxhash64 of the text, by which rows of one doc_id with different texts are told apart.
 
-    A unit is a line, or with unit="paragraph" what lies between blank lines. It is normalised to its words, A to Z in
-    lower case, so spacing and line breaks don't count. Offsets are code points of the original text, from the first word
-    to the end of the last, end exclusive. Of equal units the one of the least doc_id stays, nulls last, then the one that
-    begins first, also within a document. Repeated rows of a document have one place and so are one occurrence. Null,
-    empty and short texts have no units; a unit of fewer than least_words words is never returned. Extra columns are left
-    out; an empty table gives an empty result.
+    Repeated rows of a document have one place and so are one occurrence. Null and empty texts have no units. Rows with a
+    null doc_id take part, told apart by their text. Extra columns are left out; an empty table gives an empty result.
 
     Units travel as 128-bit digests. The earliest occurrence is pre-aggregated before the exchange, so a line that a third
     of all documents share is not one task's work; the join back has one row for each digest on one side.
     """
-    schema = "doc_id long, start long, end long, n_words long, high long, low long"
-    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
-    units = written(rows.mapInArrow(_units(least_words, unit), schema))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
+    schema = "doc_id long, body long, unit long, start long, end long, n_words long, high long, low long"
+    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"))
+    units = written(rows.mapInArrow(_units(unit), schema))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "body")
     first = units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = units.join(first, ["high", "low"]).where(F.struct(F.col("first")["no_id"], F.col("first")["doc_id"], F.col("first")["start"]) != place)
-    return again.select(F.col("doc_id").alias(doc_id), "start", "end", "n_words", F.col("first")["doc_id"].alias("first_doc_id"), F.col("first")["start"].alias("first_start")).distinct()
+    again = units.join(first, ["high", "low"]).where(F.col("first") != place)
+    # a document's repeats in order; equal rows of the table are one document
+    own = again.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")))).alias("units"))
+    placed = own.select("doc_id", "body", F.posexplode("units").alias("nth", "u"))
+    spans = placed.groupBy("doc_id", "body", (F.col("u.unit") - F.col("nth")).alias("run")).agg(
+        F.min("u.start").alias("start"), F.max("u.end").alias("end"), F.sum("u.n_words").alias("n_words"), F.count("*").alias("n_units"), F.min("u").alias("u")
+    )
+    return spans.where(F.col("n_words") >= least_words).select(F.col("doc_id").alias(doc_id), "start", "end", "n_words", "n_units", "u.first_doc_id", "u.first_start", "body")
 
 
 def remove_repeats(docs: DataFrame, repeats: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the repeated units cut out of text, and `removed`, their original offsets in order."""
-    spans = repeats.groupBy(F.col(doc_id).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = docs.drop("removed").join(spans, docs[doc_id].eqNullSafe(spans["_id"]), "left").drop("_id")
-    removed = F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    """docs with the repeated spans cut out of text, and `removed`, their original offsets in order.
+
+    repeats is what repeated_units gives for docs. Rows without repeats, with null or empty texts among them, are returned
+    as they are with an empty `removed`; repeated rows are each returned; a column `removed` of docs is replaced, all others
+    are kept whatever their names. An empty table gives an empty result.
+    """
+    spans = repeats.groupBy(F.col(doc_id).alias("id"), "body").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
+    rows = docs.drop("removed").select(F.struct("*").alias("row"))
+    joined = rows.join(spans, F.col("row")[doc_id].eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row")[text]) == F.col("body")), "left")
+    removed, whole = F.coalesce("found", F.array().cast("array<struct<start:bigint,end:bigint>>")), F.col("row")[text]
     ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(removed, lambda s: s["end"]))
-    starts = F.concat(F.transform(removed, lambda s: s["start"]), F.array(F.char_length(text).cast("bigint")))
-    kept = F.zip_with(ends, starts, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int")))
-    return joined.withColumn(text, F.when(F.size(removed) > 0, F.array_join(kept, "")).otherwise(F.col(text))).withColumn("removed", removed)
+    starts = F.concat(F.transform(removed, lambda s: s["start"]), F.array(F.char_length(whole).cast("bigint")))
+    kept = F.zip_with(ends, starts, lambda a, b: F.substring(whole, (a + 1).cast("int"), (b - a).cast("int")))
+    shown = (F.when(F.size(removed) > 0, F.array_join(kept, "")).otherwise(whole).alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != "removed")
+    return joined.select(*shown, removed.alias("removed"))
 
 
 def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of all documents that repeats an earlier line of 20 words or more."""
-    return repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every span of 30 words or more of all documents that repeats earlier sentences or lines."""
+    return repeated_units(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("body")
 
 
 OP9_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
+WITH pieces AS (
+  SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+)*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS p FROM documents)
 ), placed AS (
-  SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
-         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM lines
+  SELECT doc_id, piece, i, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM pieces
 ), units AS (
-  SELECT doc_id, (base + length(line) - length(regexp_replace(line, '^[\x20\x09-\x0D]+', '')))::BIGINT AS start,
-         (base + length(regexp_replace(line, '[\x20\x09-\x0D]+$', '')))::BIGINT AS "end", len(words)::BIGINT AS n_words, array_to_string(words, ' ') AS unit
-  FROM placed WHERE len(words) >= 20
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth, start, start + length(piece) AS "end", len(words) AS n_words, array_to_string(words, ' ') AS unit FROM (
+    SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM placed) WHERE len(words) > 0
 ), ranked AS (
   SELECT *, first(doc_id) OVER (PARTITION BY unit ORDER BY doc_id, start) AS first_doc_id, first(start) OVER (PARTITION BY unit ORDER BY doc_id, start) AS first_start FROM units
+), again AS (
+  SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM ranked WHERE NOT (doc_id = first_doc_id AND start = first_start)
 )
-SELECT doc_id, start, "end", n_words, first_doc_id, first_start FROM ranked WHERE NOT (doc_id = first_doc_id AND start = first_start)
+SELECT doc_id, min(start) AS start, max("end") AS "end", sum(n_words)::BIGINT AS n_words, count(*) AS n_units, arg_min(first_doc_id, nth) AS first_doc_id, arg_min(first_start, nth) AS first_start
+FROM again GROUP BY doc_id, run HAVING sum(n_words) >= 30
 """

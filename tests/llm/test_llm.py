@@ -170,30 +170,68 @@ def test_simhash_counts_bits():
         assert got.tolist() == want
 
 
-def brute_units(rows, least):
+def brute_spans(rows, least, unit="sentence"):
+    """Spans by going through the documents in order and remembering each unit in a dict."""
     seen, out = {}, set()
     for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        at = 0
-        for line in (t or "").split("\n"):
-            w = words(line.lower() if line.isascii() else line)
-            if len(w) >= least:
-                start = at + len(line) - len(line.lstrip(" \t\r\x0b\x0c"))
-                key = tuple(w)
-                if key in seen and seen[key] != (d, start):
-                    out.add((d, start, at + len(line.rstrip(" \t\r\x0b\x0c")), *seen[key]))
-                seen.setdefault(key, (d, start))
-            at += len(line) + 1
+        units, before = [], None
+        for m in re.finditer("[^\x20\x09-\x0d]+", t or ""):
+            breaks = t[before.end() : m.start()].count("\n") if before else 9
+            if breaks >= (2 if unit == "paragraph" else 1) or (unit == "sentence" and before.group()[-1] in ".!?"):
+                units.append([])
+            units[-1].append(m)
+            before = m
+        run = []
+        for u in [*units, []]:
+            key = tuple(w.group().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in u)
+            if u and seen.setdefault(key, (d, u[0].start())) != (d, u[0].start()):
+                run.append((u, *seen[key]))
+            else:
+                if sum(len(u) for u, *_ in run) >= least:
+                    out.add((d, run[0][0][0].start(), run[-1][0][-1].end(), sum(len(u) for u, *_ in run), len(run), *run[0][1:]))
+                run = []
     return out
 
 
-def test_repeated_lines(odd, empty):
+def spans_of(df):
+    return {tuple(r[c] for c in ("doc_id", "start", "end", "n_words", "n_units", "first_doc_id", "first_start")) for r in df.collect()}
+
+
+def test_repeated_spans(odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
-    got = repeated_lines.repeated_units(odd.where("doc_id IS NOT NULL"))
-    assert {(r["doc_id"], r["start"], r["end"], r["first_doc_id"], r["first_start"]) for r in got.collect()} == brute_units(rows, 20)
-    clean = repeated_lines.remove_repeats(odd.dropDuplicates(["doc_id"]), got).where("doc_id = 12").first()
-    assert len(clean["removed"]) == 2 and len(words(clean["text"])) == 30
+    named = odd.where("doc_id IS NOT NULL")
+    for unit in ("sentence", "line", "paragraph"):
+        got = repeated_lines.repeated_units(named, unit=unit)
+        assert spans_of(got) == brute_spans(rows, 30, unit) and got.count() == len(spans_of(got))
+    got = repeated_lines.repeated_units(named)
+    clean = repeated_lines.remove_repeats(odd, got).where("doc_id = 12").first()
+    assert len(clean["removed"]) == 1 and len(words(clean["text"])) == 30
+    # of the rows with a null doc_id one repeats a text, the other nothing
+    assert [r["first_doc_id"] for r in repeated_lines.repeated_units(odd).where("doc_id IS NULL").collect()] == [5]
     assert repeated_lines.repeated_units(empty).count() == 0
-    assert repeated_lines.repeated_units(odd, unit="paragraph").count() > 0
+    assert repeated_lines.remove_repeats(empty, got).count() == 0
+
+
+def test_repeated_spans_of_wrapped_and_embedded_passages(spark):
+    rng = random.Random(8)
+    passage = ". ".join(sentence(rng, 14) for _ in range(5)) + "."
+    rows = []
+    for i in range(12):
+        lines = [sentence(rng, rng.randint(3, 30)) + rng.choice(".!?,") for _ in range(6)]
+        lines.insert(rng.randint(0, 6), passage if i % 3 == 0 else passage.replace(". ", ".\n\n  ") if i % 3 == 1 else sentence(rng, 40))
+        rows.append((i, rng.choice((" ", "\n")).join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = repeated_lines.repeated_units(docs)
+    assert spans_of(got) == brute_spans(rows, 30)
+    assert {r["doc_id"] for r in got.collect()} == {i for i in range(1, 12) if i % 3 != 2}
+
+
+def test_removal_keeps_clashing_columns(spark):
+    text = "one sentence with quite a few words in it that is said twice over and over again by many a text of this very small table indeed and so on."
+    docs = spark.createDataFrame([(1, text, 7, "b", "r"), (2, "Own. " + text, 8, "c", "s"), (2, "Own. " + text, 8, "c", "s")], "doc_id long, text string, id int, body string, removed string")
+    got = repeated_lines.remove_repeats(docs, repeated_lines.repeated_units(docs, least_words=20))
+    assert got.columns == ["doc_id", "text", "id", "body", "removed"]
+    assert sorted((r["doc_id"], r["text"], r["id"], r["body"], len(r["removed"])) for r in got.collect()) == [(1, text, 7, "b", 0), (2, "Own. ", 8, "c", 1), (2, "Own. ", 8, "c", 1)]
 
 
 def test_rule_ledger(odd, empty):
