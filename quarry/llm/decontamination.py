@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import runs, table, text_bytes
+from quarry.llm.common import runs, table, text_bytes, without, written
 from quarry.llm.hashing import grams, split_words
 
 #: Words of a shingle; a window matches an item if 100 times the weight of what they share is at least 75 times that of what either has.
@@ -217,9 +217,10 @@ def _searcher(known):  # noqa: ANN001, ANN202  a broadcast value, and a function
 
 def remove_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs (doc_id, text and any other columns) without the documents that leak an item. Rows of one doc_id go together;
-    rows with a null doc_id are kept if their text leaks nothing."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaking")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leaking"]), "left_anti")
+    rows with a null doc_id can't be told apart by it and stay. Repeated rows stay or go together; extra columns are kept whatever
+    their names; an empty table gives an empty result. The texts aren't shuffled unless the ids that go are very many."""
+    leaks = written(find_leaks(docs, benchmark).select(F.col("doc_id").alias("id")).where("id IS NOT NULL").distinct())
+    return without(docs, leaks)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,25 +230,27 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+  SELECT doc_id, words, len(words) AS m FROM (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents)
 ), b AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM benchmark
-), bs AS (
-  SELECT item_id, len(words) AS n, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) AS gram FROM b WHERE len(words) >= 5
+  SELECT item_id, words, len(words) AS n, least(len(words), 5) AS k FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM benchmark) WHERE len(words) > 0
 ), bw AS (
-  SELECT item_id, n, gram, count(*) AS w FROM bs GROUP BY ALL
+  SELECT item_id, n, k, gram, count(*) AS w FROM (SELECT item_id, n, k, unnest(list_transform(range(1, n - k + 2), lambda i: array_to_string(words[i : i + k - 1], ' '))) AS gram FROM b) GROUP BY ALL
 ), ds AS (
-  SELECT doc_id, len(words) AS m, i, array_to_string(words[i : i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)
+  SELECT doc_id, m, k, i, array_to_string(words[i : i + k - 1], ' ') AS gram FROM (SELECT doc_id, words, m, k, unnest(range(1, m - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b) WHERE m >= k)
 ), hits AS (
-  SELECT doc_id, m, i, item_id, n, gram, w FROM ds JOIN bw USING (gram)
+  SELECT doc_id, m, i, item_id, n, least(n, m) AS size, k, gram, w FROM ds JOIN bw USING (k, gram)
 ), begins AS (
-  SELECT DISTINCT doc_id, item_id, n, i - k AS f FROM hits, range(60) AS o(k) WHERE k <= n - 5 AND i - k >= 1 AND i - k + n - 1 <= m
+  SELECT DISTINCT doc_id, item_id, n, size, k, unnest(range(greatest(1, i - size + k), least(i, m - size + 1) + 1)) AS f FROM hits
 ), common AS (
-  SELECT doc_id, item_id, n, f, sum(least(c, w)) AS common FROM (
-    SELECT doc_id, item_id, begins.n AS n, f, gram, w, count(*) AS c FROM begins JOIN hits USING (doc_id, item_id) WHERE i BETWEEN f AND f + begins.n - 5 GROUP BY ALL
+  SELECT doc_id, item_id, n, size, k, f, sum(least(c, w)) AS common FROM (
+    SELECT doc_id, item_id, begins.n AS n, begins.size AS size, begins.k AS k, f, gram, w, count(*) AS c FROM begins JOIN hits USING (doc_id, item_id) WHERE i BETWEEN f AND f + begins.size - begins.k GROUP BY ALL
   ) GROUP BY ALL
+), alike AS (
+  SELECT *, (n - k + 1) + (size - k + 1) - common AS whole FROM common
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common DESC, f) AS place FROM common WHERE 100 * common >= 75 * (2 * (n - 4) - common)
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common DESC, f) AS place FROM alike WHERE 100 * common >= 75 * whole
 )
-SELECT doc_id, item_id, common / (2 * (n - 4) - common) AS similarity, (f - 1)::BIGINT AS first_word, n::BIGINT AS n_words FROM best WHERE place = 1
+SELECT doc_id, item_id, common / whole AS similarity, (f - 1)::BIGINT AS first_word, size::BIGINT AS n_words FROM best WHERE place = 1
 """
