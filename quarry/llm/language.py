@@ -33,6 +33,10 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+#: Grams that a task counts before it gives them out.
+MOST_HELD = 2_000_000
+
+
 def _stream(raw: bytes) -> np.ndarray:
     """Letters of a text as lower-case code points, words parted and surrounded by one EDGE; empty without letters.
     Letters beyond the basic plane count as themselves, so scripts there are told apart too."""
@@ -92,7 +96,7 @@ def _top(grams: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gram counts by language of each task, merged as they come so that a task holds one table a language."""
+    """Gram counts by language of each task, merged as they come, and given out whenever they are more than MOST_HELD."""
     merged: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(lang: str, parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -101,6 +105,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
         merged[lang] = grams, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
 
+    def emptied() -> Iterator[pa.RecordBatch]:
+        for lang, (grams, counts) in merged.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams), "n": pa.array(counts)})
+        merged.clear()
+
     for batch in batches:
         data, at = text_bytes(batch.column(0))
         held: dict[str, list] = {}
@@ -112,8 +121,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     add(lang, held.pop(lang))
         for lang, parts in held.items():
             add(lang, parts)
-    for lang, (grams, counts) in merged.items():
-        yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(grams), "n": pa.array(counts)})
+        if sum(len(grams) for grams, _ in merged.values()) > MOST_HELD:
+            yield from emptied()
+    yield from emptied()
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> DataFrame:
@@ -122,7 +132,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", size: int
     rows = labelled.select(F.col(text).cast("binary").alias("text"), F.col(lang).alias("lang")).where("lang IS NOT NULL")
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).select("lang", "gram", "place")
+    # a plain row_number() <= size is cut within each task before a language's grams meet
+    return counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size).select("lang", "gram", (F.col("nth") - 1).alias("place"))
 
 
 def _profiles(rows: list, size: int) -> tuple[list[str], np.ndarray, np.ndarray]:

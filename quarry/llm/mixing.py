@@ -18,6 +18,8 @@ BLOCK_TOKENS, LEAST_SLOTS = 1024, 20_000
 PHI, UNIT = 2654435769, 1 << 32
 #: Chunks in which ranks and running sums are taken, so that no source is sorted by one task.
 CHUNKS = 4096
+#: Equal parts of [0, 1) by which a slot finds its source.
+SLICES = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MOST_PASSES) -> DataFrame:
@@ -69,8 +71,11 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     spark = plan.sparkSession
     width = max(1, -(-slots // CHUNKS))
     made = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % UNIT) * PHI % UNIT).alias("point"), F.floor(F.col("id") / width).alias("chunk"))
-    shares = F.broadcast(plan.select("source_no", "low", "high"))
-    placed = made.join(shares, (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("slot", "chunk", "source_no")
+    # an equal join by the bucket of the point; a source is in each bucket that its share reaches, at most SLICES + sources rows
+    slice_of = lambda c: F.floor(c / (UNIT // SLICES))
+    shares = plan.where("low < high").select("source_no", "low", "high", F.explode(F.sequence(slice_of(F.col("low")), slice_of(F.col("high") - 1))).alias("slice"))
+    joined = made.withColumn("slice", slice_of(F.col("point"))).join(F.broadcast(shares), "slice")
+    placed = joined.where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("slot", "chunk", "source_no")
     return _running(placed, ["source_no"], "chunk", ["slot"], F.lit(1), "rank").drop("chunk")
 
 

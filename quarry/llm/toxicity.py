@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import cut, runs, small, table, text_bytes, written
+from quarry.llm.common import bounded, cut, runs, small, table, text_bytes, written
 from quarry.llm.hashing import grams, split_words
 from quarry.llm.language import held_out
 
@@ -405,8 +405,8 @@ def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], tex
     lexicon = learn_lexicon(labelled, counts)
     n_words = lexicon.count()
     held = n_words <= MOST_HELD
-    chosen = labelled.select("row").orderBy(F.xxhash64("row")).limit(MOST_FITTED)
-    fitted = labelled.join(small(chosen), "row", "left_semi").select("text", F.col("toxic").alias("label"))
+    chosen = bounded(labelled.select("row"), MOST_FITTED, "row")
+    fitted = labelled.join(F.broadcast(chosen), "row", "left_semi").select("text", F.col("toxic").alias("label"))
     fields = T.StructType([T.StructField("label", T.IntegerType()), *_measures()])
     seen = _measure(fitted, counts, lexicon, held, fields).groupBy("label", *FEATURES).count().toArrow()
     x = np.column_stack([seen.column(f).to_numpy() for f in FEATURES]) if seen.num_rows else np.zeros((0, 3))
