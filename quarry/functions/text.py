@@ -17,8 +17,8 @@ SUFFIXES = (("ing", 3), ("ed", 2), ("s", 1))
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores that are two or more of a to z, in order, with repeats."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(found, lambda t: F.regexp_like(t, F.lit("^[a-z]{2,}$")))
+    whole = r"(?<![\p{L}\p{N}_])[a-z]{2,}+(?![\p{L}\p{N}_])"  # one pattern with borders, so that no token is looked at twice
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(whole), F.lit(0))
 
 
 def stem(token: Column) -> Column:
@@ -40,11 +40,16 @@ def analyze(df: DataFrame, key: str, text: str, stopwords: Sequence[str] = STOPW
     return found.select(key, "pos", F.col("token").alias("form"), stem(F.col("token")).alias("stem")).where("stem != ''")
 
 
-def doc_text(raw: Column, title: Column | None = None, body: Column | None = None, max_chars: int = 50_000) -> Column:
+def _head(text: Column, most: int | None) -> Column:
+    """The first characters, or the whole text."""
+    return text if most is None else F.substring(text, 1, most)
+
+
+def doc_text(raw: Column, title: Column | None = None, body: Column | None = None, max_chars: int | None = 50_000) -> Column:
     """Text of a document: the contents if there are any, else title and body joined by a space; null if nothing is left."""
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     joined = F.concat_ws(" ", *(blank(c) for c in (title, body) if c is not None))
-    return F.nullif(F.substring(F.coalesce(blank(raw), F.trim(joined)), 1, max_chars), F.lit(""))
+    return F.nullif(_head(F.coalesce(blank(raw), F.trim(joined)), max_chars), F.lit(""))
 
 
 def query_text(text: Column, title: Column, description: Column) -> Column:
@@ -64,25 +69,26 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈ
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
-def clean_text(text: Column, mode: str = "ascii") -> Column:
-    """mode ascii: at most 100,000 characters, marks removed, printable ASCII only, single spaces, under 3 characters empty;
-    mode control: at most 50,000 characters, control characters become spaces, single spaces."""
+def clean_text(text: Column, mode: str = "ascii", max_chars: int | None = None) -> Column:
+    """The first max_chars characters (100,000 and 50,000 are usual), if given. mode ascii: marks removed, printable ASCII only, single spaces, under 3 characters empty;
+    mode control: control characters become spaces, single spaces."""
     if mode == "ascii":
-        plain = F.regexp_replace(F.translate(F.substring(F.coalesce(text, F.lit("")), 1, 100_000), MARKED, PLAIN), r"[^\x20-\x7E\s]", "")
+        plain = F.regexp_replace(F.translate(_head(F.coalesce(text, F.lit("")), max_chars), MARKED, PLAIN), r"[^\x20-\x7E\s]", "")
         out = F.trim(F.regexp_replace(plain, r"\s+", " "))
         return F.when(F.length(out) < 3, "").otherwise(out)
-    spaced = F.regexp_replace(F.substring(F.coalesce(text, F.lit("")), 1, 50_000), r"[\x00-\x1F\x7F-\x{9F}]", " ")
+    spaced = F.regexp_replace(_head(F.coalesce(text, F.lit("")), max_chars), r"[\x00-\x1F\x7F-\x{9F}]", " ")
     return F.trim(F.regexp_replace(spaced, r"\s+", " "))
 
 
-def preprocess_document(text: Column, max_len: int = 5_000, min_len: int = 10) -> Column:
-    cut = F.substring(clean_text(text, "ascii"), 1, max_len)
+def preprocess_document(text: Column, max_len: int | None = 5_000, min_len: int = 10) -> Column:
+    """Cleaned text of at most max_len characters, if given; empty if it is shorter than min_len."""
+    cut = _head(clean_text(text, "ascii"), max_len)
     return F.when(F.length(cut) < min_len, "").otherwise(cut)
 
 
-def passages(text: Column, size: int = 10, stride: int = 5, max_chars: int = 10_000) -> Column:
+def passages(text: Column, size: int = 10, stride: int = 5, max_chars: int | None = 10_000) -> Column:
     """Windows of `size` sentences every `stride`, the last one that which reaches the end; array of strings."""
-    head = F.substring(F.coalesce(text, F.lit("")), 1, max_chars)
+    head = _head(F.coalesce(text, F.lit("")), max_chars)
     units = F.filter(F.transform(F.split(head, r"\.[\s]+|\n"), lambda s: F.trim(s)), lambda s: s != "")
     n = F.size(units)
     last = F.greatest(F.lit(0), F.ceil((n - size) / stride).cast("int"))

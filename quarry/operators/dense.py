@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH, PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.samples import bounded
 from quarry.functions.scores import top_k
+from quarry.functions.text import tokens
 from quarry.functions.vectors import by_dimension, l2norm, mean_vector, norm, similarity, sum_vector
+from quarry.operators.evaluation import evaluate
 
 #: Queries that are sent to all tasks at once, at most; more are taken in blocks.
 BLOCK = 10_000
@@ -54,23 +57,41 @@ def ivf_build(docs: DataFrame, lists: int, seed: int = 42, most_trained: int = 1
     """docs with their cell, and the cell centres. K-means learns from at most most_trained vectors, by hash order; every
     vector is assigned to a cell."""
     ml = docs.withColumn("_v", array_to_vector(l2norm(F.col("v"))))
-    sample = ml.orderBy(F.xxhash64("docid")).limit(most_trained)
+    sample = bounded(ml, most_trained, "docid")
     model = KMeans(k=lists, seed=seed, featuresCol="_v", predictionCol="cell", maxIter=15).fit(sample)
     return model.transform(ml).drop("_v"), model.clusterCenters()
 
 
+def _centre_table(spark: SparkSession, centres: list) -> DataFrame:
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "docid long, v array<double>")
+
+
+def probes_for(queries: DataFrame, indexed: DataFrame, centres: list, k: int = 10, target: float = 0.95, most: int = 200) -> int:
+    """Cells to probe so that a share `target` of the exact k nearest is found, measured on `most` queries at most."""
+    sample = bounded(queries, most, "qid")
+    nearest = exact_knn(sample, indexed, k).join(indexed.select("docid", "cell"), "docid")
+    order = exact_knn(sample, _centre_table(queries.sparkSession, centres), len(centres)).select("qid", F.col("docid").cast("int").alias("cell"), F.col("rank").alias("nth"))
+    needed = nearest.join(order, ["qid", "cell"]).agg(F.percentile("nth", F.lit(target)).alias("n")).first()["n"]
+    return max(1, -int(-(needed or 1) // 1))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, recall): the share of the exact results that an approximate search has found."""
+    met = exact.select("qid", "docid").join(found.select("qid", "docid", F.lit(1).alias("hit")), ["qid", "docid"], "left")
+    return met.agg(F.count_distinct("qid").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 def ivf_search(queries: DataFrame, indexed: DataFrame, centres: list, k: int = 10, probes: int = 8) -> DataFrame:
     """Best k by cosine among the documents of each query's nearest cells. The centres are at most 4,096 rows."""
-    spark = queries.sparkSession
-    table = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "docid long, v array<double>")
-    near = exact_knn(queries, table, probes).select("qid", F.col("docid").cast("int").alias("cell"))
+    near = exact_knn(queries, _centre_table(queries.sparkSession, centres), probes).select("qid", F.col("docid").cast("int").alias("cell"))
     probed = near.join(queries.select("qid", F.col("v").alias("q")), "qid")
     met = indexed.join(probed, "cell").select("qid", "docid", F.round(similarity(F.col("q"), F.col("v")), 6).alias("score"))
     return top_k(met, k)
 
 
-def lsh_knn(queries: DataFrame, docs: DataFrame, k: int = 10, width: float = 1.5, tables: int = 12, within: float = 1.3, seed: int = 42) -> DataFrame:
-    """Best k among the documents that share a random-projection bucket with the query and lie within a distance."""
+def lsh_knn(queries: DataFrame, docs: DataFrame, k: int = 10, width: float = 0.5, tables: int = 16, within: float = 2.1, seed: int = 42) -> DataFrame:
+    """Best k among the documents that share a random-projection bucket with the query. Unit vectors are at most 2
+    apart, so the distance leaves none of them out; narrower buckets look at fewer documents and need more tables."""
     as_ml = lambda df: df.withColumn("_v", array_to_vector(l2norm(F.col("v"))))
     model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=width, numHashTables=tables, seed=seed).fit(as_ml(docs))
     met = model.approxSimilarityJoin(as_ml(queries.select("qid", "v")), as_ml(docs.select("docid", "v")), within, distCol="_d")
@@ -119,22 +140,62 @@ def vector_prf(run: DataFrame, queries: DataFrame, docs: DataFrame, n: int = 3,
     return rescore(run.where(F.col("rank") <= depth), prf_vectors(queries, run, docs, n, how), docs, depth, kind)
 
 
-def importance(features: DataFrame, alpha: float = 0.5, beta: float = 0.5, mode: str = "both", squash: bool = False) -> DataFrame:
+def importance(features: DataFrame, alpha: float = 0.5, beta: float = 0.5, mode: str = "both", squash: bool = False, digits: int | None = 6) -> DataFrame:
     """features (rm_weight, semantic) with weight: alpha times the first plus beta times the second, or one of them alone."""
     a, b = (1 / (1 + F.exp(-F.lit(x))) if squash else F.lit(x) for x in (alpha, beta))
     parts = {"both": a * F.col("rm_weight") + b * F.col("semantic"), "rm3_only": a * F.col("rm_weight"), "cosine_only": b * F.col("semantic")}
-    return features.withColumn("weight", F.round(parts[mode], 6))
+    return features.withColumn("weight", parts[mode] if digits is None else F.round(parts[mode], digits))
 
 
-def enhance(queries: DataFrame, weighted: DataFrame, terms: DataFrame, lam: float = 0.5, first: int = 15) -> DataFrame:
-    """(qid, v): (1 - lam) q + lam times the weighted mean of the vectors of the first terms; the query where the weights are
-    nothing. weighted: (qid, term, weight, place); terms: (term, v)."""
-    used = weighted.where(F.col("place") <= first).select("qid", "term", "weight").join(terms.select("term", "v"), "term")
-    total = used.groupBy("qid").agg(F.sum("weight").alias("total"))
-    summed = by_dimension(used.select("qid", "weight", "v"), ["qid"], F.col("weight") * F.col("x"), how="sum").withColumnRenamed("v", "s")
-    joined = queries.select("qid", "v").join(summed, "qid", "left").join(total, "qid", "left")
+def enhance(queries: DataFrame, weighted: DataFrame, terms: DataFrame, lam: float | Column = 0.5, first: int = 15, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """(keys, v): (1 - lam) q + lam times the weighted mean of the vectors of the first terms; the query where the weights are
+    nothing. weighted: (keys, term, weight, place); terms: (term, v); lam may be a column of queries."""
+    by, lam = list(keys), lam if isinstance(lam, Column) else F.lit(lam)
+    used = weighted.where(F.col("place") <= first).select(*by, "term", "weight").join(terms.select("term", "v"), "term")
+    total = used.groupBy(*by).agg(F.sum("weight").alias("total"))
+    summed = by_dimension(used.select(*by, "weight", "v"), by, F.col("weight") * F.col("x"), how="sum").withColumnRenamed("v", "s")
+    joined = queries.join(summed, by, "left").join(total, by, "left")
     mixed = F.transform(F.zip_with("v", "s", lambda q, s: F.struct(q.alias("q"), s.alias("s"))), lambda c: (1 - lam) * c["q"] + lam * c["s"] / F.col("total"))
-    return joined.select("qid", F.when(F.col("total") > 1e-8, mixed).otherwise(F.col("v")).alias("v"))
+    return joined.select(*by, F.when(F.col("total") > 1e-8, mixed).otherwise(F.col("v")).alias("v"))
+
+
+def fit_weights(run: DataFrame, queries: DataFrame, features: DataFrame, terms: DataFrame, docs: DataFrame, qrels: DataFrame, grid: list[tuple[float, float, float]], metric: str = "ndcg_10") -> DataFrame:
+    """(alpha, beta, lam, value, n, best): the metric of the run reranked by the query of every setting of a grid, in one job.
+
+    Settings are a small table that queries and their term features are multiplied by; candidates are scored once for each
+    setting, where their vectors lie. best marks the greatest value; ties are all marked.
+    """
+    settings = F.broadcast(run.sparkSession.createDataFrame([(i, *g) for i, g in enumerate(grid)], "cfg int, alpha double, beta double, lam double"))
+    weight = F.round(F.col("alpha") * F.col("rm_weight") + F.col("beta") * F.col("semantic"), 6)
+    weighted = features.join(settings, F.lit(True)).select("cfg", "qid", "term", "place", weight.alias("weight"))
+    asked = queries.select("qid", "v").join(settings, F.lit(True))
+    mixed = enhance(asked, weighted, terms, F.col("lam"), keys=("cfg", "qid")).withColumnRenamed("v", "q")
+    scored = run.select("qid", "docid").join(docs.select("docid", "v"), "docid").join(mixed, "qid").select("cfg", "qid", "docid", F.round(similarity(F.col("q"), F.col("v")), 6).alias("score"))
+    values = evaluate(scored, qrels, (metric,), ("cfg",)).join(settings, "cfg")
+    return values.select("alpha", "beta", "lam", "value", "n", (F.col("value") == F.max("value").over(W.partitionBy())).alias("best"))
+
+
+def hashed_terms(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
+    """(key, v): a text's tokens counted into `dim` buckets by hash, with signs, at length 1; zeros without tokens. The
+    encoder that is used where no model is supplied: it needs no training and runs on plain columns."""
+    hashed = F.md5("token")
+    number = lambda a, n: F.conv(F.substring(hashed, a, n), 16, 10).cast("int")
+    cells = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, (number(1, 4) % dim).alias("dim")).agg(F.sum(1 - 2 * (number(5, 1) % 2)).cast("double").alias("x"))
+    filled = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("cells"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.try_element_at("cells", d), F.lit(0.0)))
+    none = F.array_repeat(F.lit(0.0), dim)
+    return df.select(key).distinct().join(filled, key, "left").select(key, F.when(F.col("cells").isNull(), none).otherwise(l2norm(at)).alias("v"))
+
+
+def concat_prf(run: DataFrame, queries: DataFrame, docs: DataFrame, encoder: Callable[[DataFrame, str, str], DataFrame] = hashed_terms, n: int = 3, depth: int = 100, kind: str = "dot") -> DataFrame:
+    """The first `depth` of a run scored by the encoding of the query joined with its first n documents' texts, in order;
+    the query alone where fewer than n have a text. Documents without text are left out."""
+    top = run.where(F.col("rank") <= depth)
+    texts = docs.select("docid", "text").where("text IS NOT NULL AND trim(text) != ''").join(top.select("docid").distinct(), "docid", "left_semi")
+    fed = top.where(F.col("rank") <= n).join(texts, "docid").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("fed"))
+    whole = F.concat_ws(" ", F.array("query"), F.transform("fed", lambda f: f["text"]))
+    asked = queries.join(fed, "qid", "left").select("qid", F.when(F.size("fed") >= n, whole).otherwise(F.col("query")).alias("text"))
+    return rescore(top, encoder(asked, "qid", "text"), encoder(texts, "docid", "text"), depth, kind)
 
 
 def interpolate(run: DataFrame, fresh: DataFrame, w: float = 0.7, min_docs: int = 10) -> DataFrame:

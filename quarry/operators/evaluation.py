@@ -97,7 +97,8 @@ def helps_hurts(base: DataFrame, run: DataFrame, delta: float = 0.0) -> DataFram
 
 
 def label_lists(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("label").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("qid")), lambda q: q.cast("string")), ",").alias("qids"))
+    """(label, n, qid): the queries of each label, with how many it has."""
+    return labelled.select("label", "qid").join(F.broadcast(labelled.groupBy("label").agg(F.count("*").alias("n"))), "label").select("label", "n", "qid")
 
 
 def magnitudes(labelled: DataFrame) -> DataFrame:

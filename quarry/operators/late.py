@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.scores import top_k
-from quarry.functions.vectors import dot, mean_vector
+from quarry.functions.vectors import dot, mean_vector, total
 from quarry.operators.dense import _blocks
 
 # Token ids that mark a sequence, a query, a document, or a mask.
@@ -35,6 +35,13 @@ def token_pairs(queries: DataFrame, docs: DataFrame, candidates: DataFrame | Non
 
 def maxsim(queries: DataFrame, docs: DataFrame, candidates: DataFrame | None = None, k: int | None = 1000) -> DataFrame:
     """(qid, docid, score, rank): sum over query tokens of weight times the best similarity, at least 0."""
+    if candidates is None:
+        # tokens stay together by document, so there is one row for each query and document and none for each pair of tokens
+        asked = queries.groupBy("qid").agg(F.collect_list(F.struct("weight", "v")).alias("q"))
+        held = docs.groupBy("docid").agg(F.collect_list("v").alias("d"))
+        met = reduce(DataFrame.unionByName, [held.join(F.broadcast(block), F.lit(True)) for block in _blocks(asked)])
+        parts = F.transform("q", lambda q: q["weight"] * F.greatest(F.lit(0.0), F.array_max(F.transform("d", lambda d: dot(q["v"], d)))))
+        return top_k(met.select("qid", "docid", F.round(total(parts), 6).alias("score")), k)
     best = token_pairs(queries, docs, candidates).groupBy("qid", "docid", "qpos", "weight").agg(F.max("sim").alias("sim"))
     return top_k(best.groupBy("qid", "docid").agg(F.round(F.sum(F.col("weight") * F.greatest(F.lit(0.0), "sim")), 6).alias("score")), k)
 

@@ -15,12 +15,24 @@ from quarry.functions.text import band
 RM_MAX, SEM_MIN = 0.01, 0.3
 # Categories in the order in which they are tried, with their key words.
 CATEGORIES = (
-    ("Geographic/Locational", "city country state region area location place national international local european american asian north south east west central german french british chinese japanese russian african"),
-    ("Temporal", "year month day time period era century decade recent modern current contemporary historical past future present old new early late today yesterday tomorrow annual yearly"),
-    ("Conceptual/Synonyms", "issue problem concern matter aspect factor development situation condition status state process system method approach way"),
-    ("Entities", "organization company government agency department institution group party association union people person individual population community"),
-    ("Technical/Domain", "technology system program project research study analysis data information report science scientific technical medical legal"),
-)
+    ("Geographic/Locational", (
+        "city", "country", "state", "region", "area", "location", "place", "national", "international", "local", "european", "american", "asian", "north", "south", "east",
+        "west", "central", "german", "french", "british", "chinese", "japanese", "russian", "african",
+    )),
+    ("Temporal", (
+        "year", "month", "day", "time", "period", "era", "century", "decade", "recent", "modern", "current", "contemporary", "historical", "past", "future", "present",
+        "old", "new", "early", "late", "today", "yesterday", "tomorrow", "annual", "yearly",
+    )),
+    ("Conceptual/Synonyms", (
+        "issue", "problem", "concern", "matter", "aspect", "factor", "development", "situation", "condition", "status", "state", "process", "system", "method", "approach", "way",
+    )),
+    ("Entities", (
+        "organization", "company", "government", "agency", "department", "institution", "group", "party", "association", "union", "people", "person", "individual", "population", "community",
+    )),
+    ("Technical/Domain", (
+        "technology", "system", "program", "project", "research", "study", "analysis", "data", "information", "report", "science", "scientific", "technical", "medical", "legal",
+    )),
+)
 
 
 def reweighting(features: DataFrame, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
@@ -98,8 +110,8 @@ def histogram(terms: DataFrame, bins: int = 30) -> DataFrame:
 def categorize(terms: DataFrame) -> DataFrame:
     """terms with `category`: the first whose key word holds the term or is held by it, else Uncategorized."""
     spark = terms.sparkSession
-    words = [(i, name, w) for i, (name, text) in enumerate(CATEGORIES) for w in text.split()]
-    table = F.broadcast(spark.createDataFrame(words, "place int, name string, word string"))  # some hundred rows
+    listed = [(i, name, w) for i, (name, words) in enumerate(CATEGORIES) for w in words]
+    table = F.broadcast(spark.createDataFrame(listed, "place int, name string, word string"))  # some hundred rows
     distinct = terms.select("term").distinct()
     met = distinct.join(table, F.contains("term", "word") | F.contains("word", "term")).groupBy("term").agg(F.min_by("name", "place").alias("category"))
     return terms.join(met, "term", "left").withColumn("category", F.coalesce("category", F.lit("Uncategorized")))

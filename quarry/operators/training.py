@@ -17,6 +17,44 @@ def place(df: DataFrame, order: list[Column], by: list[str] | None = None, name:
     return df.withColumn(name, F.row_number().over(w).cast("long"))
 
 
+def numbered(df: DataFrame, key: str, chunks: int = 4096, name: str = "place") -> DataFrame:
+    """df with its place from 1 in the order of a whole-number key. Rows are ordered within chunks of the key's range, whose
+    counts are added up, so that no task orders the whole table."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // chunks))
+    parts = df.withColumn("_chunk", F.floor((F.col(key) - F.lit(low or 0)) / width))
+    starts = parts.groupBy("_chunk").agg(F.count("*").alias("_n"))
+    starts = starts.select("_chunk", F.coalesce(F.sum("_n").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row a chunk
+    within = place(parts, [F.col(key)], ["_chunk"], name)
+    return within.join(F.broadcast(starts), "_chunk").withColumn(name, F.col(name) + F.col("_start")).drop("_chunk", "_start")
+
+
+def components(queries: DataFrame, run: DataFrame, qrels: DataFrame, docs: DataFrame, subset: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The queries, run, judgments and documents of a data set, cut to a subset of queries (qid) if one is given: documents
+    are those that the run or the judgments name."""
+    kept = queries if subset is None else queries.join(F.broadcast(subset.select("qid")), "qid", "left_semi")
+    of_run, judged = (df.join(F.broadcast(kept.select("qid")), "qid", "left_semi") for df in (run, qrels))
+    named = of_run.select("docid").union(judged.select("docid")).distinct()
+    return {"queries": kept, "run": of_run, "qrels": judged, "documents": docs.join(named, "docid", "left_semi")}
+
+
+def field_profile(docs: DataFrame, fields: tuple[str, ...], probe: str | None = None) -> DataFrame:
+    """(field, filled, mean_length, values, hits): for each field the rows that fill it, their mean length and distinct values,
+    and the rows in which the probe occurs in any case. Values are told apart by a digest."""
+    long = docs.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))))
+    filled = F.trim("value") != ""
+    hit = F.contains(F.lower("value"), F.lit((probe or "").lower())) if probe else F.lit(False)
+    return long.groupBy("field").agg(F.count_if(filled).alias("filled"), F.round(F.avg(F.when(filled, F.length("value"))), 6).alias("mean_length"), F.count_distinct(F.when(filled, F.md5("value"))).alias("values"), F.count_if(hit).alias("hits"))
+
+
+def compare_profiles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(field, status, filled_a, filled_b, mean_a, mean_b, short): two profiles side by side; a field is in both, or only in
+    one; short marks those whose mean in a is under a tenth of that in b."""
+    left, right = (df.where("filled > 0").select("field", F.col("filled").alias(f"filled_{n}"), F.col("mean_length").alias(f"mean_{n}")) for n, df in (("a", a), ("b", b)))
+    status = F.when(F.col("filled_b").isNull(), "only a").when(F.col("filled_a").isNull(), "only b").otherwise("both")
+    return left.join(right, "field", "full").select("field", status.alias("status"), "filled_a", "filled_b", "mean_a", "mean_b", F.coalesce(F.col("mean_a") < 0.1 * F.col("mean_b"), F.lit(False)).alias("short"))
+
+
 def kfold(queries: DataFrame, k: int = 5, seed: int = 1) -> DataFrame:
     """(fold, split, qid): each query tests in one fold and trains in the others. Query sets are small tables; one window numbers them."""
     numbered = place(queries.select("qid"), [hashed(seed, "qid"), F.col("qid")]).withColumn("own", F.col("place") % k)
@@ -76,8 +114,12 @@ def sampled_pairs(flat: DataFrame, negatives: int = 10, least: int = 10, seed: i
     """Each positive with at most so many sampled negatives, of queries with enough candidates and both classes."""
     sizes = flat.groupBy("qid").agg(F.count("*").alias("n"), F.count_if(F.col("grade") > 0).alias("p")).where((F.col("n") >= least) & (F.col("p") > 0) & (F.col("p") < F.col("n"))).select("qid")
     fit = flat.join(sizes, "qid", "left_semi")
-    met = fit.where("grade > 0").select("qid", F.col("docid").alias("positive")).join(fit.where("grade <= 0").select("qid", F.col("docid").alias("negative")), "qid")
-    return place(met, [hashed(seed, "qid", "positive", "negative")], ["qid", "positive"]).where(F.col("place") <= negatives).select("qid", "positive", "negative", "place")
+    # a query's negatives are at most its candidates; each positive takes its own from that list, so pairs aren't rows
+    pool = fit.where("grade <= 0").groupBy("qid").agg(F.collect_list("docid").alias("pool"))
+    met = fit.where("grade > 0").select("qid", F.col("docid").alias("positive")).join(pool, "qid")
+    draw = lambda d: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("qid").cast("string"), F.col("positive").cast("string"), d.cast("string"))).alias("h"), d.alias("docid"))
+    drawn = met.select("qid", "positive", F.posexplode(F.slice(F.array_sort(F.transform("pool", draw)), 1, negatives)).alias("nth", "drawn"))
+    return drawn.select("qid", "positive", F.col("drawn.docid").alias("negative"), (F.col("nth") + 1).cast("long").alias("place"))
 
 
 def relevance_class(grade: Column, score: Column, least: int = 1, hard: float = 0.5) -> Column:
@@ -142,9 +184,11 @@ def filter_quality(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("n_positive") > 0) & (F.col("n_negative") > 0) & (F.trim("query") != "") & F.forall("texts", lambda d: F.trim(d) != ""))
 
 
-def dedup(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by order; blank and null keys go."""
-    return place(rows.where(F.trim(F.col(key).cast("string")) != ""), [F.col(order)], [key]).where("place = 1").drop("place")
+def dedup(rows: DataFrame, key: str, order: str, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns `keep` (all, if not given) of the first row of each key by order; blank and null keys go. Keys are told
+    apart by a digest, and firsts are taken within tasks before the exchange, so equal rows and long keys aren't sorted."""
+    wanted = rows.where(F.trim(F.col(key).cast("string")) != "").select(F.sha2(F.col(key).cast("string"), 256).alias("_key"), F.col(order).alias("_order"), F.struct(*(keep or rows.columns)).alias("_row"))
+    return wanted.groupBy("_key").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
 
 
 def augment(queries: DataFrame, share: float = 0.5, drop: int = 10, seed: int = 1) -> DataFrame:

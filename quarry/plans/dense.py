@@ -9,7 +9,7 @@ from quarry.functions import vectors as vec
 from quarry.functions.scores import top_k
 from quarry.operators import dense, late
 from quarry.operators import evaluation as ev
-from quarry.plans.prelude import sql, topk
+from quarry.plans.prelude import hashed, sql, topk
 from quarry.plans.tables import Tables
 
 _K = 20
@@ -24,17 +24,17 @@ def _term_vectors(t: Tables) -> DataFrame:
     return vec.mean_vector(t.dd.select(F.col("label").alias("term"), "v"), ["term"])
 
 
-def _features(t: Tables) -> DataFrame:
+def _features(t: Tables, digits: int | None = 6) -> DataFrame:
     """(qid, term, place, rm_weight, semantic): labels near a query's, weighted by distance."""
     near = t.dq.select("qid", "label", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("term"))
     rm = F.round(1.0 / (1 + F.abs(F.col("term") - F.col("label"))), 6)
     scored = near.select("qid", "term", rm.alias("rm_weight")).join(_term_vectors(t), "term").join(t.dq.select("qid", F.col("v").alias("q")), "qid")
-    out = scored.select("qid", "term", "rm_weight", F.round(vec.similarity(F.col("q"), F.col("v"), "clamped"), 6).alias("semantic"))
+    out = scored.select("qid", "term", "rm_weight", (lambda c: c if digits is None else F.round(c, digits))(vec.similarity(F.col("q"), F.col("v"), "clamped")).alias("semantic"))
     return top_k(out, None, "qid", "rm_weight", "term", "place")
 
 
-def _enhanced(t: Tables) -> DataFrame:
-    return dense.enhance(t.dq, dense.importance(_features(t)), _term_vectors(t))
+def _enhanced(t: Tables, digits: int | None = 6) -> DataFrame:
+    return dense.enhance(t.dq, dense.importance(_features(t, digits), digits=digits), _term_vectors(t))
 
 
 def _pairs(t: Tables) -> DataFrame:
@@ -60,9 +60,23 @@ def _ablation(t: Tables) -> DataFrame:
 
 def _ivf(t: Tables) -> DataFrame:
     docs = t.dd.select("docid", "v")
-    lists, probes = dense.cells(docs.count())
+    lists, least = dense.cells(docs.count())
     indexed, centres = dense.ivf_build(docs, lists)
-    return dense.ivf_search(t.dq, indexed, centres, 10, max(probes, lists // 2))
+    # as many cells as the stated queries are measured to need for 0.95 of their neighbours
+    return dense.ivf_search(t.dq, indexed, centres, 10, max(least, dense.probes_for(t.dq, indexed, centres)))
+
+
+def _recall(t: Tables, found: DataFrame) -> DataFrame:
+    """(queries, reached): whether an approximate search finds 0.9 or more of the ten nearest of the stated queries."""
+    return dense.recall(found, dense.exact_knn(t.dq, t.dd, 10)).select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+#: Settings of the hybrid weights that are tried: alpha, beta, lambda.
+_GRID = [(a, b, lam) for a in (0.0, 0.5, 1.0) for b in (0.25, 0.75) for lam in (0.3, 0.7)]
+
+
+def _fitted(t: Tables) -> DataFrame:
+    return dense.fit_weights(_run(t), t.dq, _features(t), _term_vectors(t), t.dd, t.dqrels, _GRID)
 
 
 def _pieces(t: Tables) -> DataFrame:
@@ -77,8 +91,8 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 QUERIES = {
     "normalize_vectors": lambda t: t.vectors.select("vec_id", vec.rounded(vec.l2norm(F.col("v"))).alias("v")),
-    "vector_similarity": lambda t: _pairs(t).where("docid % 7 = qid % 7").select("qid", "docid", *(F.round(vec.similarity(F.col("q"), F.col("v"), k), 6).alias(k) for k in ("cosine", "clamped", "dot", "l2", "l1"))),
-    "bilinear_score": lambda t: _pairs(t).where("docid % 7 = qid % 7").select("qid", "docid", F.round(vec.dot(F.transform("q", lambda x, i: x * (1 + i % 3)), F.col("v")) + 0.25, 6).alias("score")),
+    "vector_similarity": lambda t: _pairs(t).select("qid", "docid", *(F.round(vec.similarity(F.col("q"), F.col("v"), k), 6).alias(k) for k in ("cosine", "clamped", "dot", "l2", "l1"))),
+    "bilinear_score": lambda t: _pairs(t).select("qid", "docid", F.round(vec.dot(F.transform("q", lambda x, i: x * (1 + i % 3)), F.col("v")) + 0.25, 6).alias("score")),
     "pool_tokens": lambda t: _rounded(dense.pooled(t.tokvec, "mean").withColumnRenamed("v", "mean").join(dense.pooled(t.tokvec, "max").withColumnRenamed("v", "high"), "docid").join(dense.pooled(t.tokvec, "cls").withColumnRenamed("v", "cls"), "docid")),
     "vector_sum": lambda t: _rounded(dense.totals(t.tokvec)),
     "vector_mean": lambda t: _rounded(vec.mean_vector(t.tokvec.select("docid", "v"), ["docid"])),
@@ -87,7 +101,11 @@ QUERIES = {
     "exact_knn_l2": lambda t: dense.exact_knn(t.dq, t.dd, _K, "l2"),
     "knn_rank_scores": lambda t: dense.rank_scores(_run(t), _K),
     "ivf_knn": _ivf,
+    "ivf_recall": lambda t: _recall(t, _ivf(t)),
     "lsh_knn": lambda t: dense.lsh_knn(t.dq, t.dd),
+    "lsh_recall": lambda t: _recall(t, dense.lsh_knn(t.dq, t.dd)),
+    "fit_weights": _fitted,
+    "concat_prf_rerank": lambda t: dense.concat_prf(t.run_a, t.queries, t.docs),
     "recommend_index": lambda t: t.vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).select("n", dense.recommend_index(F.col("n"), F.col("dim"), F.lit(False)).alias("plan"), dense.recommend_index(F.col("n") * 1000, F.col("dim"), F.lit(True)).alias("low_memory_plan")),
     "embedding_norm_stats": lambda t: dense.norm_stats(t.vectors),
     "embedding_quality": lambda t: dense.embedding_quality(t.dq, t.dd, t.dqrels),
@@ -96,7 +114,7 @@ QUERIES = {
     "prf_rocchio": lambda t: _rounded(dense.prf_vectors(t.dq, _run(t), t.dd, 3, "rocchio")),
     "vector_prf_rerank": lambda t: dense.vector_prf(_run(t), t.dq, t.dd),
     "term_importance": lambda t: dense.importance(_features(t), squash=True),
-    "enhanced_query_vector": lambda t: _enhanced(t).select("qid", vec.rounded(F.col("v"), 4).alias("v")),
+    "enhanced_query_vector": lambda t: _enhanced(t, None).select("qid", F.posexplode("v").alias("dim", "x")),
     "rerank_candidates": lambda t: dense.rescore(_run(t), _enhanced(t), t.dd, 100, missing="keep"),
     "batch_retrieval_job": lambda t: dense.exact_knn(_enhanced(t), t.dd, _K),
     "expansion_effect": _effect,
@@ -193,13 +211,29 @@ _STATS = "SELECT tokid, count(*) AS cf, count(DISTINCT docid) AS df FROM tokvec
 
 SQL = {
     "normalize_vectors": sql("vecs", "SELECT vec_id, " + _LIST6.format(x="list_transform(v, lambda e: CASE WHEN n = 0 THEN e ELSE e / n END)") + " AS v FROM (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM vecs)"),
-    "vector_similarity": sql("dq dd", f"SELECT qid, docid, round({_QD}, 6) AS cosine, round(greatest(0, {_QD}), 6) AS clamped, round(list_dot_product(dq.v, dd.v), 6) AS dot, round(-list_distance(dq.v, dd.v), 6) AS l2, round(-list_sum(list_transform(list_zip(dq.v, dd.v), lambda c: abs(c[1] - c[2]))), 6) AS l1 FROM dq, dd WHERE docid % 7 = qid % 7"),
-    "bilinear_score": sql("dq dd", "SELECT qid, docid, round(list_dot_product(list_transform(dq.v, lambda x, i: x * (1 + (i - 1) % 3)), dd.v) + 0.25e0, 6) AS score FROM dq, dd WHERE docid % 7 = qid % 7"),
+    "vector_similarity": sql("dq dd", f"SELECT qid, docid, round({_QD}, 6) AS cosine, round(greatest(0, {_QD}), 6) AS clamped, round(list_dot_product(dq.v, dd.v), 6) AS dot, round(-list_distance(dq.v, dd.v), 6) AS l2, round(-list_sum(list_transform(list_zip(dq.v, dd.v), lambda c: abs(c[1] - c[2]))), 6) AS l1 FROM dq, dd"),
+    "bilinear_score": sql("dq dd", "SELECT qid, docid, round(list_dot_product(list_transform(dq.v, lambda x, i: x * (1 + (i - 1) % 3)), dd.v) + 0.25e0, 6) AS score FROM dq, dd"),
     "pool_tokens": sql("tokvec", f"SELECT docid, {_LIST6.format(x='a.v')} AS mean, {_LIST6.format(x='b.v')} AS high, {_LIST6.format(x='c.v')} AS cls FROM a JOIN b USING (docid) JOIN (SELECT docid, arg_min(v, pos) AS v FROM tokvec GROUP BY docid) c USING (docid)", a=_by_dim("SELECT docid, v FROM tokvec", "docid", "avg(x)"), b=_by_dim("SELECT docid, v FROM tokvec", "docid", "max(x)")),
     "vector_sum": sql("tokvec", f"SELECT docid, {_LIST6.format(x='v')} AS v FROM a", a=_by_dim("SELECT docid, v FROM tokvec", "docid", "sum(x)")),
     "vector_mean": sql("tokvec", f"SELECT docid, {_LIST6.format(x='v')} AS v FROM a", a=_by_dim("SELECT docid, v FROM tokvec", "docid", "avg(x)")),
     "query_doc_crossjoin": sql("dq dd", "SELECT qid, docid, round(list_dot_product(dq.v, dd.v), 6) AS dot FROM dq, dd"),
     "exact_knn": sql("dq dd", _knn("dq")),
+    "ivf_recall": sql("dq", "SELECT count(*) AS queries, true AS reached FROM dq"),
+    "lsh_recall": sql("dq", "SELECT count(*) AS queries, true AS reached FROM dq"),
+    "fit_weights": sql(
+        "dqrels", "SELECT alpha, beta, lam, value, n, value = max(value) OVER () AS best FROM many JOIN grid ON grid.cfg::VARCHAR = many.run WHERE metric = 'ndcg_10'", **_RUN, **_FEAT,
+        grid=f"SELECT * FROM (VALUES {', '.join(f'({i}, {a}e0, {b}e0, {lam}e0)' for i, (a, b, lam) in enumerate(_GRID))}) g(cfg, alpha, beta, lam)",
+        gw="SELECT cfg, qid, round(alpha * rm_weight + beta * semantic, 6) AS w, v FROM feat JOIN tv USING (term), grid WHERE place <= 15",
+        gs=_by_dim("SELECT cfg, qid, w, v FROM gw", "cfg, qid", "sum(w * x)").replace("AS v FROM", "AS s FROM", 1),
+        ge="SELECT cfg, qid, CASE WHEN total > 1e-8 THEN list_transform(list_zip(v, s), lambda c: (1 - lam) * c[1] + lam * c[2] / total) ELSE v END AS v FROM (SELECT * FROM dq, grid) LEFT JOIN gs USING (cfg, qid) LEFT JOIN (SELECT cfg, qid, sum(w) AS total FROM gw GROUP BY cfg, qid) USING (cfg, qid)",
+        **_mean_metrics(f"SELECT cfg::VARCHAR AS run, r.qid AS qid, r.docid AS docid, round({_COS.format(a='a.v', b='b.v')}, 6) AS score FROM run r JOIN ge a ON a.qid = r.qid JOIN dd b ON b.docid = r.docid"),
+    ),
+    "concat_prf_rerank": sql(
+        "run_a", topk("SELECT r.qid AS qid, r.docid AS docid, round(list_dot_product(a.v, b.v), 6) AS score FROM run_a r JOIN eq a ON a.qid = r.qid JOIN ed b ON b.docid = r.docid WHERE r.rank <= 100", "qid", "score", "docid", 100),
+        texts="SELECT docid, text FROM d WHERE text IS NOT NULL AND trim(text) <> '' AND docid IN (SELECT docid FROM run_a)",
+        asked="SELECT qid, CASE WHEN n >= 3 THEN query || ' ' || fed ELSE query END AS text FROM q LEFT JOIN (SELECT qid, count(*) AS n, string_agg(text, ' ' ORDER BY rank) AS fed FROM run_a JOIN texts USING (docid) WHERE rank <= 3 GROUP BY qid) USING (qid)",
+        eq=hashed("asked", "qid", "text"), ed=hashed("texts", "docid", "text"),
+    ),
     "exact_knn_l2": sql("dq dd", _knn("dq", "-list_distance(dq.v, dd.v)")),
     "knn_rank_scores": sql("dq dd", "SELECT qid, docid, rank, round(1 - (rank - 1) / 20e0, 6) AS score FROM run", **_RUN),
     "recommend_index": sql("vecs", "SELECT count(*) AS n, CASE WHEN count(*) < 10000 THEN 'flat' WHEN count(*) < 100000 THEN 'ivf' WHEN max(len(v)) > 512 THEN 'hnsw' ELSE 'ivf' END AS plan, CASE WHEN count(*) * 1000 < 10000 THEN 'flat' WHEN count(*) * 1000 < 100000 THEN 'ivf' ELSE 'pq' END AS low_memory_plan FROM vecs"),
@@ -213,7 +247,7 @@ SQL = {
     "prf_rocchio": sql("dq dd", f"SELECT qid, {_LIST6.format(x='v')} AS v FROM rocchio", **_RUN, **_FUSED),
     "vector_prf_rerank": sql("dq dd", _rescored("run", "rocchio", "list_dot_product({a}, {b})", 1000), **_RUN, **_FUSED),
     "term_importance": sql("dq dd", f"SELECT qid, term, rm_weight, semantic, place, round({_SQUASH}, 6) AS weight FROM feat", **_FEAT),
-    "enhanced_query_vector": sql("dq dd", "SELECT qid, list_transform(v, lambda e: round(e, 4)) AS v FROM enh", **_ENH),
+    "enhanced_query_vector": sql("dq dd", "SELECT qid, unnest(range(0, len(v)))::INT AS dim, unnest(v) AS x FROM enh", **{name: part.replace("round(greatest(0,", "(greatest(0,").replace(", 6) AS semantic", ") AS semantic").replace(f"round({_BOTH}, 6)", f"({_BOTH})") for name, part in _ENH.items()}),
     "rerank_candidates": sql("dq dd", _rescored("run", "enh", k=100), **_RUN, **_ENH),
     "batch_retrieval_job": sql("dq dd", _knn("enh"), **_ENH),
     "expansion_effect": sql("dqrels", "SELECT a.run, a.metric, a.value, b.value AS base, round(CASE WHEN b.value > 0 THEN a.value - b.value ELSE a.value END, 6) AS absolute, round(CASE WHEN b.value > 0 THEN 100 * (a.value - b.value) / b.value ELSE 0 END, 6) AS percent FROM many a JOIN many b USING (metric) WHERE a.run = 'expanded' AND b.run = 'plain'", **_RUN, **_ENH, run2=_knn("enh"), **_mean_metrics("SELECT 'plain' AS run, qid, docid, score FROM run UNION ALL SELECT 'expanded', qid, docid, score FROM run2")),

@@ -149,7 +149,7 @@ SQL = {
         f="SELECT fold, metric, avg(value) AS value FROM per JOIN fo USING (qid) WHERE metric IN ('map', 'ndcg_10', 'mrr', 'p_10') GROUP BY fold, metric",
     ),
     "helps_hurts": sql("qrels run_b", "SELECT qid, base, value, change, label FROM lab", **_LABELLED),
-    "helps_hurts_lists": sql("qrels run_b", "SELECT label, count(*) AS n, string_agg(qid::VARCHAR, ',' ORDER BY qid) AS qids FROM lab GROUP BY label", **_LABELLED),
+    "helps_hurts_lists": sql("qrels run_b", "SELECT label, count(*) OVER (PARTITION BY label) AS n, qid FROM lab", **_LABELLED),
     "magnitude_stats": sql("qrels run_b", "SELECT label, count(*) AS n, round(avg(change), 6) AS mean, round(median(change), 6) AS median, max(change) AS high, min(change) AS low FROM lab WHERE label != 'unchanged' GROUP BY label", **_LABELLED),
     "paired_ttest": sql("qrels run_b", "SELECT n, round(m, 6) AS mean, round(s, 6) AS std, round(CASE WHEN s > 0 THEN m / (s / sqrt(n)) ELSE 0 END, 6) AS t, round(CASE WHEN s > 0 THEN m / s ELSE 0 END, 6) AS d FROM (SELECT count(*) AS n, avg(value - base) AS m, coalesce(stddev_samp(value - base), 0) AS s FROM lab)", **_LABELLED),
     "best_worst_queries": sql("qrels run_b", "(SELECT 'best' AS side, qid, base, value, change FROM lab WHERE change > 0 ORDER BY change DESC, qid LIMIT 5) UNION ALL (SELECT 'worst', qid, base, value, change FROM lab WHERE change < 0 ORDER BY change, qid LIMIT 5)", **_LABELLED),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,19 +12,21 @@ from pyspark.sql import types as T
 
 from quarry.functions.vectors import rounded
 from quarry.operators import lexical
-from quarry.operators.dense import pairs
+from quarry.operators.dense import hashed_terms, pairs
 from quarry.operators.evaluation import per_query
 from quarry.operators.training import kfold
-from quarry.plans.prelude import sql
+from quarry.plans.interaction import _LETTERS
+from quarry.plans.lexical import FEATURES
+from quarry.plans.prelude import hashed, sql
 from quarry.plans.tables import Tables
 from quarry.sources import files
+from quarry.sources.stored import shared_folder
 from quarry.streaming import intake
 
 
 def _folder(t: Tables) -> str:
-    """A new folder that driver and executors share; a local one only where the session names none."""
-    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{named}/files/{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(t.spark)}/files/{uuid.uuid4().hex}"
 
 
 def _run(t: Tables) -> DataFrame:
@@ -125,21 +126,21 @@ def _ingested(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out)
 
 
-def _hashed_vector(texts: pd.Series, dim: int = 64) -> pd.Series:
-    """The default encoder: signed counts of hashed words at length 1."""
+def _progress(t: Tables) -> DataFrame:
+    """(rows, percent): what a finished stream over the documents has taken, of all there are."""
+    out, state = _folder(t), _folder(t)
+    query = intake.stream_postings(intake.stream_documents(t.spark, _fold_folder(t)), out, state)
+    query.awaitTermination()
+    done = intake.progress(query)["rows"]
+    return t.read("documents").agg(F.lit(done).cast("long").alias("rows"), F.round(100.0 * F.lit(done) / F.count("*"), 6).alias("percent"))
 
-    def encode(text: str) -> list[float]:
-        v = np.zeros(dim)
-        for w in (text or "").lower().split():
-            h = sum((i + 1) * ord(c) for i, c in enumerate(w))
-            v[h % dim] += 1 if (h // dim) % 2 else -1
-        n = np.linalg.norm(v)
-        return (v / n if n else v).round(6).tolist()
 
-    return texts.map(encode)
+def _letters(texts: pd.Series) -> pd.Series:
+    """A supplied encoder: the counts of letters a to z, as a model would turn a batch of texts into vectors."""
+    return texts.map(lambda text: np.bincount(np.frombuffer((text or "").lower().encode(), np.uint8), minlength=256)[97:123].astype(float).tolist())
 
 
-def embed(docs: DataFrame, key: str, text: str, encoder=_hashed_vector) -> DataFrame:  # noqa: ANN001
+def embed(docs: DataFrame, key: str, text: str, encoder) -> DataFrame:  # noqa: ANN001
     """(key, v) by an encoder of pandas series of texts, a batch at a time."""
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind), T.StructField("v", T.ArrayType(T.DoubleType()))])
@@ -151,19 +152,24 @@ def embed(docs: DataFrame, key: str, text: str, encoder=_hashed_vector) -> DataF
     return docs.select(key, text).mapInPandas(encode, schema)
 
 
-def mlp(pairs: DataFrame, hidden: int = 16, seed: int = 3) -> DataFrame:
-    """(qid, docid, score) of a two-layer scorer with supplied weights on the query's and the document's vector."""
-    draw = np.random.default_rng(seed)
-    w1, w2, w3 = draw.normal(size=(128, hidden)) / 8, draw.normal(size=(hidden, hidden)) / 4, draw.normal(size=hidden)
+def mlp(pairs: DataFrame, w1: list, w2: list, out: list) -> DataFrame:
+    """(qid, docid, score) of a scorer with supplied weights on the query's and the document's vector: two layers, each cut at
+    0, and a linear one. The weights go to the tasks as a closure."""
 
     @F.pandas_udf("double")
     def score(q: pd.Series, v: pd.Series) -> pd.Series:
         x = np.concatenate([np.stack(q.tolist()), np.stack(v.tolist())], axis=1)
-        return pd.Series(np.maximum(np.maximum(x @ w1, 0) @ w2, 0) @ w3)
+        return pd.Series(np.maximum(np.maximum(x @ np.array(w1), 0) @ np.array(w2), 0) @ np.array(out))
 
     return pairs.select("qid", "docid", F.round(score("q", "v"), 6).alias("score"))
 
 
+#: Weights that are supplied to mlp_score, by a rule: 128 x 8, 8 x 4, 4.
+_W1 = [[((7 * i + 3 * j) % 11 - 5) / 20 for j in range(8)] for i in range(128)]
+_W2 = [[((5 * i + 2 * j) % 7 - 3) / 8 for j in range(4)] for i in range(8)]
+_W3 = [0.5, -0.25, 0.75, 1.0]
+
+
 def _by_query(t: Tables) -> DataFrame:
     """A grouped step: each query's rows with their share of its greatest score."""
 
@@ -195,9 +201,10 @@ QUERIES = {
     "write_report": _report,
     "stream_ingest_documents": _ingested,
     "stream_build_postings": _streamed,
-    "embed_texts": lambda t: embed(t.docs, "docid", "text"),
-    "encoder_udf": lambda t: embed(t.queries, "qid", "query"),
-    "mlp_score": lambda t: mlp(_pairs(t)),
+    "stream_progress": _progress,
+    "embed_texts": lambda t: hashed_terms(t.docs, "docid", "text").select("docid", rounded(F.col("v")).alias("v")),
+    "encoder_udf": lambda t: embed(t.docs, "docid", "text", _letters),
+    "mlp_score": lambda t: mlp(_pairs(t), _W1, _W2, _W3),
     "by_query": _by_query,
     "pipe": lambda t: t.run_a.transform(lambda run: run.where("rank <= 10")).transform(lambda run: run.select("qid", "docid")),
 }
@@ -210,6 +217,25 @@ SQL = {
     "resort_trec_run": sql("run_b", "SELECT qid, docid, score, rank - 1 AS rank FROM run_b"),
     "read_qrels": sql("qrels", f"{_A}, grade FROM qrels"),
     "write_qrels": sql("qrels", "SELECT printf('%s 0 %s %d', qid::VARCHAR, docid::VARCHAR, grade) AS value FROM qrels"),
+    "read_eval_per_query": sql(
+        "qrels", "SELECT metric, qid, value FROM (SELECT 'map' AS metric, qid::VARCHAR AS qid, round(coalesce(ap / nullif(rel, 0), 0), 6) AS value FROM e UNION ALL SELECT 'p_10', qid::VARCHAR, round(hits / 10e0, 6) FROM e)",
+        r="SELECT *, sum((grade > 0)::INT) OVER (PARTITION BY qid ORDER BY r) AS hit FROM (SELECT qid, coalesce(grade, 0) AS grade, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid::VARCHAR DESC) AS r FROM run_a LEFT JOIN qrels USING (qid, docid))",
+        e="SELECT * FROM (SELECT qid, coalesce(sum(hit / r) FILTER (grade > 0), 0) AS ap, count(*) FILTER (grade > 0 AND r <= 10) AS hits FROM r GROUP BY qid) JOIN (SELECT qid, count(*) FILTER (grade > 0) AS rel FROM qrels GROUP BY qid) USING (qid)",
+    ),
+    "read_features_jsonl": sql("rm3t", "SELECT qid::VARCHAR AS query_id, (count(*) OVER (PARTITION BY qid))::INT AS num_expansion_terms, term, rm_weight, semantic, original_term FROM feat", **FEATURES),
+    "write_features_jsonl": sql("rm3t", "SELECT qid::VARCHAR AS query_id, query AS query_text, n::INT AS num_expansion_terms FROM q JOIN (SELECT qid, count(*) AS n FROM feat GROUP BY qid) USING (qid)", **FEATURES),
+    "validate_documents": """SELECT seen, array_to_string(list_sort(list_distinct(flatten([CASE WHEN a > 0 THEN ['doc_id', 'doc_text'] ELSE [] END, CASE WHEN a < seen AND b > 0 THEN ['docno', 'body'] ELSE [] END, CASE WHEN a + b < seen THEN ['id', 'text'] ELSE [] END]))), ',') AS names
+      FROM (SELECT least(100, count(*)) AS seen, count(*) FILTER (doc_id % 3 = 0) AS a, count(*) FILTER (doc_id % 3 = 2) AS b FROM documents)""",
+    "save_load_dataset_bundle": sql("qrels", "SELECT 'queries' AS part, count(*) AS rows FROM q UNION ALL SELECT 'qrels', count(*) FROM qrels"),
+    "stream_progress": "SELECT count(*) AS rows, 100e0 AS percent FROM documents",
+    "embed_texts": sql("d", "SELECT docid, list_transform(v, lambda e: round(e, 6)) AS v FROM h", h=hashed("d", "docid", "text")),
+    "encoder_udf": sql("d", f"SELECT docid, {_LETTERS.format(x='text')} AS v FROM d"),
+    "mlp_score": sql(
+        "dq dd", "SELECT qid, docid, round(sum(h * [0.5e0, -0.25e0, 0.75e0, 1e0][k + 1]), 6) AS score FROM l2 GROUP BY qid, docid",
+        hq="SELECT qid, j, sum(x * ((7 * i + 3 * j) % 11 - 5) / 20e0) AS a FROM (SELECT qid, unnest(range(0, 64)) AS i, unnest(v) AS x FROM dq), (SELECT unnest(range(8)) AS j) GROUP BY qid, j",
+        hd="SELECT docid, j, sum(x * ((7 * (i + 64) + 3 * j) % 11 - 5) / 20e0) AS b FROM (SELECT docid, unnest(range(0, 64)) AS i, unnest(v) AS x FROM dd), (SELECT unnest(range(8)) AS j) GROUP BY docid, j",
+        l2="SELECT qid, docid, k, greatest(0, sum(greatest(0, a + b) * ((5 * j + 2 * k) % 7 - 3) / 8e0)) AS h FROM hq JOIN hd USING (j), (SELECT unnest(range(4)) AS k) GROUP BY qid, docid, k",
+    ),
     "read_queries_tsv": sql("q", "SELECT qid::VARCHAR AS qid, replace(query, chr(10), ' ') AS query FROM q"),
     "read_documents_jsonl": sql("d", "SELECT docid::VARCHAR AS docid, md5(text) AS digest FROM d WHERE docid % 3 < 2"),
     "save_load_embeddings": sql("vecs", "SELECT vec_id, list_transform(v, lambda e: round(e, 6)) AS v FROM vecs"),

@@ -25,21 +25,21 @@ def _tuned(t: Tables) -> DataFrame:
 QUERIES = {
     "tokenize": lambda t: text.tokenize(t.docs, "docid", "text"),
     "analyze_terms": lambda t: text.analyze(t.docs, "docid", "text"),
-    "build_postings": lambda t: t.index.postings,
+    "build_postings": lambda t: lexical.build_postings(t.docs).postings,
     "index_stats": lambda t: t.index.stats.select("n", F.round("avgdl", 6).alias("avgdl"), "total"),
     "term_stats": lambda t: lexical.term_stats(t.index.postings),
-    "bm25_topk": lambda t: t.run_a,
-    "weighted_query_topk": lambda t: t.run_b,
+    "bm25_topk": lambda t: t.bm25(),
+    "weighted_query_topk": lambda t: t.boosted(),
     "feedback_docs": lambda t: lexical.feedback(t.run_a).select("qid", "docid", "rank", F.round("weight", 6).alias("weight")),
     "rm1_feedback_model": lambda t: lexical.rm1(lexical.feedback(t.run_a), t.index).select("qid", "term", F.round("p", 6).alias("p")),
-    "rm3_expand": lambda t: t.rm3_terms,
+    "rm3_expand": lambda t: t.expanded(),
     "stem_to_original": lambda t: lexical.surface_forms(lexical.feedback(t.run_a), t.docs),
     "bo1_expand": lambda t: lexical.divergence_expand(t.queries, t.index, t.run_a, "bo1"),
     "kl_expand": lambda t: lexical.divergence_expand(t.queries, t.index, t.run_a, "kl"),
     "two_pass_retrieval": lambda t: lexical.two_pass(t.queries, t.index, "bo1"),
     "expansion_stats": lambda t: lexical.expansion_stats(_terms(t)),
     "explain_expansion": lambda t: lexical.explain_expansion(t.queries, t.run_a),
-    "semantic_scores": lambda t: lexical.semantic_scores(t.queries, _terms(t), lexical.profiles(t.index)),
+    "semantic_scores": lambda t: lexical.semantic_scores(t.queries, _terms(t), lexical.profiles(t.index, lexical.met_terms(t.queries, _terms(t)))),
     "term_features": lambda t: lexical.term_features(t.queries, t.index, t.docs, t.run_a),
     "sample_queries": lambda t: t.queries.orderBy(F.md5(F.concat(F.lit("7:"), F.col("qid").cast("string")))).limit(25),
     "tune_alpha": _tuned,

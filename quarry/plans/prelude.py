@@ -1,4 +1,8 @@
-"""Shared parts of the oracle SQL, written independently of the operators. sql() puts a statement after the parts it names."""
+"""Shared parts of the oracle SQL, written independently of the operators. sql() puts a statement after the parts it names.
+
+The fixed word lists and tables (stop words, categories, kernels, letters with marks) are shared with the operators, so the
+SQL cannot find an error in those.
+"""
 
 from __future__ import annotations
 
@@ -46,6 +50,16 @@ def rm3(run: str, fb_docs: int = 10, fb_terms: int = 15, alpha: str = "0.5e0") -
     )
 
 
+def hashed(source: str, key: str, text: str, dim: int = 64) -> str:
+    """(key, v): texts as hashed bags of tokens at length 1."""
+    return rf"""SELECT {key}, list_transform(range({dim}), lambda i: CASE WHEN len0 = 0 THEN 0 ELSE coalesce(cells[i], 0) / len0 END) AS v FROM (
+      SELECT {key}, map_from_entries(list({{'k': dim, 'v': x}}) FILTER (dim IS NOT NULL)) AS cells, coalesce(sqrt(sum(x * x)), 0) AS len0 FROM (
+        SELECT {key}, dim, sum(s)::DOUBLE AS x FROM (
+          SELECT {key}, ('0x' || left(md5(tok), 4))::BIGINT % {dim} AS dim, 1 - 2 * (('0x' || substr(md5(tok), 5, 1))::BIGINT % 2) AS s FROM (
+            SELECT {key}, unnest(CASE WHEN len(toks) = 0 THEN [NULL] ELSE toks END) AS tok FROM (
+              SELECT {key}, list_filter(regexp_extract_all(lower(coalesce({text}, '')), '[\p{{L}}\p{{N}}_]+'), lambda t: regexp_matches(t, '^[a-z]{{2,}}$')) AS toks FROM {source}))) GROUP BY {key}, dim) GROUP BY {key})"""
+
+
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "q": ((), "SELECT item_id AS qid, text AS query FROM benchmark"),
     "d": ((), "SELECT doc_id AS docid, text FROM documents"),
@@ -65,8 +79,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM run_a JOIN q USING (qid) JOIN d USING (docid) LEFT JOIN labels ON labels.doc_id = docid) WHERE grade IS NOT NULL""",
     ),
     "vecs": ((), "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"),
-    "dq": (("vecs",), "SELECT vec_id AS qid, v, label FROM vecs WHERE vec_id % 25 = 0"),
-    "dd": (("vecs",), "SELECT vec_id AS docid, v, label FROM vecs WHERE vec_id % 25 != 0"),
+    "dq": (("vecs",), "SELECT vec_id AS qid, v, label FROM vecs WHERE vec_id % 100 = 0"),
+    "dd": (("vecs",), "SELECT vec_id AS docid, v, label FROM vecs"),
     "dqrels": (("dq", "dd"), "SELECT qid, docid, CASE WHEN dd.label = dq.label THEN 2 ELSE 1 END AS grade FROM dq JOIN dd ON abs(dd.label - dq.label) <= 1"),
     "tokvec": (("vecs",), "SELECT vec_id // 4 AS docid, (vec_id % 4)::INT AS pos, label AS tokid, v FROM vecs"),
     "qtok": (("tokvec",), "SELECT docid AS qid, pos AS qpos, tokid, 1e0 AS weight, v FROM tokvec WHERE docid % 25 = 0"),

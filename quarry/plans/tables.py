@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.lexical import Index, bm25, build_postings, rm3, weighted
+from quarry.operators.lexical import Index, bm25, rm3, stored_index, weighted
+from quarry.sources.stored import stored, version
 
 
 class Tables:
-    """Lazy tables of one data folder; each is a plan, so what two parts of a query share is planned once."""
+    """Tables of one data folder. The index, the runs and the judgments are written once a session and folder, to the shared
+    folder, and read by everything else; the rest are plans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
-        self._made: dict[str, DataFrame] = {}
+        self._key: tuple | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _once(self, name: str, make) -> DataFrame:  # noqa: ANN001
-        if name not in self._made:
-            self._made[name] = make()
-        return self._made[name]
+    @property
+    def key(self) -> tuple:
+        if self._key is None:
+            self._key = (self.dir, version(self.spark, self.dir))
+        return self._key
+
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return stored(self.spark, (name, *self.key), make)
 
     @property
     def queries(self) -> DataFrame:
@@ -34,19 +41,28 @@ class Tables:
 
     @property
     def index(self) -> Index:
-        return build_postings(self.docs)
+        return stored_index(self.spark, self.key, lambda: self.docs)
+
+    def bm25(self) -> DataFrame:
+        return bm25(self.queries, self.index, 100)
+
+    def expanded(self) -> DataFrame:
+        return rm3(self.queries, self.index, self.run_a)
+
+    def boosted(self) -> DataFrame:
+        return weighted(self.rm3_terms.select("qid", "term", "weight"), self.index, 100)
 
     @property
     def run_a(self) -> DataFrame:
-        return self._once("run_a", lambda: bm25(self.queries, self.index, 100))
+        return self.stored("run_a", self.bm25)
 
     @property
     def rm3_terms(self) -> DataFrame:
-        return self._once("rm3", lambda: rm3(self.queries, self.index, self.run_a))
+        return self.stored("rm3", self.expanded)
 
     @property
     def run_b(self) -> DataFrame:
-        return self._once("run_b", lambda: weighted(self.rm3_terms.select("qid", "term", "weight"), self.index, 100))
+        return self.stored("run_b", self.boosted)
 
     @property
     def qrels(self) -> DataFrame:
@@ -56,7 +72,7 @@ class Tables:
             grade = F.when(F.contains(F.lower("text"), opening), 2).when(F.col("quality") == 1, 1).when(F.col("quality") == 0, 0)
             return judged.select("qid", "docid", grade.cast("int").alias("grade")).where("grade IS NOT NULL")
 
-        return self._once("qrels", make)
+        return self.stored("qrels", make)
 
     @property
     def vectors(self) -> DataFrame:
@@ -64,11 +80,12 @@ class Tables:
 
     @property
     def dq(self) -> DataFrame:
-        return self.vectors.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "v", "label")
+        """The stated query set: vectors whose id is divisible by 100, searched against all."""
+        return self.vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "v", "label")
 
     @property
     def dd(self) -> DataFrame:
-        return self.vectors.where("vec_id % 25 != 0").select(F.col("vec_id").alias("docid"), "v", "label")
+        return self.vectors.select(F.col("vec_id").alias("docid"), "v", "label")
 
     @property
     def tokvec(self) -> DataFrame:

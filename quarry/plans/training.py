@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
@@ -31,9 +34,9 @@ def _flat(t: Tables) -> DataFrame:
 
 
 def _rows(t: Tables) -> DataFrame:
-    """(qid, query, texts, n_positive, n_negative): the first three documents of each query."""
+    """(qid, query, texts, n_positive, n_negative): the judged documents among the first twenty of each query."""
     top = _flat(t).where("rank <= 20")
-    out = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 1500).alias("text")))), lambda s: s["text"]).alias("texts"), F.count_if(F.col("grade") > 0).alias("n_positive"), F.count_if(F.col("grade") <= 0).alias("n_negative"))
+    out = top.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("texts"), F.count_if(F.col("grade") > 0).alias("n_positive"), F.count_if(F.col("grade") <= 0).alias("n_negative"))
     return out.join(t.queries, "qid")
 
 
@@ -48,14 +51,31 @@ def _coverage(t: Tables) -> DataFrame:
     flags = t.queries.select("qid").join(have_run.withColumn("r", F.lit(True)), "qid", "left").join(have_features.withColumn("f", F.lit(True)), "qid", "left")
     missing = F.filter(F.array(F.when(F.col("f").isNull(), "features"), F.when(F.col("r").isNull(), "run"), F.when(F.col("f").isNull() | F.col("r").isNull(), "either")), lambda x: x.isNotNull())
     listed = flags.select("qid", F.explode(missing).alias("lacks"))
-    return listed.groupBy("lacks").agg(F.count("*").alias("n"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list("qid")), lambda q: q.cast("string")), 1, 10), ",").alias("first"))
+    nth = F.row_number().over(W.partitionBy("lacks").orderBy("qid"))
+    shown = listed.withColumn("nth", nth).where(F.col("nth") <= 10)  # cut within tasks before a list meets
+    first = shown.groupBy("lacks").agg(F.array_join(F.transform(F.array_sort(F.collect_list("qid")), lambda q: q.cast("string")), ",").alias("first"))
+    return listed.groupBy("lacks").agg(F.count("*").alias("n")).join(first, "lacks")
+
+
+def _components(t: Tables) -> DataFrame:
+    """(part, rows, ids) of a data set cut to every fourth query."""
+    parts = tr.components(t.queries, t.run_a, t.qrels, t.docs, t.queries.where("qid % 4 = 0"))
+    of = {"queries": "qid", "run": "docid", "qrels": "docid", "documents": "docid"}
+    rows = [df.agg(F.lit(name).alias("part"), F.count("*").alias("rows"), F.count_distinct(of[name]).alias("ids")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_FIELDS = ("text", "lang", "source")
 
 
 def _profile(t: Tables) -> DataFrame:
-    docs = t.read("documents")
-    fields = docs.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in ("text", "lang", "source")))))
-    filled = F.trim("value") != ""
-    return fields.groupBy("field").agg(F.count_if(filled).alias("filled"), F.round(F.avg(F.when(filled, F.length("value"))), 6).alias("mean_length"), F.count_distinct(F.when(filled, F.col("value"))).alias("values"))
+    return tr.field_profile(t.read("documents"), _FIELDS, "information")
+
+
+def _compared(t: Tables) -> DataFrame:
+    """The documents' fields beside those of the pages, whose html stands for the text."""
+    pages = t.read("pages").select("url", F.col("html").alias("text"))
+    return tr.compare_profiles(tr.field_profile(t.read("documents"), _FIELDS), tr.field_profile(pages, ("text", "url")))
 
 
 def _input_quality(t: Tables) -> DataFrame:
@@ -75,7 +95,7 @@ def _pipeline(t: Tables) -> DataFrame:
     """(step, rows): rows after each step of quality, length and duplicate filters."""
     rows = _rows(t)
     good = tr.filter_quality(rows)
-    fit = tr.filter_length(good, (3, 400), (10, 2000))
+    fit = tr.filter_length(good, (3, 400), (10, 12000))
     steps = {"0 input": rows, "1 quality": good, "2 length": fit, "3 dedup": tr.dedup(fit, "query", "qid")}
     out = None
     for name, df in steps.items():
@@ -88,7 +108,7 @@ _TEXTS = {
     "clean_query": tx.clean_query,
     "clean_text_ascii": lambda c: tx.clean_text(c, "ascii"),
     "clean_text_control": lambda c: tx.clean_text(c, "control"),
-    "preprocess_documents": tx.preprocess_document,
+    "preprocess_documents": lambda c: tx.preprocess_document(c, None),
 }
 
 
@@ -98,9 +118,9 @@ def _cleaned(make):  # noqa: ANN001, ANN202  a function of a text column
 
 QUERIES = {
     **{name: _cleaned(make) for name, make in _TEXTS.items()},
-    "extract_doc_text": lambda t: t.read("pages").select("page_id", F.md5(F.coalesce(tx.doc_text(F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(""), F.col("url"), F.substring("html", 1, 80), 500), F.lit(""))).alias("digest")),
+    "extract_doc_text": lambda t: t.read("pages").select("page_id", F.md5(F.coalesce(tx.doc_text(F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(""), F.col("url"), F.col("html"), None), F.lit(""))).alias("digest")),
     "extract_query_text": lambda t: t.read("documents").select("doc_id", tx.query_text(F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang")), F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.lit(" "))).alias("query")),
-    "passage_windows": lambda t: t.docs.select("docid", F.posexplode(tx.passages(F.col("text")))).select("docid", F.col("pos").cast("long").alias("pos"), F.md5("col").alias("digest")),
+    "passage_windows": lambda t: t.docs.select("docid", F.posexplode(tx.passages(F.col("text"), max_chars=None))).select("docid", F.col("pos").cast("long").alias("pos"), F.md5("col").alias("digest")),
     "categorize_score": lambda t: _rw(t).select("qid", "term", "rm_band", "semantic_band", "hybrid_band"),
     "find_queries_by_text": lambda t: t.queries.where(F.contains(F.lower("query"), F.lit("tion"))).orderBy("qid").limit(1),
     "list_queries": lambda t: t.queries.orderBy("qid").limit(20),
@@ -121,7 +141,7 @@ QUERIES = {
     "semi_common_queries": lambda t: t.queries.join(t.run_a.select("qid").distinct(), "qid", "left_semi").join(t.qrels.where("grade = 2").select("qid").distinct(), "qid", "left_semi"),
     "anti_missing_queries": _coverage,
     "join_run_doc_text": lambda t: t.run_a.join(t.docs, "docid").select("qid", "docid", "rank", F.length("text").alias("chars")),
-    "docid_docno_map": lambda t: t.run_a.join(tr.place(t.docs.select("docid"), [F.col("docid")]).select("docid", (F.col("place") - 1).alias("docno")), "docid").select("qid", "docid", "docno"),
+    "docid_docno_map": lambda t: t.run_a.join(tr.numbered(t.docs.select("docid"), "docid").select("docid", (F.col("place") - 1).alias("docno")), "docid").select("qid", "docid", "docno"),
     "training_examples": lambda t: _examples(t).select("qid", "n_candidates", "n_positive", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["docid"].cast("string"), c["grade"].cast("string"))), ",").alias("candidates")),
     "unnest_examples": lambda t: tr.unnest(_examples(t)).select("qid", "docid", "rank", "score", "grade", F.md5("text").alias("digest")),
     "data_stats": lambda t: tr.data_stats(_examples(t)),
@@ -133,15 +153,17 @@ QUERIES = {
     "sample_negatives": lambda t: tr.sample_negatives(_flat(t)),
     "contrastive_examples": lambda t: tr.contrastive(_flat(t)),
     "in_batch_negatives": lambda t: tr.in_batch(_flat(t).where("grade = 2").select("qid", "docid")),
-    "filter_length": lambda t: tr.filter_length(_rows(t), (3, 300), (10, 1600)).select("qid"),
+    "filter_length": lambda t: tr.filter_length(_rows(t), (3, 300), (10, 8000)).select("qid"),
     "filter_quality": lambda t: tr.filter_quality(_rows(t)).select("qid"),
-    "dedup": lambda t: tr.dedup(t.read("documents").select("doc_id", "text"), "text", "doc_id").select("doc_id"),
+    "dedup": lambda t: tr.dedup(t.read("documents"), "text", "doc_id", ("doc_id",)),
     "augment_queries": lambda t: tr.augment(t.queries),
     "balance_queries": lambda t: tr.balance(_counts(t)),
     "preprocess_pipeline": _pipeline,
     "analyze_dataset": _analysis,
     "feature_quality": _input_quality,
     "field_profile": _profile,
+    "compare_profiles": _compared,
+    "load_components": _components,
     "loss_metrics": lambda t: tr.losses(_flat(t).withColumn("score", F.col("score") / 50)),
     "expansion_match_boost": lambda t: _boosted(t),
 }
@@ -154,10 +176,10 @@ def _boosted(t: Tables) -> DataFrame:
     return met.select("qid", "docid", F.round(F.col("score") + 0.1 * F.col("hits") / F.greatest(F.lit(1), "n"), 6).alias("score"))
 
 
-_MARKS = f"translate(left(coalesce(text, ''), 100000), '{tx.MARKED}', '{tx.PLAIN}')"
+_MARKS = f"translate(coalesce(text, ''), '{tx.MARKED}', '{tx.PLAIN}')"
 _ASCII0 = rf"trim(regexp_replace(regexp_replace({_MARKS}, '[^\x20-\x7E\s]', '', 'g'), '\s+', ' ', 'g'))"
 _ASCII = f"CASE WHEN length({_ASCII0}) < 3 THEN '' ELSE {_ASCII0} END"
-_CONTROL = r"trim(regexp_replace(regexp_replace(left(coalesce(text, ''), 50000), '[\x00-\x1F\x7F-\x{9F}]', ' ', 'g'), '\s+', ' ', 'g'))"
+_CONTROL = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x1F\x7F-\x{9F}]', ' ', 'g'), '\s+', ' ', 'g'))"
 _QCLEAN = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_\s\-]', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
@@ -182,7 +204,7 @@ _EX = {
     "ex": """SELECT qid, docid, rank, score, coalesce(grade, 0) AS grade, text FROM run_a LEFT JOIN qrels USING (qid, docid) JOIN d USING (docid)
       WHERE text IS NOT NULL AND trim(text) != '' AND qid IN (SELECT qid FROM run_a JOIN qrels USING (qid, docid) WHERE grade > 0)""",
 }
-_ROWS = {**_FLAT, "rows3": "SELECT qid, any_value(query) AS query, list(left(text, 1500) ORDER BY rank) AS texts, count(*) FILTER (grade > 0) AS n_positive, count(*) FILTER (grade <= 0) AS n_negative FROM flat JOIN q USING (qid) WHERE rank <= 20 GROUP BY qid"}
+_ROWS = {**_FLAT, "rows3": "SELECT qid, any_value(query) AS query, list(text ORDER BY rank) AS texts, count(*) FILTER (grade > 0) AS n_positive, count(*) FILTER (grade <= 0) AS n_negative FROM flat JOIN q USING (qid) WHERE rank <= 20 GROUP BY qid"}
 _GOOD = "n_positive > 0 AND n_negative > 0 AND trim(query) != '' AND list_bool_and(list_transform(texts, lambda x: trim(x) != ''))"
 _FITS = "length(query) BETWEEN {a} AND {b} AND list_bool_and(list_transform(texts, lambda x: length(x) BETWEEN 10 AND {c}))"
 _FOLDS = "SELECT fold, CASE WHEN own = fold THEN 'testing' ELSE 'training' END AS split, qid FROM (SELECT qid, row_number() OVER (ORDER BY md5('1:' || qid), qid) % 5 AS own FROM q), (SELECT unnest(range(5)) AS fold)"
@@ -196,19 +218,22 @@ def _spaced(order: str) -> str:
     return sql("qrels", f"SELECT qid, docid, place FROM (SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY {order}) AS place, greatest(1, floor(count(*) OVER (PARTITION BY qid) / 3)) AS step FROM flat) WHERE (place - 1) % step = 0 AND (place - 1) / step < 3", **_FLAT)
 
 
+_DOC_FIELDS = "SELECT 'text' AS field, text AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents"
+_PROFILE = """SELECT field, count(*) FILTER (trim(value) != '') AS filled, round(avg(length(value)) FILTER (trim(value) != ''), 6) AS mean_length, count(DISTINCT value) FILTER (trim(value) != '') AS values,
+      count(*) FILTER (contains(lower(value), 'information')) AS hits FROM ({source}) GROUP BY field"""
 _BUCKET = "(('0x' || left(md5({x}), 4))::INT % 100)"
-_CATEGORY = ", ".join(f"({i}, '{name}', '{w}')" for i, (name, text) in enumerate(rw.CATEGORIES) for w in text.split())
+_CATEGORY = ", ".join(f"({i}, '{name}', '{w}')" for i, (name, words) in enumerate(rw.CATEGORIES) for w in words)
 
 SQL = {
     "clean_query": _digest(f"CASE WHEN {_QCLEAN} = '' THEN 'empty query' ELSE {_QCLEAN} END"),
     "clean_text_ascii": _digest(_ASCII),
     "clean_text_control": _digest(_CONTROL),
-    "preprocess_documents": _digest(f"CASE WHEN length(left({_ASCII}, 5000)) < 10 THEN '' ELSE left({_ASCII}, 5000) END"),
-    "extract_doc_text": "SELECT page_id, md5(coalesce(left(coalesce(nullif(trim(CASE WHEN page_id % 2 = 0 THEN html ELSE '' END), ''), trim(concat_ws(' ', nullif(trim(url), ''), nullif(trim(left(html, 80)), '')))), 500), '')) AS digest FROM pages",
+    "preprocess_documents": _digest(f"CASE WHEN length({_ASCII}) < 10 THEN '' ELSE {_ASCII} END"),
+    "extract_doc_text": "SELECT page_id, md5(coalesce(coalesce(nullif(trim(CASE WHEN page_id % 2 = 0 THEN html ELSE '' END), ''), trim(concat_ws(' ', nullif(trim(url), ''), nullif(trim(html), '')))), '')) AS digest FROM pages",
     "extract_query_text": "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END), ''), nullif(concat_ws(' ', nullif(trim(source), ''), nullif(trim(CASE WHEN doc_id % 2 = 0 THEN lang ELSE ' ' END), '')), '')) AS query FROM documents",
     "passage_windows": sql(
         "d", "SELECT docid, i AS pos, md5(array_to_string(units[i * 5 + 1 : i * 5 + 10], '. ')) AS digest FROM (SELECT docid, units, unnest(range(0, greatest(0, ceil((len(units) - 10) / 5))::BIGINT + 1)) AS i FROM u WHERE len(units) > 0)",
-        u=r"SELECT docid, list_filter(list_transform(regexp_split_to_array(left(coalesce(text, ''), 10000), '\.[\s]+|\n'), lambda s: trim(s)), lambda s: s != '') AS units FROM d",
+        u=r"SELECT docid, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\.[\s]+|\n'), lambda s: trim(s)), lambda s: s != '') AS units FROM d",
     ),
     "categorize_score": sql("rm3t", "SELECT qid, term, rm_band, semantic_band, hybrid_band FROM rw", **_RW),
     "find_queries_by_text": sql("q", "SELECT qid, query FROM q WHERE contains(lower(query), 'tion') ORDER BY qid LIMIT 1"),
@@ -262,7 +287,7 @@ SQL = {
       FROM (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY md5('1:' || qid || ':' || docid)) AS place FROM kinds) GROUP BY qid HAVING count(*) FILTER (kind = 'positive') > 0""", **_KIND,
     ),
     "in_batch_negatives": sql("qrels", "SELECT DISTINCT a.batch AS batch, a.qid AS qid, b.docid AS negative FROM r a JOIN r b ON a.batch = b.batch AND a.qid != b.qid", r="SELECT qid, docid, ((dense_rank() OVER (ORDER BY qid)) - 1) // 4 AS batch FROM qrels WHERE grade = 2"),
-    "filter_length": sql("qrels", f"SELECT qid FROM rows3 WHERE {_FITS.format(a=3, b=300, c=1600)}", **_ROWS),
+    "filter_length": sql("qrels", f"SELECT qid FROM rows3 WHERE {_FITS.format(a=3, b=300, c=8000)}", **_ROWS),
     "filter_quality": sql("qrels", f"SELECT qid FROM rows3 WHERE {_GOOD}", **_ROWS),
     "dedup": "SELECT min(doc_id) AS doc_id FROM documents WHERE trim(text) != '' GROUP BY text",
     "augment_queries": sql(
@@ -273,13 +298,19 @@ SQL = {
     "balance_queries": sql("qrels", "SELECT bucket, qid FROM (SELECT bucket, qid, row_number() OVER (PARTITION BY bucket ORDER BY md5('1:' || qid)) AS place FROM (SELECT qid, CASE WHEN count(*) <= 2 THEN 'few' WHEN count(*) <= 10 THEN 'some' ELSE 'many' END AS bucket FROM qrels WHERE grade > 0 GROUP BY qid)) WHERE place <= 5"),
     "preprocess_pipeline": sql(
         "qrels", "SELECT '0 input' AS step, count(*) AS rows FROM rows3 UNION ALL SELECT '1 quality', count(*) FROM good UNION ALL SELECT '2 length', count(*) FROM fit UNION ALL SELECT '3 dedup', count(DISTINCT query) FROM fit", **_ROWS,
-        good=f"SELECT * FROM rows3 WHERE {_GOOD}", fit=f"SELECT * FROM good WHERE {_FITS.format(a=3, b=400, c=2000)}",
+        good=f"SELECT * FROM rows3 WHERE {_GOOD}", fit=f"SELECT * FROM good WHERE {_FITS.format(a=3, b=400, c=12000)}",
     ),
     "analyze_dataset": sql("qrels", "SELECT round(avg(words), 6) AS words_mean, round(stddev_pop(words), 6) AS words_std, round(avg(n), 6) AS positives_mean, round(stddev_pop(n), 6) AS positives_std, min(words)::INT AS words_low, max(words)::INT AS words_high FROM (SELECT len(string_split(query, ' ')) AS words, (SELECT count(*) FROM qrels r WHERE r.qid = q.qid AND grade > 0) AS n FROM q)"),
     "feature_quality": sql(
         "qrels rm3t", "SELECT count(*) AS queries, count(*) FILTER (c IS NULL) AS empty_runs, round(avg(c), 6) AS mean_run, count(*) FILTER (t IS NULL) AS empty_features, round(avg(t), 6) AS mean_terms, count(*) FILTER (p > 0) AS with_positives FROM q LEFT JOIN (SELECT qid, count(*) AS c FROM run_a GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS t FROM rm3t GROUP BY qid) USING (qid) LEFT JOIN (SELECT qid, count(*) AS p FROM qrels WHERE grade > 0 GROUP BY qid) USING (qid)",
     ),
-    "field_profile": "SELECT field, count(*) FILTER (trim(value) != '') AS filled, round(avg(length(value)) FILTER (trim(value) != ''), 6) AS mean_length, count(DISTINCT value) FILTER (trim(value) != '') AS values FROM (SELECT 'text' AS field, text AS value FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY field",
+    "field_profile": _PROFILE.format(source=_DOC_FIELDS),
+    "compare_profiles": f"""SELECT field, CASE WHEN b.filled IS NULL THEN 'only a' WHEN a.filled IS NULL THEN 'only b' ELSE 'both' END AS status, a.filled AS filled_a, b.filled AS filled_b, a.mean_length AS mean_a, b.mean_length AS mean_b, coalesce(a.mean_length < 0.1e0 * b.mean_length, false) AS short
+      FROM (SELECT * FROM ({_PROFILE.format(source=_DOC_FIELDS)}) WHERE filled > 0) a FULL JOIN (SELECT * FROM ({_PROFILE.format(source="SELECT 'text' AS field, html AS value FROM pages UNION ALL SELECT 'url', url FROM pages")}) WHERE filled > 0) b USING (field)""",
+    "load_components": sql(
+        "qrels", """SELECT 'queries' AS part, count(*) AS rows, count(DISTINCT qid) AS ids FROM q WHERE qid % 4 = 0 UNION ALL SELECT 'run', count(*), count(DISTINCT docid) FROM run_a WHERE qid % 4 = 0 UNION ALL SELECT 'qrels', count(*), count(DISTINCT docid) FROM qrels WHERE qid % 4 = 0
+      UNION ALL SELECT 'documents', count(*), count(DISTINCT docid) FROM d WHERE docid IN (SELECT docid FROM run_a WHERE qid % 4 = 0 UNION ALL SELECT docid FROM qrels WHERE qid % 4 = 0)""",
+    ),
     "loss_metrics": sql(
         "qrels", """SELECT (SELECT round(avg((s - y) * (s - y)), 6) FROM x) AS mse, (SELECT round(avg(greatest(s, 0) - s * y + ln(1 + exp(-abs(s)))), 6) FROM x) AS bce,
       (SELECT round(avg(h), 6) FROM per) AS hinge, (SELECT round(avg(ln(1 + r)), 6) FROM per) AS info_nce""", **_FLAT,
