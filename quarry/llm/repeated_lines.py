@@ -18,6 +18,8 @@ from quarry.llm.hashing import Words, run_digests, split_words
 
 #: Spans of fewer words are left alone: headings, greetings and licence lines repeat in clean documents.
 LEAST_WORDS = 30
+#: Words that a sentence has at least; a shorter one goes on into the next, so that no single words are units.
+SENTENCE_WORDS = 4
 AT_ONCE = 1 << 20
 
 #: Bytes that end a sentence if a word ends with one.
@@ -26,14 +28,22 @@ _ENDS = np.isin(np.arange(256), list(b".!?"))
 
 def _first_words(data: np.ndarray, words: Words, unit: str) -> np.ndarray:
     """Numbers of the words that begin a unit: the first of a document, after a line break (a paragraph: after two with
-    nothing but space between), and, if the unit is a sentence, after a word that ends one."""
+    nothing but space between), and, if the unit is a sentence, after a word that ends one of SENTENCE_WORDS or more."""
     begins = np.zeros(len(words.start), bool)
     begins[words.first[:-1][words.first[:-1] < len(begins)]] = True
     breaks = np.concatenate((np.zeros(1, np.int64), np.cumsum(data == 10)))
     begins[1:] |= breaks[words.start[1:]] - breaks[words.end[:-1]] >= (2 if unit == "paragraph" else 1)
-    if unit == "sentence":
-        begins[1:] |= _ENDS[data[words.end[:-1] - 1]]
-    return np.flatnonzero(begins)
+    if unit != "sentence":
+        return np.flatnonzero(begins)
+    after_end = np.zeros(len(begins), bool)
+    after_end[1:] = _ENDS[data[words.end[:-1] - 1]]
+    likely = np.flatnonzero(begins | after_end)
+    first, last = [], 0
+    for place, sure in zip(likely.tolist(), begins[likely].tolist(), strict=True):
+        if sure or place - last >= SENTENCE_WORDS:
+            first.append(place)
+            last = place
+    return np.array(first, np.int64)
 
 
 def _units(unit: str):  # noqa: ANN202  a function of batches
@@ -65,8 +75,8 @@ def _units(unit: str):  # noqa: ANN202  a function of batches
 def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, unit: str = "sentence") -> DataFrame:
     """Every span that repeats what came before: (doc_id, start, end, n_words, n_units, first_doc_id, first_start, body).
 
-    A unit is a sentence (up to a word that ends with a full stop, an exclamation or question mark, or to the end of the
-    line), a line, or a paragraph (what lies between blank lines). It is normalised to its words, A to Z in lower case, so
+    A unit is a sentence (of SENTENCE_WORDS or more, up to a word that ends with a full stop, an exclamation or question mark,
+    or to the end of the line), a line, or a paragraph (what lies between blank lines). It is normalised to its words, A to Z in lower case, so
     spacing doesn't count. Of equal units that of the least doc_id stays, nulls last, then that which begins first, also
     within a document; the others are repeats. Neighbouring repeats of a document form one span, which is returned if it
     has least_words words or more. Offsets are code points of the original text, from the first word to the end of the
@@ -83,7 +93,8 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("body"))
     units = written(rows.mapInArrow(_units(unit), schema))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "body")
-    first = units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own, so that the join can split a digest that very many units share
+    first = written(units.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = units.join(first, ["high", "low"]).where(F.col("first") != place)
     # a document's repeats in order; equal rows of the table are one document
     own = again.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")))).alias("units"))
@@ -120,7 +131,7 @@ def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH pieces AS (
   SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (
-    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+)*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS p FROM documents)
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]+){3}(?:[^\x20\x09-\x0D]*[^\x20\x09-\x0D.!?][\x20\x09\x0B-\x0D]+)*[^\x20\x09-\x0D]+|(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]+)*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS p FROM documents)
 ), placed AS (
   SELECT doc_id, piece, i, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM pieces
 ), units AS (

@@ -177,7 +177,7 @@ def brute_spans(rows, least, unit="sentence"):
         units, before = [], None
         for m in re.finditer("[^\x20\x09-\x0d]+", t or ""):
             breaks = t[before.end() : m.start()].count("\n") if before else 9
-            if breaks >= (2 if unit == "paragraph" else 1) or (unit == "sentence" and before.group()[-1] in ".!?"):
+            if breaks >= (2 if unit == "paragraph" else 1) or (unit == "sentence" and before.group()[-1] in ".!?" and len(units[-1]) >= 4):
                 units.append([])
             units[-1].append(m)
             before = m
