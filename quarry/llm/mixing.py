@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from quarry.llm.common import cut, table, words
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
 MOST_PASSES = 3
-#: Tokens of a block at most; small corpora take smaller blocks, so that about LEAST_SLOTS slots are drawn.
-BLOCK_TOKENS, LEAST_SLOTS = 1024, 20_000
+#: Tokens of a block at most; small corpora take smaller blocks, so that about LEAST_SLOTS slots are drawn, and small sources
+#: smaller ones, so that each has LEAST_BLOCKS blocks if it has as many words.
+BLOCK_TOKENS, LEAST_SLOTS, LEAST_BLOCKS = 1024, 20_000, 64
 #: Fractional part of the golden ratio, scaled to 2 ** 32 and odd: slot k lies at k * PHI mod 2 ** 32.
 PHI, UNIT = 2654435769, 1 << 32
 #: Chunks in which ranks and running sums are taken, so that no source is sorted by one task.
@@ -84,38 +87,44 @@ def mix(docs: DataFrame, size: Column | None = None, seed: int = 1, text: str =
 
     Returns (documents, slots). documents: doc_id, source, size, source_size, target, taken (words, repeats counted), and
     pieces, the word ranges of the document by block with the number of times each is taken; slots: slot, source, block.
-    A source's documents are put in a seeded order and cut into blocks of equal tokens; slot number k of a source takes
-    block k modulo its blocks. All sources end within a block or two of their targets, and no document is taken more than
-    `passes` times its size. Null source is a source, last in order. Null and empty texts have size 0 and are never taken.
+    A source's documents are put in a seeded order and cut into blocks of equal tokens of its own (within one); its share of
+    the slots is its target over the size of its blocks, and its slot number k takes block k modulo its blocks. All sources
+    end within a few of their blocks of their targets, small ones as well, and no document is taken more than `passes` times
+    its size. Null source is a source, last in order. Null and empty texts have size 0 and are never taken.
     Rows with the same doc_id are separate rows, told apart by their place. An empty table gives empty results.
     Extra columns are left out. The number of sources is taken to be small (checked: at most 100,000).
     """
     measured = docs.select(F.col("doc_id"), F.col("source"), (size if size is not None else _word_count(F.col(text))).alias("size"))
     sized = cut(measured.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
-    plan = targets(sums, weights, passes)
+    plan = cut(targets(sums, weights, passes))
     by_source = W.orderBy(F.col("source").asc_nulls_last())
-    total = F.sum("target").over(W.partitionBy())
-    reach = F.sum("target").over(by_source.rowsBetween(W.unboundedPreceding, 0))
-    plan = plan.withColumn("source_no", F.row_number().over(by_source)).withColumn("high", F.when(total > 0, F.round(reach / total * UNIT)).otherwise(0).cast("long"))
-    plan = cut(plan.withColumn("low", F.coalesce(F.lag("high").over(by_source), F.lit(0))))
-    known = plan.agg(F.count("*").alias("n"), F.sum("target").alias("t"), F.sum("source_size").alias("words")).first()
+    known = plan.agg(F.count("*").alias("n"), F.sum("target").alias("t")).first()
     if known["n"] > 100_000:
         raise ValueError(f"{known['n']} sources: a source must be a small vocabulary")
-    goal = int(known["t"] or 0)
-    block = max(1, min(BLOCK_TOKENS, goal // LEAST_SLOTS))
-    slots = -(-goal // block) if goal else 0
+    block = max(1, min(BLOCK_TOKENS, int(known["t"] or 0) // LEAST_SLOTS))
+    of = F.col("source_size")
+    blocks = F.greatest(F.ceil(of / block), F.least(of, F.lit(LEAST_BLOCKS))).cast("long")
+    plan = plan.withColumn("source_no", F.row_number().over(by_source)).withColumn("blocks", blocks)
+    plan = plan.withColumn("slots", F.when(of > 0, F.col("target") * F.col("blocks") / of).otherwise(0.0))
+    total, reach = F.sum("slots").over(W.partitionBy()), F.sum("slots").over(by_source.rowsBetween(W.unboundedPreceding, 0))
+    plan = plan.withColumn("high", F.when(total > 0, F.round(reach / total * UNIT)).otherwise(0).cast("long"))
+    # the first `longer` blocks of a source have width + 1 tokens, the others width
+    plan = plan.withColumn("width", F.when(of > 0, F.expr("source_size DIV blocks")).otherwise(1)).withColumn("longer", F.when(of > 0, of % F.col("blocks")).otherwise(0))
+    plan = cut(plan.withColumn("low", F.coalesce(F.lag("high").over(by_source), F.lit(0))))
+    slots = int(math.ceil(plan.agg(F.sum("slots")).first()[0] or 0))
 
-    placed = sized.join(F.broadcast(plan.select(F.col("source").alias("_source"), "source_no", "source_size", "target")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    placed = sized.join(F.broadcast(plan.select(F.col("source").alias("_source"), "source_no", "source_size", "target", "width", "longer")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     fine = placed.withColumn("chunk", F.shiftrightunsigned(F.col("key"), 52))
     fine = _running(fine, ["source_no"], "chunk", ["key", "doc_id", "size"], F.col("size"), "start")
     filled = fine.where(F.col("size") > 0)
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    pieces = filled.select("source_no", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    pieces = pieces.withColumn("from", F.greatest(F.col("block") * block, F.col("start")) - F.col("start")).withColumn("to", F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.col("start"))
+    filled = filled.withColumn("end", F.col("start") + F.col("size"))
+    at = lambda x: F.expr(f"CASE WHEN {x} < longer * (width + 1) THEN {x} DIV (width + 1) ELSE longer + ({x} - longer * (width + 1)) DIV width END")
+    edge = lambda b: b * F.col("width") + F.least(b, F.col("longer"))
+    pieces = filled.select("source_no", "start", "end", "width", "longer", F.explode(F.sequence(at("start"), at("(end - 1)"))).alias("block"))
+    pieces = pieces.withColumn("from", F.greatest(edge(F.col("block")), F.col("start")) - F.col("start")).withColumn("to", F.least(edge(F.col("block") + 1), F.col("end")) - F.col("start"))
 
-    blocks = F.broadcast(plan.select("source_no", "source", F.ceil(F.col("source_size") / block).alias("blocks")))
-    drawn = schedule(plan, slots).join(blocks, "source_no").where(F.col("rank") < passes * F.col("blocks")).select("slot", "source_no", "source", (F.col("rank") % F.col("blocks")).alias("block"))
+    drawn = schedule(plan, slots).join(F.broadcast(plan.select("source_no", "source", "blocks")), "source_no").where(F.col("rank") < passes * F.col("blocks")).select("slot", "source_no", "source", (F.col("rank") % F.col("blocks")).alias("block"))
     times = drawn.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     joined = pieces.join(times, ["source_no", "block"])
     found = joined.groupBy("source_no", "start").agg(
