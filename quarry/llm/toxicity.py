@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import bounded, cut, runs, small, table, text_bytes, written
+from quarry.functions.samples import bounded
+from quarry.llm.common import cut, runs, small, table, text_bytes, written
 from quarry.llm.hashing import grams, split_words
 from quarry.llm.language import held_out
 
@@ -69,8 +70,8 @@ _PUNCTUATION = set(SEPARATORS) - {"("}
 MOST_FITTED = 50_000
 #: Words of a lexicon that is broadcast, at most; a larger one is joined.
 MOST_HELD = 200_000
-#: Longest token, in bytes, whose reading is remembered.
-REMEMBERED = 64
+#: Longest token, in bytes, whose reading is remembered; decoded tokens that are remembered at once.
+REMEMBERED, DECODED = 64, 100_000
 
 
 #: A reading as text, log probability and symbols.
@@ -197,7 +198,7 @@ class _Restorer:
             found += [w for w in self.model.restore(text, fold=False).encode().split() if w not in found]
         hidden = [w for w in found if w not in shown]
         if len(text) <= REMEMBERED:
-            if len(self.decoded) > 200_000:
+            if len(self.decoded) > DECODED:
                 self.decoded.clear()
             self.decoded[text] = hidden
         return hidden
@@ -215,7 +216,7 @@ class _Restorer:
             value = part, self.decode(core) if len(core) > 2 and _LETTER.search(core) and (signed or twice) else []
             value = value if part or value[1] else _NOTHING
         if len(token) <= REMEMBERED:
-            if len(self.memory) > 400_000:
+            if len(self.memory) > 2 * DECODED:
                 self.memory.clear()
             self.memory[token] = value
         return value
