@@ -347,6 +347,12 @@ def test_private_spans_and_redaction(spark, odd, empty):
     assert not privacy.learn(empty).nodes and privacy.find_spans(empty, trees).count() == 0
 
 
+def test_thresholds_of_kinds():
+    p, right, wrong = np.array([0.99, 0.9, 0.7, 0.6, 0.2]), np.array([1, 1, 1, 1, 1]), np.array([0, 0, 0, 0, 0])
+    assert privacy._threshold(p, right) == 0.5 and privacy._threshold(p, wrong) == 2.0
+    assert privacy._threshold(p, np.array([1, 1, 1, 0, 0])) == 0.7 and privacy._threshold(p, np.array([1, 1, 1, 1, 0])) == 0.6
+
+
 def test_gate_and_secrets_hold_all_that_is_generated():
     for text in ("write john.smith AT example DOT com", "write john.smith [AT] example [DOT] com", "write john.smith(At)example(Dot)com", "john.smith at example dot com"):
         assert [k for k, _, _ in privacy.candidates(text)[1]] == ["spelled"] and privacy._MAY_HOLD.search(text.encode()), text
