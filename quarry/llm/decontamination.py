@@ -29,7 +29,7 @@ SHINGLE, SIMILAR, DIFFERENT = 5, 75, 100
 RADIUS, BLOCKS = 22, 8
 #: Words of benchmark that are held by a task at once; a larger benchmark is taken in slices.
 SLICE_WORDS = 500_000
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 _BITS = 64 // BLOCKS
 _LANES = [np.uint64(k) for k in range(8)]

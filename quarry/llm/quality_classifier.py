@@ -17,7 +17,7 @@ from quarry.llm.language import held_out
 
 #: Trusted positives and unlabelled texts that the model is fitted on, each at most, by hash order.
 MOST_FITTED = 40_000
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 #: What is measured of a text. Shares are of words, or of characters where the name says so.
 FEATURES = (

@@ -20,7 +20,7 @@ from quarry.llm.hashing import Words, run_digests, split_words
 LEAST_WORDS = 30
 #: Words that a sentence has at least; a shorter one goes on into the next, so that no single words are units.
 SENTENCE_WORDS = 4
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 #: Bytes that end a sentence if a word ends with one.
 _ENDS = np.isin(np.arange(256), list(b".!?"))

@@ -71,7 +71,9 @@ MOST_FITTED = 50_000
 #: Words of a lexicon that is broadcast, at most; a larger one is joined.
 MOST_HELD = 200_000
 #: Longest token, in bytes, whose reading is remembered; decoded tokens that are remembered at once.
-REMEMBERED, DECODED = 64, 100_000
+REMEMBERED, DECODED = 64, 50_000
+#: Words that a task counts before it gives them out.
+MOST_COUNTED = 150_000
 
 
 #: A reading as text, log probability and symbols.
@@ -159,7 +161,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SYMBOLS**3, np.int64)
     for batch in batches:
         data, at = text_bytes(batch.column(0))
-        for i, j in runs(at, 1 << 20):
+        for i, j in runs(at, 1 << 18):
             plain = np.frombuffer(b" " + b"  ".join(data[at[k] : at[k + 1]].tobytes().translate(PLAIN) for k in range(i, j)) + b" ", np.uint8)
             # two edges before each word, so its first letters have a context of their own
             edge = plain == 32
@@ -283,7 +285,7 @@ def _word_counts(counts: list[tuple[int, int]]):  # noqa: ANN202  a function of
                         both = table.setdefault(w, [0, 0])
                         both[0] += label
                         both[1] += 1
-                if len(table) > 400_000:
+                if len(table) > MOST_COUNTED:
                     yield emptied(table)
         yield emptied(table)
 
