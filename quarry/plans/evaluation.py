@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.scores import top_k
@@ -39,13 +40,15 @@ def _steps(t: Tables) -> DataFrame:
 
 
 def build_up(t: Tables) -> DataFrame:
-    """(qid, step, value): nDCG@10 of the query of the first `step` terms. Parts of each term are scored once; the step's
-    query is the range of terms up to it."""
+    """(qid, step, value): nDCG@10 of the query of the first `step` terms. Parts of each term are scored once; a document's
+    score is their running sum and holds from the step of one of its terms to that of its next."""
     steps = _steps(t)
     parts = lexical.bm25_parts(steps, t.index).select("qid", "step", "docid", "part")
-    upto = steps.select("qid", F.col("step").alias("upto"))
-    summed = parts.join(upto, (parts["qid"] == upto["qid"]) & (parts["step"] <= upto["upto"])).groupBy(parts["qid"], F.col("upto").alias("step"), "docid").agg(F.round(F.sum("part"), 6).alias("score"))
-    run = top_k(summed, 1000, ["qid", "step"])
+    by_step = W.partitionBy("qid", "docid").orderBy("step")
+    score = F.round(F.sum("part").over(by_step.rowsBetween(W.unboundedPreceding, 0)), 6)
+    running = parts.withColumns({"score": score, "next": F.lead("step").over(by_step)}).join(F.broadcast(steps.groupBy("qid").agg(F.max("step").alias("last"))), "qid")
+    held = running.select("qid", "docid", "score", F.explode(F.sequence("step", F.coalesce(F.col("next") - 1, "last"))).alias("step"))
+    run = top_k(held, 1000, ["qid", "step"])
     return ev.per_query(run, t.qrels, ("ndcg_10",), ("qid", "step")).select("qid", "step", "value")
 
 
