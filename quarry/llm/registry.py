@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import chat, decontamination, language, mixing, near_duplicates, privacy, quality_classifier, quality_rules, repeated_lines, toxicity
+from quarry.llm import chat, chat_repair, decontamination, language, mixing, near_duplicates, neighbours, phrases, privacy, quality_classifier, quality_rules, repeated_lines, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -21,6 +21,9 @@ QUERIES = {
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_repeated_lines": repeated_lines.op9_repeated_lines,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_neighbours": neighbours.op12_neighbours,
+    "op13_conversation_repair": chat_repair.op13_conversation_repair,
 }
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
@@ -28,6 +31,7 @@ SQL = {
     "op5_decontamination": decontamination.OP5_SQL,
     "op9_repeated_lines": repeated_lines.OP9_SQL,
     "op10_chat_formatting": chat.OP10_SQL,
+    "op11_phrases": phrases.OP11_SQL,
 }
 
 
