@@ -87,6 +87,13 @@ def test_trie_accepts_its_phrases_only():
 # nearest neighbours
 
 
+def distance(a, b):
+    total = 0.0
+    for x, y in zip(a, b, strict=True):
+        total += (x - y) * (x - y)
+    return math.sqrt(total)
+
+
 def brute_neighbours(rows, k=10):
     known = {}
     for i, v in rows:
@@ -97,7 +104,7 @@ def brute_neighbours(rows, k=10):
     known = {i: v for i, v in known.items() if len(v) == usual}
     out = []
     for q in (i for i in known if i % 100 == 0):
-        best = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(known[q], v, strict=True))), i) for i, v in known.items() if i != q)
+        best = sorted((distance(known[q], v), i) for i, v in known.items() if i != q)
         out += [(q, n, i, d) for n, (d, i) in enumerate(best[:k], 1)]
     return out
 
