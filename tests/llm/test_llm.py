@@ -170,26 +170,35 @@ def test_simhash_counts_bits():
         assert got.tolist() == want
 
 
+def cut_up(text, unit, clauses):
+    """Lists of the words of each unit, by going from word to word."""
+    units, before = [], None
+    for m in re.finditer("[^\x20\x09-\x0d]+", text or ""):
+        breaks = text[before.end() : m.start()].count("\n") if before else 9
+        ended = unit == "sentence" and before and before.group()[-1] in (".!?:;" if clauses else ".!?") and (clauses or len(units[-1]) >= 4)
+        if breaks >= (2 if unit == "paragraph" else 1) or ended:
+            units.append([])
+        units[-1].append(m)
+        before = m
+    return [u for u in units if len(u) >= 4 or not clauses]
+
+
 def brute_spans(rows, least, unit="sentence"):
     """Spans by going through the documents in order and remembering each unit in a dict."""
     seen, out = {}, set()
     for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
-        units, before = [], None
-        for m in re.finditer("[^\x20\x09-\x0d]+", t or ""):
-            breaks = t[before.end() : m.start()].count("\n") if before else 9
-            if breaks >= (2 if unit == "paragraph" else 1) or (unit == "sentence" and before.group()[-1] in ".!?" and len(units[-1]) >= 4):
-                units.append([])
-            units[-1].append(m)
-            before = m
-        run = []
-        for u in [*units, []]:
+        units = {(u[0].start(), u[-1].end()): u for clauses in ((False, True) if unit == "sentence" else (False,)) for u in cut_up(t, unit, clauses)}
+        spans, number = [], {m.start(): i for i, m in enumerate(re.finditer("[^\x20\x09-\x0d]+", t or ""))}
+        for (start, end), u in sorted(units.items()):
             key = tuple(w.group().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in u)
-            if u and seen.setdefault(key, (d, u[0].start())) != (d, u[0].start()):
-                run.append((u, *seen[key]))
+            if seen.setdefault(key, (d, start)) == (d, start):
+                continue
+            first, last = number[start], number[start] + len(u)
+            if spans and first <= spans[-1][3]:
+                spans[-1][1], spans[-1][3], spans[-1][4] = max(spans[-1][1], end), max(spans[-1][3], last), spans[-1][4] + 1
             else:
-                if sum(len(u) for u, *_ in run) >= least:
-                    out.add((d, run[0][0][0].start(), run[-1][0][-1].end(), sum(len(u) for u, *_ in run), len(run), *run[0][1:]))
-                run = []
+                spans.append([start, end, first, last, 1, *seen[key]])
+        out |= {(d, a, b, last - first, n, *place) for a, b, first, last, n, *place in spans if last - first >= least}
     return out
 
 
@@ -226,6 +235,18 @@ def test_repeated_spans_of_wrapped_and_embedded_passages(spark):
     assert {r["doc_id"] for r in got.collect()} == {i for i in range(1, 12) if i % 3 != 2}
 
 
+def test_repeats_behind_short_words(spark):
+    rng = random.Random(5)
+    passage = sentence(rng, 45) + "."
+    leads = ["", "Note. ", "Yes. No. Maybe. ", "See this: ", "One; two. Three: ", "A first line of its own\n", "Really? Yes.\n\n"]
+    rows = [(i, lead + (passage if i < 7 else passage.replace(" ", "  "))) for i, lead in enumerate(leads * 2)] + [(20, sentence(rng, 60) + ".")]
+    got = {r["doc_id"]: r for r in repeated_lines.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(range(1, 14))
+    for i, text in rows[1:14]:
+        # the whole passage is part of the span, and nothing of what leads to it that others don't have
+        assert words(text[got[i]["start"] : got[i]["end"]])[-45:] == words(passage) and (i >= 7 or got[i]["n_words"] == 45)
+
+
 def test_removal_keeps_clashing_columns(spark):
     text = "one sentence with quite a few words in it that is said twice over and over again by many a text of this very small table indeed and so on."
     docs = spark.createDataFrame([(1, text, 7, "b", "r"), (2, "Own. " + text, 8, "c", "s"), (2, "Own. " + text, 8, "c", "s")], "doc_id long, text string, id int, body string, removed string")
