@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ PHRASES_PER_TRIE = 1 << 19
 #: only lets a needless candidate through.
 FILTER_BITS = 26
 AT_ONCE = 1 << 20
+#: Phrases that a task remembers to have named; beyond, it begins anew and names some again.
+MOST_SHOWN = 1 << 20
 #: Bits of a symbol of the tries: with few symbols, states fit between each other.
 BITS = 4
 
@@ -54,13 +57,13 @@ def _language(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Text, pa.Array]]:
+def _texts(batches: Iterator[pa.RecordBatch], at_once: int = AT_ONCE) -> Iterator[tuple[Text, pa.Array]]:
     """Words of all documents in batches (text, lang), some bytes at a time, with the languages of their documents."""
     for batch in batches:
         whole, at = text_bytes(batch.column(0))
         names = batch.column(1).dictionary_encode()
         seeds = np.array([_language(n) for n in names.dictionary.to_pylist()], np.uint64)[names.indices.to_numpy(zero_copy_only=False)]
-        for i, j in runs(at, AT_ONCE):
+        for i, j in runs(at, at_once):
             data, offsets = _FOLD[whole[at[i] : at[j]]], at[i : j + 1] - at[i]
             # a place before the first byte and after the last, so that edges need no care
             word = np.zeros(len(data) + 2, bool)
@@ -85,7 +88,7 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for text, langs in _texts(batches):
+    for text, langs in _texts(batches, 2 * AT_ONCE):
         digest, at, n = np.unique(text.digest, return_index=True, return_counts=True)
         word = _strings(text.data, text.start[at], text.end[at])
         yield pa.RecordBatch.from_arrays([langs.take(pa.array(text.owner[at])).cast(pa.string()), word, pa.array(digest.view(np.int64)), pa.array(n)], names=["lang", "word", "d", "n"])
@@ -106,20 +109,38 @@ def _filter(frequent: DataFrame, digest: str) -> np.ndarray:
     return bits
 
 
-def _longer(n: int, bits):  # noqa: ANN001, ANN202  a broadcast; a function of batches
-    """Phrases of n words whose two parts of n - 1 words pass the filter: (g, d, n), each once for some text."""
+def _named(gram: np.ndarray, at: np.ndarray, n: int, digest: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """Phrases of n words that begin at some places, with the digests of their words."""
+    digests = np.stack([digest[at + k] for k in range(n)], 1).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(gram) + 1, dtype=np.int32) * n), pa.array(digests.view(np.int64))), pa.array(times)], names=["g", "d", "n"])
+
+
+def _longer(n: int, bits, last: bool):  # noqa: ANN001, ANN202  a broadcast; a function of batches
+    """Phrases of n words whose two parts of n - 1 words pass the filter: (g, d, n), counted for some text at a time; d is
+    left out but for the last level, as far more are counted than turn out frequent. Beside them, with a count of 0, the
+    phrases of n - 1 words that pass the filter, with d, each about once a task."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = np.empty(0, np.uint64)
         for text, _ in _texts(batches):
-            count = max(0, len(text.start) - n + 1)
-            part = _holds(bits.value, text.digest if n == 2 else grams(text.digest, n - 1))
+            count, shorter = max(0, len(text.start) - n + 1), text.digest if n == 2 else grams(text.digest, n - 1)
+            part = _holds(bits.value, shorter)
             whole = part[:count] & part[1 : count + 1]
             for k in range(n - 1):
                 whole &= text.joined[k : count + k]
-            at = np.flatnonzero(whole)
-            gram, first, times = np.unique(grams(text.digest, n)[at], return_index=True, return_counts=True)
-            digests = np.stack([text.digest[at[first] + k] for k in range(n)], 1).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(gram) + 1, dtype=np.int32) * n), pa.array(digests.view(np.int64))), pa.array(times)], names=["g", "d", "n"])
+            gram, first, times = np.unique(grams(text.digest, n)[at := np.flatnonzero(whole)], return_index=True, return_counts=True)
+            if last:
+                yield _named(gram, at[first], n, text.digest, times)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.nulls(len(gram), pa.list_(pa.int64())), pa.array(times)], names=["g", "d", "n"])
+            if n > 2:
+                for k in range(n - 2):
+                    part = part & text.joined[k : len(part) + k]
+                gram, first = np.unique(shorter[at := np.flatnonzero(part)], return_index=True)
+                fresh = ~np.isin(gram, shown, assume_unique=True)
+                gram, first = gram[fresh], first[fresh]
+                shown = np.concatenate((shown if len(shown) < MOST_SHOWN else shown[:0], gram))
+                yield _named(gram, at[first], n - 1, text.digest, np.zeros(len(gram), np.int64))
 
     return grow
 
@@ -227,34 +248,34 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, n_nodes: int) -> np.ndarray:
     return base
 
 
-def _counter(trie):  # noqa: ANN001, ANN202  a broadcast; a function of batches
+def _counter(held):  # noqa: ANN001, ANN202  a broadcast of a trie and the ids of its phrases; a function of batches
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = trie.value
-        counts = np.zeros(len(t.phrases), np.int64)
+        trie, ids = held.value
+        counts = np.zeros(len(ids), np.int64)
         for text, _ in _texts(batches):
-            t.count(text, counts)
+            trie.count(text, counts)
         met = np.flatnonzero(counts)
-        numbers = t.phrases[met]
-        offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum((numbers >= 0).sum(1)))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(t.words[numbers[numbers >= 0]].view(np.int64))), pa.array(counts[met])], names=["d", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(counts[met])], names=["id", "n"])
 
     return count
 
 
 def _phrase_counts(rows: DataFrame, candidates: DataFrame, per_trie: int) -> DataFrame:
-    """(d, f): occurrences of every candidate (g, d), by a broadcast trie for each share of them."""
+    """(d, f): occurrences of every candidate (id, g, d), by a broadcast trie for each share of them."""
     context, shares = rows.sparkSession.sparkContext, max(1, -(-candidates.count() // per_trie))
     counted = None
     for share in range(shares):
-        mine = candidates.where(F.pmod("g", F.lit(shares)) == share).select("d").toArrow()["d"].combine_chunks()
+        mine = candidates.where(F.pmod("g", F.lit(shares)) == share).select("id", "d").toArrow()
         if not len(mine):
             continue
-        at = mine.offsets.to_numpy()
-        trie = context.broadcast(build_trie(np.split(mine.values.to_numpy().view(np.uint64)[at[0] : at[-1]], at[1:-1] - at[0])))
-        part = rows.mapInArrow(_counter(trie), "d array<bigint>, n long")
+        found = mine["d"].combine_chunks()
+        at = found.offsets.to_numpy()
+        trie = build_trie(np.split(found.values.to_numpy().view(np.uint64)[at[0] : at[-1]], at[1:-1] - at[0]))
+        part = rows.mapInArrow(_counter(context.broadcast((trie, mine["id"].to_numpy()))), "id long, n long")
         counted = part if counted is None else counted.unionByName(part)
-    empty = rows.sparkSession.createDataFrame([], "d array<bigint>, n long")
-    return (empty if counted is None else counted).groupBy("d").agg(F.sum("n").alias("f"))
+    empty = rows.sparkSession.createDataFrame([], "id long, n long")
+    summed = (empty if counted is None else counted).groupBy("id").agg(F.sum("n").alias("f"))
+    return candidates.select("id", "d").join(summed, "id").select("d", "f")
 
 
 def collocations(
@@ -279,15 +300,16 @@ def collocations(
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     words = scratch.written(rows.mapInArrow(_words, "lang string, word string, d long, n long").groupBy("lang", "word").agg(F.first("d").alias("d"), F.sum("n").alias("f")))
     frequent = words.where(F.col("f") >= least)
-    level, digest, found = frequent, "d", []
+    bits, found, counted = _filter(frequent, "d"), [], None
     for n in range(2, longest + 1):
-        bits = spark.sparkContext.broadcast(_filter(level, digest))
-        grown = rows.mapInArrow(_longer(n, bits), "g long, d array<bigint>, n long").groupBy("g", "d").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        level, digest = scratch.written(grown.select("g", "d")), "g"
-        found.append(level)
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
+        grown = rows.mapInArrow(_longer(n, spark.sparkContext.broadcast(bits), n == longest), "g long, d array<bigint>, n long").groupBy("g", "d").agg(F.sum("n").alias("n"))
+        grown = scratch.written(grown.where((F.col("n") >= least) | (F.col("n") == 0)))
+        if counted is not None:  # the level before, named by this reading of the texts
+            found.append(grown.where("n = 0").select("g", "d").join(counted, "g", "left_semi"))
+        counted = grown.where("n > 0").select("g")
+        bits = _filter(counted, "g")
+    found.append(grown.where("n > 0").select("g", "d"))
+    candidates = scratch.written(reduce(DataFrame.unionByName, found).withColumn("id", F.monotonically_increasing_id()))
     counted = scratch.written(_phrase_counts(rows, candidates, per_trie).where(F.col("f") >= least))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     out = scratch.written(_scored(counted, frequent, totals, best))
