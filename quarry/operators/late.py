@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scores import top_k
 from quarry.functions.vectors import dot, mean_vector, total
+from quarry.operators.cells import CellFile, looked_at, met
 from quarry.operators.dense import _blocks
 
 # Token ids that mark a sequence, a query, a document, or a mask.
@@ -69,25 +70,47 @@ def interaction_matrix(queries: DataFrame, docs: DataFrame, candidates: DataFram
     )
 
 
-def token_neighbours(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The k nearest document tokens of each query token, ties by document and position."""
+#: What names a token vector in a cell file of tokens.
+TOKEN = ("docid", "pos", "tokid")
+
+
+def probed_pairs(queries: DataFrame, index: CellFile, probes: int | None = None) -> DataFrame:
+    """token_pairs() of query tokens and the document tokens in the cells that they probe."""
+    asked = queries.select(F.struct("qid", "qpos", F.col("tokid").alias("qtok"), "weight").alias("qid"), "v")
+    found = met(index, asked, probes)
+    return found.select("qid.*", *TOKEN, dot(F.col("q"), F.col("v")).alias("sim"))
+
+
+def token_neighbours(queries: DataFrame, docs: DataFrame | CellFile, k: int) -> DataFrame:
+    """The k nearest document tokens of each query token, ties by document and position: of all tokens, or, with a cell file
+    of tokens for docs, of those in the probed cells."""
     order = W.partitionBy("qid", "qpos").orderBy(F.desc("sim"), "docid", "pos")
-    met = token_pairs(queries, docs).withColumn("sim", F.round("sim", 6))
-    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    near = (probed_pairs if isinstance(docs, CellFile) else token_pairs)(queries, docs).withColumn("sim", F.round("sim", 6))
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def set_retrieve(queries: DataFrame, docs: DataFrame, k: int = 1000) -> DataFrame:
+def set_retrieve(queries: DataFrame, docs: DataFrame | CellFile, k: int = 1000) -> DataFrame:
     return token_neighbours(queries, docs, k).select("qid", "docid").distinct()
 
 
-def ann_score(queries: DataFrame, docs: DataFrame, k: int = 1000, depth: int | None = 1000) -> DataFrame:
+def ann_score(queries: DataFrame, docs: DataFrame | CellFile, k: int = 1000, depth: int | None = 1000) -> DataFrame:
     """Approximate MaxSim from each query token's k neighbours only."""
     best = token_neighbours(queries, docs, k).groupBy("qid", "qpos", "weight", "docid").agg(F.greatest(F.lit(0.0), F.max("sim")).alias("sim"))
     return top_k(best.groupBy("qid", "docid").agg(F.round(F.sum(F.col("weight") * F.col("sim")), 6).alias("score")), depth)
 
 
-def end_to_end(queries: DataFrame, docs: DataFrame, k: int = 1000, depth: int | None = 1000) -> DataFrame:
-    return maxsim(queries, docs, set_retrieve(queries, docs, k), depth)
+def end_to_end(queries: DataFrame, docs: DataFrame | CellFile, k: int = 1000, depth: int | None = 1000) -> DataFrame:
+    """Candidates by each query token's neighbours, then their full MaxSim."""
+    tokens = docs.vectors.drop("cell") if isinstance(docs, CellFile) else docs
+    return maxsim(queries, tokens, set_retrieve(queries, docs, k), depth)
+
+
+def token_recall(queries: DataFrame, docs: DataFrame, index: CellFile, k: int = 1000) -> DataFrame:
+    """(queries, looked_at, recall): query tokens, the share of all tokens that each looks at, and of the documents that the
+    exhaustive search retrieves the share that the cells give."""
+    full, fast = set_retrieve(queries, docs, k), set_retrieve(queries, index, k).withColumn("hit", F.lit(1))
+    share = full.join(fast, ["qid", "docid"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return looked_at(index, queries.select(F.struct("qid", "qpos").alias("qid"), "v")).join(share, F.lit(True))
 
 
 def fetch_encodings(run: DataFrame, docs: DataFrame) -> DataFrame:
@@ -113,7 +136,7 @@ def tokens_of(docs: DataFrame, tokid: int, share: float = 1.0, seed: int = 1) ->
     return mine.withColumn("_p", F.percent_rank().over(order)).where(F.col("_p") < share).drop("_p") if share < 1 else mine
 
 
-def nearest_tokens(vectors: DataFrame, docs: DataFrame, k: int = 10, low: int = 0) -> DataFrame:
+def nearest_tokens(vectors: DataFrame, docs: DataFrame | CellFile, k: int = 10, low: int = 0) -> DataFrame:
     """(qid, qpos, tokid, n, place): token ids among a vector's k neighbours by how often, more than `low` times, special ids left out."""
     counted = token_neighbours(vectors, docs, k).where(~F.col("tokid").isin(*SPECIAL)).groupBy("qid", "qpos", "tokid").agg(F.count("*").alias("n")).where(F.col("n") > low)
     return top_k(counted, None, ["qid", "qpos"], "n", "tokid", "place")
@@ -167,21 +190,22 @@ def _clusters(k: int, seed: int):  # noqa: ANN202  a function of one query's row
     return fit
 
 
-def late_prf(queries: DataFrame, run: DataFrame, docs: DataFrame, fb_docs: int = 3, k: int = 24, fb_embs: int = 10, beta: float = 1.0, seed: int = 42) -> DataFrame:
+def late_prf(queries: DataFrame, run: DataFrame, docs: DataFrame, fb_docs: int = 3, k: int = 24, fb_embs: int = 10, beta: float = 1.0, seed: int = 42, index: CellFile | None = None) -> DataFrame:
     """Query tokens with the centres of the feedback documents' token vectors added: each centre is named by its most
-    frequent near token, the fb_embs of highest idf are kept, with weight beta times idf. A query's feedback is fb_docs
-    documents, so one task holds few vectors."""
+    frequent near token (looked for in the cells of index, if given), the fb_embs of highest idf are kept, with weight beta
+    times idf. A query's feedback is fb_docs documents, so one task holds few vectors."""
     fed = run.where(F.col("rank") <= fb_docs).select("qid", "docid").join(docs.select("docid", "pos", "v"), "docid")
     centres = fed.groupBy("qid").applyInPandas(_clusters(k, seed), "qid long, qpos int, v array<double>")
     as_tokens = centres.select("qid", "qpos", F.lit(-1).alias("tokid"), F.lit(1.0).alias("weight"), "v")
-    named = nearest_tokens(as_tokens, docs).where("place = 1").select("qid", "qpos", "tokid").join(token_idf(docs), "tokid")
+    named = nearest_tokens(as_tokens, index or docs).where("place = 1").select("qid", "qpos", "tokid").join(token_idf(docs), "tokid")
     best = top_k(named, fb_embs, "qid", "idf", "qpos", "place").join(centres, ["qid", "qpos"])
     added = best.select("qid", (1000 + F.col("place")).cast("int").alias("qpos"), "tokid", (beta * F.col("idf")).alias("weight"), "v")
     return queries.select("qid", "qpos", "tokid", "weight", "v").unionByName(added)
 
 
-def late_prf_pipeline(queries: DataFrame, docs: DataFrame, rerank: bool = True, depth: int = 1000, token_k: int = 100) -> DataFrame:
-    """Retrieve, score, expand, and score again: the same candidates, or those of the expanded query."""
-    first = end_to_end(queries, docs, token_k, depth)
-    fuller = late_prf(queries, first, docs)
-    return maxsim(fuller, docs, first if rerank else set_retrieve(fuller, docs, token_k), depth)
+def late_prf_pipeline(queries: DataFrame, docs: DataFrame, rerank: bool = True, depth: int = 1000, token_k: int = 100, index: CellFile | None = None) -> DataFrame:
+    """Retrieve, score, expand, and score again: the same candidates, or those of the expanded query. Tokens are looked for in
+    the cells of index, if given."""
+    first = end_to_end(queries, index or docs, token_k, depth)
+    fuller = late_prf(queries, first, docs, index=index)
+    return maxsim(fuller, docs, first if rerank else set_retrieve(fuller, index or docs, token_k), depth)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vectors as vec
 from quarry.functions.scores import top_k
-from quarry.operators import dense, late
+from quarry.operators import cells, dense, late
 from quarry.operators import evaluation as ev
 from quarry.plans.prelude import hashed, sql, topk
 from quarry.plans.tables import Tables
@@ -59,11 +59,18 @@ def _ablation(t: Tables) -> DataFrame:
 
 
 def _ivf(t: Tables) -> DataFrame:
-    docs = t.dd.select("docid", "v")
-    lists, least = dense.cells(docs.count())
-    indexed, centres = dense.ivf_build(docs, lists)
-    # as many cells as the stated queries are measured to need for 0.95 of their neighbours
-    return dense.ivf_search(t.dq, indexed, centres, 10, max(least, dense.probes_for(t.dq, indexed, centres)))
+    """The ten nearest of the stated queries in the cells that they probe, with what was measured when these were built."""
+    found = cells.cell_search(t.cells, t.dq, 10)
+    return found.withColumn("probes", F.lit(t.cells.probes)).withColumn("measured_recall", F.lit(t.cells.recall))
+
+
+def _lsh(t: Tables) -> DataFrame:
+    """The ten nearest of the stated queries in the buckets that they probe, with the share of all pairs that were compared and
+    the recall that was measured when the buckets were built."""
+    index = dense.lsh_build(t.dd.select("docid", "v"))
+    pairs = dense.lsh_pairs(index, t.dq).agg(F.count("*").alias("n"))
+    share = pairs.join(t.dq.agg(F.count("*").alias("q")), F.lit(True)).join(t.dd.agg(F.count("*").alias("d")), F.lit(True)).select((F.col("n") / (F.col("q") * F.col("d"))).alias("compared"))
+    return dense.lsh_search(index, t.dq, 10).join(F.broadcast(share), F.lit(True)).withColumn("measured_recall", F.lit(index.recall))
 
 
 def _recall(t: Tables, found: DataFrame) -> DataFrame:
@@ -102,7 +109,7 @@ QUERIES = {
     "knn_rank_scores": lambda t: dense.rank_scores(_run(t), _K),
     "ivf_knn": _ivf,
     "ivf_recall": lambda t: _recall(t, _ivf(t)),
-    "lsh_knn": lambda t: dense.lsh_knn(t.dq, t.dd),
+    "lsh_knn": _lsh,
     "lsh_recall": lambda t: _recall(t, dense.lsh_knn(t.dq, t.dd)),
     "fit_weights": _fitted,
     "concat_prf_rerank": lambda t: dense.concat_prf(t.run_a, t.queries, t.docs),
@@ -130,12 +137,18 @@ QUERIES = {
     "set_retrieve": lambda t: late.set_retrieve(t.qtok, t.tokvec, 20),
     "ann_retrieve_score": lambda t: late.ann_score(t.qtok, t.tokvec, 20),
     "end_to_end": lambda t: late.end_to_end(t.qtok, t.tokvec, 20),
+    "set_retrieve_cells": lambda t: late.set_retrieve(t.qtok, t.token_cells, 20),
+    "ann_retrieve_cells": lambda t: late.ann_score(t.qtok, t.token_cells, 20),
+    "end_to_end_cells": lambda t: late.end_to_end(t.qtok, t.token_cells, 20),
+    "nearest_tokens_cells": lambda t: late.nearest_tokens(t.qtok, t.token_cells),
+    "token_recall": lambda t: late.token_recall(t.qtok, t.tokvec, t.token_cells, 20),
+    "token_recall_reached": lambda t: late.token_recall(t.qtok, t.tokvec, t.token_cells, 20).select("queries", (F.col("recall") >= 0.9).alias("reached")),
     "fetch_encodings": lambda t: late.fetch_encodings(_candidates(t), t.tokvec).select("qid", "docid", "tokids", F.size("vectors").alias("n_vectors")),
     "embeddings_by_token": lambda t: late.tokens_of(t.tokvec, 3).select("docid", "pos", "tokid"),
     "nearest_tokens": lambda t: late.nearest_tokens(t.qtok, t.tokvec),
     "token_idf": lambda t: late.token_idf(t.tokvec),
-    "colbert_prf": lambda t: late.late_prf(t.qtok, late.end_to_end(t.qtok, t.tokvec, 20), t.tokvec),
-    "colbert_prf_pipeline": lambda t: late.late_prf_pipeline(t.qtok, t.tokvec, token_k=20),
+    "colbert_prf": lambda t: late.late_prf(t.qtok, late.end_to_end(t.qtok, t.token_cells, 20), t.tokvec, index=t.token_cells),
+    "colbert_prf_pipeline": lambda t: late.late_prf_pipeline(t.qtok, t.tokvec, token_k=20, index=t.token_cells),
     "prune_query_tokens_freq": lambda t: late.prune_by_frequency(t.qtok, late.token_stats(t.tokvec), 2),
     "prune_query_tokens_first": lambda t: late.prune_first(t.qtok, 2),
     "prune_query_tokens_special": lambda t: late.prune_special(t.qtok).select("qid", "qpos", "tokid"),
@@ -220,6 +233,7 @@ SQL = {
     "exact_knn": sql("dq dd", _knn("dq")),
     "ivf_recall": sql("dq", "SELECT count(*) AS queries, true AS reached FROM dq"),
     "lsh_recall": sql("dq", "SELECT count(*) AS queries, true AS reached FROM dq"),
+    "token_recall_reached": sql("qtok", "SELECT count(*) AS queries, true AS reached FROM qtok"),
     "fit_weights": sql(
         "dqrels", "SELECT alpha, beta, lam, value, n, value = max(value) OVER () AS best FROM many JOIN grid ON grid.cfg::VARCHAR = many.run WHERE metric = 'ndcg_10'", **_RUN, **_FEAT,
         grid=f"SELECT * FROM (VALUES {', '.join(f'({i}, {a}e0, {b}e0, {lam}e0)' for i, (a, b, lam) in enumerate(_GRID))}) g(cfg, alpha, beta, lam)",

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.cells import CellFile, read_cells, write_cells
 from quarry.operators.lexical import Index, bm25, rm3, stored_index, weighted
-from quarry.sources.stored import stored, version
+from quarry.sources.stored import folder_of, stored, version
 
 
 class Tables:
@@ -95,6 +96,19 @@ class Tables:
     def qtok(self) -> DataFrame:
         return self.tokvec.where("docid % 25 = 0").select(F.col("docid").alias("qid"), F.col("pos").alias("qpos"), "tokid", F.lit(1.0).alias("weight"), "v")
 
+    def _cells(self, name: str, vectors: Callable[[], DataFrame], keys: tuple[str, ...], k: int) -> CellFile:
+        folder = folder_of(self.spark, (name, *self.key), lambda f: write_cells(vectors(), keys, f, k))
+        return read_cells(self.spark, folder, keys)
+
+    @property
+    def cells(self) -> CellFile:
+        """The vectors by cells, built once a session like the index."""
+        return self._cells("cells", lambda: self.dd.select("docid", "v"), ("docid",), 10)
+
+    @property
+    def token_cells(self) -> CellFile:
+        return self._cells("token cells", lambda: self.tokvec, ("docid", "pos", "tokid"), 20)
+
     @property
     def dqrels(self) -> DataFrame:
         pairs = F.broadcast(self.dq.select("qid", F.col("label").alias("ql"))).join(self.dd.select("docid", "label"), F.abs(F.col("label") - F.col("ql")) <= 1)

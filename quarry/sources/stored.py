@@ -31,9 +31,14 @@ def _path(spark: SparkSession, path: str):  # noqa: ANN202  a path and its file
 
 
 def version(spark: SparkSession, folder: str) -> tuple:
-    """Name, size and time of what lies in a folder: a changed table is another version."""
+    """Path, size and time of every file under a folder: a changed table is another version, also one that is a folder of
+    parts."""
     at, files = _path(spark, folder)
-    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in files.listStatus(at)))
+    found, listed = [], files.listFiles(at, True)
+    while listed.hasNext():
+        one = listed.next()
+        found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def folder_of(spark: SparkSession, key: tuple, write: Callable[[str], None]) -> str:
