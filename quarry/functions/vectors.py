@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,25 @@ def similarity(a: Column, b: Column, kind: str = "cosine") -> Column:
     return F.greatest(F.lit(0.0), cosine) if kind == "clamped" else cosine
 
 
+def bilinear(weights: list[list[float]], bias: float = 0.0) -> Callable[[Column, Column], Column]:
+    """A similarity: a' W b + bias, with supplied weights."""
+    rows = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in weights))
+    return lambda a, b: dot(a, F.transform(rows, lambda row: dot(row, b))) + bias
+
+
+def mlp(w1: list[list[float]], w2: list[list[float]], out: list[float]) -> Callable[[Column, Column], Column]:
+    """A similarity: a scorer with supplied weights on both vectors, two layers, each cut at 0, and a linear one. The weights go
+    to the tasks as a closure; a null vector counts as zeros."""
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        width = len(w1) // 2
+        x = np.concatenate([np.stack([np.zeros(width) if v is None else v for v in side]) for side in (a, b)], axis=1)
+        return pd.Series(np.maximum(np.maximum(x @ np.array(w1), 0) @ np.array(w2), 0) @ np.array(out))
+
+    return score
+
+
 def by_dimension(df: DataFrame, keys: list[str], value: Column, vector: str = "v", how: str = "avg") -> DataFrame:
     """(keys, v): element-wise avg, sum or max over the rows of each group, each element through `value` of column x."""
     long = df.select(*keys, F.posexplode(vector).alias("dim", "x"), *[c for c in df.columns if c not in (*keys, vector)])

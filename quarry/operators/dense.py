@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quarry.functions.samples import bounded
 from quarry.functions.scores import top_k
 from quarry.functions.text import tokens
-from quarry.functions.vectors import by_dimension, l2norm, mean_vector, norm, similarity, sum_vector
+from quarry.functions.vectors import by_dimension, dot, l2norm, mean_vector, norm, similarity, sum_vector
 from quarry.operators.evaluation import evaluate
 
 #: Queries that are sent to all tasks at once, at most; more are taken in blocks.
@@ -223,10 +224,11 @@ def prf_vectors(queries: DataFrame, run: DataFrame, docs: DataFrame, n: int = 3,
     return queries.select("qid", "v").join(means, "qid", "left").select("qid", fused.alias("v"))
 
 
-def rescore(run: DataFrame, queries: DataFrame, docs: DataFrame, k: int | None = 100, kind: str = "cosine", missing: str = "drop") -> DataFrame:
-    """run scored anew by a similarity; rows without a vector are dropped, or keep their score with missing="keep"."""
+def rescore(run: DataFrame, queries: DataFrame, docs: DataFrame, k: int | None = 100, kind: str | Callable[[Column, Column], Column] = "cosine", missing: str = "drop") -> DataFrame:
+    """run scored anew by a similarity: one of similarity()'s kinds, or a function of two vectors such as vectors.bilinear() and
+    vectors.mlp() make; rows without a vector are dropped, or keep their score with missing="keep"."""
     joined = run.select("qid", "docid", F.col("score").alias("old")).join(queries.select("qid", F.col("v").alias("q")), "qid").join(docs.select("docid", "v"), "docid", "left" if missing == "keep" else "inner")
-    fresh = F.round(similarity(F.col("q"), F.col("v"), kind), 6)
+    fresh = F.round(kind(F.col("q"), F.col("v")) if callable(kind) else similarity(F.col("q"), F.col("v"), kind), 6)
     return top_k(joined.select("qid", "docid", F.coalesce(F.when(F.col("v").isNotNull(), fresh), "old").alias("score")), k)
 
 
@@ -313,6 +315,70 @@ def project(vectors: DataFrame, key: str, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(ml).transform(ml).select(key, vector_to_array("_p").alias("xy"))
 
 
+def relevant_and_rest(run: DataFrame, relevant: DataFrame, n: int = 10) -> DataFrame:
+    """(qid, docid, kind, place): for each query the first n relevant documents by docid, and the first n of its run that are
+    not relevant, by rank. relevant: (qid, docid)."""
+    good = relevant.select("qid", "docid").distinct()
+    rest = run.join(good, ["qid", "docid"], "left_anti")
+    sides = ((good, "relevant", F.col("docid")), (rest, "rest", F.col("rank")))
+    placed = [df.select("qid", "docid", F.lit(kind).alias("kind"), F.row_number().over(W.partitionBy("qid").orderBy(order)).cast("long").alias("place")).where(F.col("place") <= n) for df, kind, order in sides]
+    return placed[0].unionByName(placed[1])
+
+
+def project_queries(chosen: DataFrame, queries: DataFrame, docs: DataFrame, k: int = 2) -> DataFrame:
+    """chosen (qid, docid, kind, place) and the queries themselves (kind query, place 0, no docid) with `xy`, their coordinates
+    on the first k principal axes of the query and its documents. The axes are those of each query's summed covariances; an
+    axis points to where its greatest entry is positive."""
+    asked = queries.join(chosen.select("qid").distinct(), "qid", "left_semi").select("qid", F.lit(None).cast("long").alias("docid"), F.lit("query").alias("kind"), F.lit(0).cast("long").alias("place"), "v")
+    points = chosen.join(docs.select("docid", "v"), "docid").select("qid", "docid", "kind", "place", "v").unionByName(asked)
+    means = mean_vector(points.select("qid", "v"), ["qid"]).withColumnRenamed("v", "m")
+    centred = points.join(means, "qid").withColumn("v", F.zip_with("v", "m", lambda x, m: x - m)).drop("m")
+    # a row of the covariance matrix for each query and dimension: what points have there times the points, summed
+    rows = centred.select("qid", F.posexplode("v").alias("row", "x"), "v")
+    covariance = by_dimension(rows.select("qid", "row", "x", "v").withColumnRenamed("x", "at"), ["qid", "row"], F.col("at") * F.col("x"), how="sum")
+    matrices = covariance.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda r: r["v"]).alias("c"))
+
+    @F.pandas_udf("array<array<double>>")
+    def axes(c: pd.Series) -> pd.Series:
+        out = []
+        for matrix in c:
+            found = np.linalg.eigh(np.stack(matrix))[1][:, ::-1][:, :k].T
+            out.append([list(a * np.sign(a[np.abs(a).argmax()])) for a in found])
+        return pd.Series(out)
+
+    turned = matrices.select("qid", axes("c").alias("axes"))
+    return centred.join(turned, "qid").select("qid", "docid", "kind", "place", F.transform("axes", lambda a: dot(a, F.col("v"))).alias("xy"))
+
+
+def fit_pairwise(features: DataFrame, qrels: DataFrame, steps: int = 12, ridge: float = 1e-3) -> DataFrame:
+    """(feature, weight): a logistic fit on differences of features between a query's documents of unlike grades, by Newton's
+    steps on gradients and curvatures that are summed where the pairs lie; ridge times the squared weights is added.
+
+    features: (qid, docid, x) of candidates, an array of few values. Pairs are formed within a query's candidates, so their
+    number is bounded by the depth of the run; unjudged candidates have grade 0. Each step sends back one row.
+    """
+    graded = features.join(qrels.select("qid", "docid", "grade"), ["qid", "docid"], "left").select("qid", F.coalesce("grade", F.lit(0)).alias("grade"), "x")
+    low = graded.select("qid", F.col("grade").alias("less"), F.col("x").alias("y"))
+    pairs = graded.join(low, "qid").where("grade > less").select(F.zip_with("x", "y", lambda a, b: a - b).alias("x")).persist()
+    width = pairs.select(F.max(F.size("x")).alias("n")).first()["n"] or 0
+    w = np.zeros(width)
+    for _ in range(steps if width else 0):
+        p = 1 / (1 + F.exp(-dot(F.array(*(F.lit(float(v)) for v in w)), F.col("x"))))
+        x = [F.col("x")[i] for i in range(width)]
+        sums = pairs.agg(F.count("*").alias("n"), *(F.sum((1 - p) * x[i]).alias(f"g{i}") for i in range(width)), *(F.sum(p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(width) for j in range(i + 1))).first()
+        slope = np.array([sums[f"g{i}"] for i in range(width)]) / sums["n"] - 2 * ridge * w
+        bend = np.array([[sums[f"h{max(i, j)}_{min(i, j)}"] for j in range(width)] for i in range(width)]) / sums["n"] + 2 * ridge * np.eye(width)
+        w = w + np.linalg.solve(bend, slope)
+    pairs.unpersist()
+    return features.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "feature int, weight double")
+
+
+def weighted_rank(features: DataFrame, weights: DataFrame) -> DataFrame:
+    """(qid, docid, score, rank): candidates (qid, docid, x) by the weighted sum of their features."""
+    w = weights.agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "weight"))), lambda s: s["weight"]).alias("w"))
+    return top_k(features.join(F.broadcast(w), F.lit(True)).select("qid", "docid", F.round(dot(F.col("w"), F.col("x")), 6).alias("score")), None)
+
+
 def pooled(tokens: DataFrame, how: str = "mean") -> DataFrame:
     """(docid, v): the first token's vector (cls), or the mean or greatest of each element."""
     if how == "cls":

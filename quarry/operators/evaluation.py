@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,10 +144,13 @@ def ttest(base: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def with_p(test: DataFrame) -> DataFrame:
-    """The row of ttest() with its two-sided p, worked out on that one row."""
-    row = test.first()
-    p = student_p(row["t"], row["n"] - 1) if row["n"] > 1 else 1.0
-    return test.withColumn("p", F.lit(p))
+    """The row of ttest() with its two-sided p; 1 with fewer than two values."""
+
+    @F.pandas_udf("double")
+    def two_sided(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([student_p(a, b - 1) if b > 1 else 1.0 for a, b in zip(t, n, strict=True)], dtype=float)
+
+    return test.withColumn("p", F.round(two_sided("t", "n"), 6))
 
 
 def best_worst(labelled: DataFrame, n: int = 5) -> DataFrame:

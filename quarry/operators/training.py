@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.vectors import similarity
+
 
 def hashed(seed: int, *keys: str) -> Column:
     """The order in which samples are drawn: the same in every engine that has MD5."""
@@ -196,15 +200,35 @@ def augment(queries: DataFrame, share: float = 0.5, drop: int = 10, seed: int =
     swapped. Words are dropped where the hash of their place falls under drop percent; a copy of two words or fewer, or of
     half the words or fewer, is the query itself."""
     bucket = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 4), 16, 10).cast("int") % 100
-    w = F.split("query", " ")
-    sampled = queries.where(bucket(F.lit("s"), F.col("qid").cast("string")) < int(100 * share)).withColumn("w", w)
-    kept = F.filter("w", lambda x, i: bucket(F.lit("d"), F.col("qid").cast("string"), i.cast("string")) >= drop)
-    fit = (F.size("w") > 2) & (2 * F.size(kept) > F.size("w"))
-    dropped = sampled.select("qid", F.when(fit, F.array_join(kept, " ")).otherwise(F.col("query")).alias("query"), F.lit("drop").alias("method"))
-    at = 1 + bucket(F.lit("w"), F.col("qid").cast("string")) % (F.size("w") - 1)
-    swap = F.concat(F.slice("w", F.lit(1), at - 1), F.array(F.get("w", at), F.get("w", at - 1)), F.slice("w", at + 2, F.size("w")))
-    swapped = sampled.select("qid", F.when(F.size("w") > 2, F.array_join(swap, " ")).otherwise(F.col("query")).alias("query"), F.lit("swap").alias("method"))
-    return queries.select("qid", "query", F.lit("none").alias("method")).unionByName(dropped).unionByName(swapped)
+    w, qid = F.split("query", " "), F.col("qid").cast("string")
+    kept = F.filter(w, lambda x, i: bucket(F.lit("d"), qid, i.cast("string")) >= drop)
+    dropped = F.when((F.size(w) > 2) & (2 * F.size(kept) > F.size(w)), F.array_join(kept, " ")).otherwise(F.col("query"))
+    at = F.when(F.size(w) > 1, 1 + bucket(F.lit("w"), qid) % (F.size(w) - 1)).otherwise(1)
+    swap = F.concat(F.slice(w, F.lit(1), at - 1), F.array(F.get(w, at), F.get(w, at - 1)), F.slice(w, at + 2, F.size(w)))
+    swapped = F.when(F.size(w) > 2, F.array_join(swap, " ")).otherwise(F.col("query"))
+    copy = lambda text, method: F.struct(text.alias("query"), F.lit(method).alias("method"))
+    own, sampled = copy(F.col("query"), "none"), bucket(F.lit("s"), qid) < int(100 * share)
+    copies = F.when(sampled, F.array(own, copy(dropped, "drop"), copy(swapped, "swap"))).otherwise(F.array(own))
+    return queries.select("qid", *(c for c in queries.columns if c not in ("qid", "query", "method")), F.inline(copies)).select("qid", "query", "method", *(c for c in queries.columns if c not in ("qid", "query", "method")))
+
+
+def preprocess(rows: DataFrame, query: tuple[int, int] = (3, 400), doc: tuple[int, int] = (10, 12000), sampled: float = 0.8, share: float = 0.5, seed: int = 1) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """rows (qid, query, texts, n_positive, n_negative, any others) through the filters of quality and length, the first row of each query
+    text, a sample, and augmentation: the result, with the column method, and what gives the rows after each step.
+
+    The counts are observed as the rows go by, so the input is read once; they are there when the result has been written.
+    """
+    counts: dict[str, Observation] = {}
+
+    def step(name: str, df: DataFrame) -> DataFrame:
+        counts[name] = Observation(f"preprocess {name}")
+        return df.observe(counts[name], F.count(F.lit(1)).alias("rows"))
+
+    df = step("1 quality", filter_quality(step("0 input", rows)))
+    df = step("3 dedup", dedup(step("2 length", filter_length(df, query, doc)), "query", "qid"))
+    bucket = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("k"), F.col("qid").cast("string"))), 1, 4), 16, 10).cast("int") % 100
+    df = step("5 augmentation", augment(step("4 sampling", df.where(bucket < int(100 * sampled))), share, seed=seed))
+    return df, lambda: {name: one.get["rows"] for name, one in counts.items()}
 
 
 def balance(counts: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:
@@ -213,6 +237,22 @@ def balance(counts: DataFrame, n: int = 5, seed: int = 1) -> DataFrame:
     return place(counts.withColumn("bucket", bucket), [hashed(seed, "qid")], ["bucket"]).where(F.col("place") <= n).select("bucket", "qid")
 
 
+def batch_losses(triples: DataFrame, temperature: float = 0.05, margin: float = 0.2) -> DataFrame:
+    """One row of losses of vectors (batch, qid, q, p, n), a query with its positive and its negative: InfoNCE by cosine with
+    the batch's other positives as negatives, and the triplet loss by Euclidean distance (every difference plus 0.000001, as
+    the usual definition has it).
+
+    A batch's positives are gathered once and each query is compared with them where it lies, so there is no row for a pair;
+    batches are of the size that training uses.
+    """
+    held = triples.groupBy("batch").agg(F.collect_list(F.struct("qid", "p")).alias("positives"))
+    scaled = lambda p: similarity(F.col("q"), p) / temperature
+    raised = F.aggregate(F.transform("positives", lambda c: F.exp(scaled(c["p"]) - scaled(F.col("p")))), F.lit(0.0), lambda a, x: a + x)
+    distance = lambda other: F.sqrt(F.aggregate(F.zip_with("q", other, lambda a, b: (a - b + 1e-6) * (a - b + 1e-6)), F.lit(0.0), lambda a, x: a + x))
+    triplet = F.greatest(F.lit(0.0), distance("p") - distance("n") + margin)
+    return triples.join(held, "batch").agg(F.round(F.avg(F.log(raised)), 6).alias("in_batch_nce"), F.round(F.avg(triplet), 6).alias("triplet"))
+
+
 def losses(scored: DataFrame, temperature: float = 0.05, margin: float = 0.2) -> DataFrame:
     """One row of batch losses of (qid, docid, score, grade): mean squared error, cross entropy of logits, hinge and InfoNCE
     over a query's rows, each query's best positive against its negatives."""

@@ -47,14 +47,14 @@ def _candidates(t: Tables) -> DataFrame:
 
 
 def _effect(t: Tables) -> DataFrame:
-    runs = ev.name_runs({"plain": _run(t), "expanded": dense.exact_knn(_enhanced(t), t.dd, _K)})
+    runs = ev.name_runs({"plain": _run(t), "expanded": dense.exact_knn(_enhanced(t, None), t.dd, _K)})
     return ev.compare(ev.evaluate(runs, t.dqrels, ("map", "ndcg_10"), ("run",)), "plain")
 
 
 def _ablation(t: Tables) -> DataFrame:
     runs = {}
     for mode in ("both", "rm3_only", "cosine_only"):
-        runs[mode] = dense.exact_knn(dense.enhance(t.dq, dense.importance(_features(t), mode=mode), _term_vectors(t)), t.dd, _K)
+        runs[mode] = dense.exact_knn(dense.enhance(t.dq, dense.importance(_features(t, None), mode=mode, digits=None), _term_vectors(t)), t.dd, _K)
     return ev.evaluate(ev.name_runs(runs), t.dqrels, ("map", "ndcg_10"), ("run",))
 
 
@@ -86,6 +86,16 @@ def _fitted(t: Tables) -> DataFrame:
     return dense.fit_weights(_run(t), t.dq, _features(t), _term_vectors(t), t.dd, t.dqrels, _GRID)
 
 
+def _pair_features(t: Tables) -> DataFrame:
+    """(qid, docid, x): cosines of each candidate with the query, and with the mean term vectors by either weight."""
+    out = _run(t).select("qid", "docid")
+    sides = [t.dq.select("qid", "v")] + [dense.enhance(t.dq, dense.importance(_features(t, None), mode=mode, digits=None), _term_vectors(t), 1.0) for mode in ("rm3_only", "cosine_only")]
+    for n, side in enumerate(sides):
+        scored = dense.rescore(_run(t), side, t.dd, None).select("qid", "docid", F.col("score").alias(f"x{n}"))
+        out = out.join(scored, ["qid", "docid"])
+    return out.select("qid", "docid", F.array("x0", "x1", "x2").alias("x"))
+
+
 def _pieces(t: Tables) -> DataFrame:
     """Token vectors named as word pieces: odd positions continue a word."""
     piece = F.concat(F.when(F.col("pos") % 2 == 1, "##").otherwise(""), F.lit("t"), F.col("tokid").cast("string"))
@@ -96,6 +106,17 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if kind == "double" else vec.rounded(F.col(c)).alias(c) if kind == "array<double>" else F.col(c) for c, kind in df.dtypes))
 
 
+#: Weights that are supplied to the learned similarities, by a rule: 64 x 64, and 128 x 8, 8 x 4, 4.
+BILINEAR = [[((3 * i + 5 * j) % 7 - 3) / 10 for j in range(64)] for i in range(64)]
+MLP_1 = [[((7 * i + 3 * j) % 11 - 5) / 20 for j in range(8)] for i in range(128)]
+MLP_2 = [[((5 * i + 2 * j) % 7 - 3) / 8 for j in range(4)] for i in range(8)]
+MLP_3 = [0.5, -0.25, 0.75, 1.0]
+
+
+def _choice(t: Tables) -> DataFrame:
+    return dense.relevant_and_rest(_run(t), t.dqrels.where("grade = 2"), 10)
+
+
 QUERIES = {
     "normalize_vectors": lambda t: t.vectors.select("vec_id", vec.rounded(vec.l2norm(F.col("v"))).alias("v")),
     "vector_similarity": lambda t: _pairs(t).select("qid", "docid", *(F.round(vec.similarity(F.col("q"), F.col("v"), k), 6).alias(k) for k in ("cosine", "clamped", "dot", "l2", "l1"))),
@@ -122,12 +143,14 @@ QUERIES = {
     "vector_prf_rerank": lambda t: dense.vector_prf(_run(t), t.dq, t.dd),
     "term_importance": lambda t: dense.importance(_features(t), squash=True),
     "enhanced_query_vector": lambda t: _enhanced(t, None).select("qid", F.posexplode("v").alias("dim", "x")),
-    "rerank_candidates": lambda t: dense.rescore(_run(t), _enhanced(t), t.dd, 100, missing="keep"),
-    "batch_retrieval_job": lambda t: dense.exact_knn(_enhanced(t), t.dd, _K),
+    "rerank_candidates": lambda t: dense.rescore(_run(t), _enhanced(t, None), t.dd, 100, missing="keep"),
+    "rerank_bilinear": lambda t: dense.rescore(_run(t), _enhanced(t, None), t.dd, 100, vec.bilinear(BILINEAR, 0.25), "keep"),
+    "rerank_mlp": lambda t: dense.rescore(_run(t), _enhanced(t, None), t.dd, 100, vec.mlp(MLP_1, MLP_2, MLP_3), "keep"),
+    "batch_retrieval_job": lambda t: dense.exact_knn(_enhanced(t, None), t.dd, _K),
     "expansion_effect": _effect,
     "ablation_eval": _ablation,
-    "score_interpolation": lambda t: dense.interpolate(_run(t), dense.rescore(_run(t), _enhanced(t), t.dd, None)),
-    "multi_stage_rerank": lambda t: dense.multi_stage(_run(t), lambda run: dense.rescore(run, _enhanced(t), t.dd, None)),
+    "score_interpolation": lambda t: dense.interpolate(_run(t), dense.rescore(_run(t), _enhanced(t, None), t.dd, None)),
+    "multi_stage_rerank": lambda t: dense.multi_stage(_run(t), lambda run: dense.rescore(run, _enhanced(t, None), t.dd, None)),
     "token_index": lambda t: t.tokvec.groupBy("docid").agg(F.count("*").alias("doclen"), F.min("tokid").alias("least"), F.max("tokid").alias("greatest")),
     "merge_token_indexes": lambda t: late.merge_indexes([t.tokvec.where("docid < 50").drop("v"), t.tokvec.where("docid >= 50").withColumn("docid", F.col("docid") - 50).drop("v")]),
     "maxsim_score": lambda t: late.maxsim(t.qtok, t.tokvec),
@@ -155,7 +178,10 @@ QUERIES = {
     "merge_wordpieces": lambda t: _rounded(late.merge_pieces(_pieces(t))),
     "add_ranks": lambda t: top_k(_run(t).select("qid", "docid", "score"), None),
     "cutoff": lambda t: top_k(_run(t).select("qid", "docid", "score"), 5),
-    "relevant_vs_rest": lambda t: dense.project(t.vectors, "vec_id"),
+    "relevant_vs_rest_choice": _choice,
+    "relevant_vs_rest": lambda t: dense.project_queries(_choice(t), t.dq, t.dd),
+    "vector_projection": lambda t: dense.project(t.vectors, "vec_id"),
+    "fit_pairwise": lambda t: dense.fit_pairwise(_pair_features(t), t.dqrels),
 }
 
 _COS = "CASE WHEN sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})) = 0 THEN 0 ELSE list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))) END"
@@ -181,15 +207,17 @@ _FEAT = {
 
 
 def _enh(weight: str, name: str = "enh") -> dict[str, str]:
-    summed = _by_dim(f"SELECT qid, round({weight}, 6) AS w, v FROM feat JOIN tv USING (term) WHERE place <= 15", "qid", "sum(w * x)")
+    summed = _by_dim(f"SELECT qid, {weight} AS w, v FROM feat JOIN tv USING (term) WHERE place <= 15", "qid", "sum(w * x)")
     return {
         f"{name}_s": summed.replace("AS v FROM", "AS s FROM", 1),
-        name: f"SELECT qid, CASE WHEN total > 1e-8 THEN list_transform(list_zip(v, s), lambda c: 0.5e0 * c[1] + 0.5e0 * c[2] / total) ELSE v END AS v FROM dq LEFT JOIN {name}_s USING (qid) LEFT JOIN (SELECT qid, sum(round({weight}, 6)) AS total FROM feat WHERE place <= 15 GROUP BY qid) USING (qid)",
+        name: f"SELECT qid, CASE WHEN total > 1e-8 THEN list_transform(list_zip(v, s), lambda c: 0.5e0 * c[1] + 0.5e0 * c[2] / total) ELSE v END AS v FROM dq LEFT JOIN {name}_s USING (qid) LEFT JOIN (SELECT qid, sum({weight}) AS total FROM feat WHERE place <= 15 GROUP BY qid) USING (qid)",
     }
 
 
 _BOTH = "0.5e0 * rm_weight + 0.5e0 * semantic"
-_ENH = {**_FEAT, **_enh(_BOTH)}
+#: Features and weights as they are: rounded ones can move a score over the edge between two of six decimals.
+_EXACT = {**_FEAT, "feat": _FEAT["feat"].replace("round(greatest(0,", "(greatest(0,").replace(", 6) AS semantic", ") AS semantic")}
+_ENH = {**_EXACT, **_enh(_BOTH)}
 _SQUASH = "1 / (1 + exp(-0.5e0)) * rm_weight + 1 / (1 + exp(-0.5e0)) * semantic"
 
 
@@ -261,8 +289,23 @@ SQL = {
     "prf_rocchio": sql("dq dd", f"SELECT qid, {_LIST6.format(x='v')} AS v FROM rocchio", **_RUN, **_FUSED),
     "vector_prf_rerank": sql("dq dd", _rescored("run", "rocchio", "list_dot_product({a}, {b})", 1000), **_RUN, **_FUSED),
     "term_importance": sql("dq dd", f"SELECT qid, term, rm_weight, semantic, place, round({_SQUASH}, 6) AS weight FROM feat", **_FEAT),
-    "enhanced_query_vector": sql("dq dd", "SELECT qid, unnest(range(0, len(v)))::INT AS dim, unnest(v) AS x FROM enh", **{name: part.replace("round(greatest(0,", "(greatest(0,").replace(", 6) AS semantic", ") AS semantic").replace(f"round({_BOTH}, 6)", f"({_BOTH})") for name, part in _ENH.items()}),
+    "enhanced_query_vector": sql("dq dd", "SELECT qid, unnest(range(0, len(v)))::INT AS dim, unnest(v) AS x FROM enh", **_ENH),
     "rerank_candidates": sql("dq dd", _rescored("run", "enh", k=100), **_RUN, **_ENH),
+    "rerank_bilinear": sql(
+        "dq dd", topk("SELECT qid, docid, round(sum(a * b * ((3 * i + 5 * j) % 7 - 3) / 10e0) + 0.25e0, 6) AS score FROM ea JOIN run USING (qid) JOIN da USING (docid) GROUP BY qid, docid", "qid", "score", "docid", 100), **_RUN, **_ENH,
+        ea="SELECT qid, unnest(range(0, 64)) AS i, unnest(v) AS a FROM enh", da="SELECT docid, unnest(range(0, 64)) AS j, unnest(v) AS b FROM dd",
+    ),
+    "rerank_mlp": sql(
+        "dq dd", topk("SELECT qid, docid, round(sum(h * [0.5e0, -0.25e0, 0.75e0, 1e0][k + 1]), 6) AS score FROM l2 GROUP BY qid, docid", "qid", "score", "docid", 100), **_RUN, **_ENH,
+        hq="SELECT qid, j, sum(x * ((7 * i + 3 * j) % 11 - 5) / 20e0) AS a FROM (SELECT qid, unnest(range(0, 64)) AS i, unnest(v) AS x FROM enh), (SELECT unnest(range(8)) AS j) GROUP BY qid, j",
+        hd="SELECT docid, j, sum(x * ((7 * (i + 64) + 3 * j) % 11 - 5) / 20e0) AS b FROM (SELECT docid, unnest(range(0, 64)) AS i, unnest(v) AS x FROM dd), (SELECT unnest(range(8)) AS j) GROUP BY docid, j",
+        l2="SELECT qid, docid, k, greatest(0, sum(greatest(0, a + b) * ((5 * j + 2 * k) % 7 - 3) / 8e0)) AS h FROM hq JOIN run USING (qid) JOIN hd USING (docid, j), (SELECT unnest(range(4)) AS k) GROUP BY qid, docid, k",
+    ),
+    "relevant_vs_rest_choice": sql(
+        "dqrels", """SELECT qid, docid, kind, place FROM (
+      SELECT qid, docid, 'relevant' AS kind, row_number() OVER (PARTITION BY qid ORDER BY docid) AS place FROM dqrels WHERE grade = 2
+      UNION ALL SELECT qid, docid, 'rest', row_number() OVER (PARTITION BY qid ORDER BY rank) FROM run ANTI JOIN (SELECT * FROM dqrels WHERE grade = 2) USING (qid, docid)) WHERE place <= 10""", **_RUN,
+    ),
     "batch_retrieval_job": sql("dq dd", _knn("enh"), **_ENH),
     "expansion_effect": sql("dqrels", "SELECT a.run, a.metric, a.value, b.value AS base, round(CASE WHEN b.value > 0 THEN a.value - b.value ELSE a.value END, 6) AS absolute, round(CASE WHEN b.value > 0 THEN 100 * (a.value - b.value) / b.value ELSE 0 END, 6) AS percent FROM many a JOIN many b USING (metric) WHERE a.run = 'expanded' AND b.run = 'plain'", **_RUN, **_ENH, run2=_knn("enh"), **_mean_metrics("SELECT 'plain' AS run, qid, docid, score FROM run UNION ALL SELECT 'expanded', qid, docid, score FROM run2")),
     "ablation_eval": sql("dqrels", "SELECT run, metric, value, n FROM many", **_ENH, **_enh("0.5e0 * rm_weight", "er"), **_enh("0.5e0 * semantic", "ec"), r1=_knn("enh"), r2=_knn("er"), r3=_knn("ec"), **_mean_metrics("SELECT 'both' AS run, qid, docid, score FROM r1 UNION ALL SELECT 'rm3_only', qid, docid, score FROM r2 UNION ALL SELECT 'cosine_only', qid, docid, score FROM r3")),

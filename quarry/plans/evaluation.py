@@ -82,7 +82,7 @@ QUERIES = {
     "helps_hurts": _labelled,
     "helps_hurts_lists": lambda t: ev.label_lists(_labelled(t)),
     "magnitude_stats": lambda t: ev.magnitudes(_labelled(t)),
-    "paired_ttest": lambda t: ev.ttest(_values(t, t.run_a), _values(t, t.run_b)),
+    "paired_ttest": lambda t: ev.with_p(ev.ttest(_values(t, t.run_a), _values(t, t.run_b))),
     "best_worst_queries": lambda t: ev.best_worst(_labelled(t)),
     "rank_distribution": lambda t: ev.rank_distribution(t.run_a, t.qrels),
     "average_ranks": lambda t: ev.average_ranks(t.run_a, t.qrels),
@@ -154,7 +154,10 @@ SQL = {
     "helps_hurts": sql("qrels run_b", "SELECT qid, base, value, change, label FROM lab", **_LABELLED),
     "helps_hurts_lists": sql("qrels run_b", "SELECT label, count(*) OVER (PARTITION BY label) AS n, qid FROM lab", **_LABELLED),
     "magnitude_stats": sql("qrels run_b", "SELECT label, count(*) AS n, round(avg(change), 6) AS mean, round(median(change), 6) AS median, max(change) AS high, min(change) AS low FROM lab WHERE label != 'unchanged' GROUP BY label", **_LABELLED),
-    "paired_ttest": sql("qrels run_b", "SELECT n, round(m, 6) AS mean, round(s, 6) AS std, round(CASE WHEN s > 0 THEN m / (s / sqrt(n)) ELSE 0 END, 6) AS t, round(CASE WHEN s > 0 THEN m / s ELSE 0 END, 6) AS d FROM (SELECT count(*) AS n, avg(value - base) AS m, coalesce(stddev_samp(value - base), 0) AS s FROM lab)", **_LABELLED),
+    "paired_ttest": sql(
+        "qrels run_b", """SELECT n, mean, std, t, d, round(CASE WHEN n > 1 THEN 1 - 2 * (SELECT sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma(n / 2e0) - lgamma((n - 1) / 2e0)) / sqrt(pi() * (n - 1)) * pow(1 + pow(i * abs(t) / 2000, 2) / (n - 1), -n / 2e0)) * abs(t) / 6000 FROM range(2001) r(i)) ELSE 1 END, 6) AS p FROM one""", **_LABELLED,
+        one="SELECT n, round(m, 6) AS mean, round(s, 6) AS std, round(CASE WHEN s > 0 THEN m / (s / sqrt(n)) ELSE 0 END, 6) AS t, round(CASE WHEN s > 0 THEN m / s ELSE 0 END, 6) AS d FROM (SELECT count(*) AS n, avg(value - base) AS m, coalesce(stddev_samp(value - base), 0) AS s FROM lab)",
+    ),
     "best_worst_queries": sql("qrels run_b", "(SELECT 'best' AS side, qid, base, value, change FROM lab WHERE change > 0 ORDER BY change DESC, qid LIMIT 5) UNION ALL (SELECT 'worst', qid, base, value, change FROM lab WHERE change < 0 ORDER BY change, qid LIMIT 5)", **_LABELLED),
     "rank_distribution": sql(
         "qrels", f"SELECT grade, bin, n, round(100e0 * n / sum(n) OVER (PARTITION BY grade), 6) AS percent FROM (SELECT grade, bin, count(*) AS n FROM (SELECT grade, {_BIN} AS bin FROM ra JOIN qrels USING (qid, docid) WHERE grade > 0) WHERE bin IS NOT NULL GROUP BY GROUPING SETS ((bin), (grade, bin)))", ra=_RANKS["ra"],

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.vectors import rounded
+from quarry.functions.vectors import mlp, rounded
 from quarry.operators import lexical
 from quarry.operators.dense import hashed_terms, pairs
 from quarry.operators.evaluation import per_query
 from quarry.operators.training import kfold
+from quarry.plans.dense import MLP_1, MLP_2, MLP_3
 from quarry.plans.interaction import _LETTERS
 from quarry.plans.lexical import FEATURES
 from quarry.plans.prelude import hashed, sql
@@ -91,6 +92,12 @@ def _vector_store(t: Tables) -> DataFrame:
     return files.read_vectors(t.spark, path).select("vec_id", rounded(F.col("v")).alias("v"))
 
 
+def _about_vectors(t: Tables) -> DataFrame:
+    path = _folder(t)
+    files.write_vectors(t.vectors.select("vec_id", "v"), path)
+    return files.about_vectors(t.spark, path)
+
+
 def _bundle(t: Tables) -> DataFrame:
     path = _folder(t)
     files.write_bundle({"queries": t.queries, "qrels": t.qrels}, path)
@@ -152,24 +159,6 @@ def embed(docs: DataFrame, key: str, text: str, encoder) -> DataFrame:  # noqa:
     return docs.select(key, text).mapInPandas(encode, schema)
 
 
-def mlp(pairs: DataFrame, w1: list, w2: list, out: list) -> DataFrame:
-    """(qid, docid, score) of a scorer with supplied weights on the query's and the document's vector: two layers, each cut at
-    0, and a linear one. The weights go to the tasks as a closure."""
-
-    @F.pandas_udf("double")
-    def score(q: pd.Series, v: pd.Series) -> pd.Series:
-        x = np.concatenate([np.stack(q.tolist()), np.stack(v.tolist())], axis=1)
-        return pd.Series(np.maximum(np.maximum(x @ np.array(w1), 0) @ np.array(w2), 0) @ np.array(out))
-
-    return pairs.select("qid", "docid", F.round(score("q", "v"), 6).alias("score"))
-
-
-#: Weights that are supplied to mlp_score, by a rule: 128 x 8, 8 x 4, 4.
-_W1 = [[((7 * i + 3 * j) % 11 - 5) / 20 for j in range(8)] for i in range(128)]
-_W2 = [[((5 * i + 2 * j) % 7 - 3) / 8 for j in range(4)] for i in range(8)]
-_W3 = [0.5, -0.25, 0.75, 1.0]
-
-
 def _by_query(t: Tables) -> DataFrame:
     """A grouped step: each query's rows with their share of its greatest score."""
 
@@ -195,7 +184,8 @@ QUERIES = {
     "write_features_jsonl": lambda t: _features(t).select("query_id", "query_text", "num_expansion_terms"),
     "read_queries_tsv": _query_file,
     "read_documents_jsonl": _document_file,
-    "validate_documents": lambda t: files.validate_documents(_document_lines(t).orderBy("value"), 100).select(F.expr("valid + invalid").alias("seen"), "names"),
+    "validate_documents": lambda t: files.validate_documents(_document_lines(t).orderBy("value"), 100).select(F.expr("valid + invalid").alias("seen"), "names", F.size("samples").alias("shown")),
+    "embeddings_about": _about_vectors,
     "save_load_embeddings": _vector_store,
     "save_load_dataset_bundle": _bundle,
     "write_report": _report,
@@ -204,7 +194,7 @@ QUERIES = {
     "stream_progress": _progress,
     "embed_texts": lambda t: hashed_terms(t.docs, "docid", "text").select("docid", rounded(F.col("v")).alias("v")),
     "encoder_udf": lambda t: embed(t.docs, "docid", "text", _letters),
-    "mlp_score": lambda t: mlp(_pairs(t), _W1, _W2, _W3),
+    "mlp_score": lambda t: _pairs(t).select("qid", "docid", F.round(mlp(MLP_1, MLP_2, MLP_3)(F.col("q"), F.col("v")), 6).alias("score")),
     "by_query": _by_query,
     "pipe": lambda t: t.run_a.transform(lambda run: run.where("rank <= 10")).transform(lambda run: run.select("qid", "docid")),
 }
@@ -224,7 +214,8 @@ SQL = {
     ),
     "read_features_jsonl": sql("rm3t", "SELECT qid::VARCHAR AS query_id, (count(*) OVER (PARTITION BY qid))::INT AS num_expansion_terms, term, rm_weight, semantic, original_term FROM feat", **FEATURES),
     "write_features_jsonl": sql("rm3t", "SELECT qid::VARCHAR AS query_id, query AS query_text, n::INT AS num_expansion_terms FROM q JOIN (SELECT qid, count(*) AS n FROM feat GROUP BY qid) USING (qid)", **FEATURES),
-    "validate_documents": """SELECT seen, array_to_string(list_sort(list_distinct(flatten([CASE WHEN a > 0 THEN ['doc_id', 'doc_text'] ELSE [] END, CASE WHEN a < seen AND b > 0 THEN ['docno', 'body'] ELSE [] END, CASE WHEN a + b < seen THEN ['id', 'text'] ELSE [] END]))), ',') AS names
+    "embeddings_about": sql("vecs", "SELECT count(*) AS n, max(len(v))::INT AS dim, bool_and(abs(sqrt(list_dot_product(v, v)) - 1) < 1e-3) AS normalised FROM vecs"),
+    "validate_documents": """SELECT seen, least(3, seen)::INT AS shown, array_to_string(list_sort(list_distinct(flatten([CASE WHEN a > 0 THEN ['doc_id', 'doc_text'] ELSE [] END, CASE WHEN a < seen AND b > 0 THEN ['docno', 'body'] ELSE [] END, CASE WHEN a + b < seen THEN ['id', 'text'] ELSE [] END]))), ',') AS names
       FROM (SELECT least(100, count(*)) AS seen, count(*) FILTER (doc_id % 3 = 0) AS a, count(*) FILTER (doc_id % 3 = 2) AS b FROM documents)""",
     "save_load_dataset_bundle": sql("qrels", "SELECT 'queries' AS part, count(*) AS rows FROM q UNION ALL SELECT 'qrels', count(*) FROM qrels"),
     "stream_progress": "SELECT count(*) AS rows, 100e0 AS percent FROM documents",

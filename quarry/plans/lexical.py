@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import scores, text
-from quarry.operators import evaluation, lexical
+from quarry.operators import blocks, evaluation, lexical
 from quarry.plans.prelude import feedback, retrieve, rm3, sql, topk
 from quarry.plans.tables import Tables
 
@@ -30,6 +30,9 @@ QUERIES = {
     "term_stats": lambda t: lexical.term_stats(t.index.postings),
     "bm25_topk": lambda t: t.bm25(),
     "weighted_query_topk": lambda t: t.boosted(),
+    "bm25_block_topk": lambda t: blocks.retrieve_blocks(lexical.query_terms(t.queries), t.blocks, 100),
+    "weighted_block_topk": lambda t: blocks.retrieve_blocks(_terms(t).withColumn("weight", F.greatest("weight", F.lit(1e-6))), t.blocks, 100),
+    "block_report": lambda t: blocks.block_report(_terms(t), t.blocks, 100),
     "feedback_docs": lambda t: lexical.feedback(t.run_a).select("qid", "docid", "rank", F.round("weight", 6).alias("weight")),
     "rm1_feedback_model": lambda t: lexical.rm1(lexical.feedback(t.run_a), t.index).select("qid", "term", F.round("p", 6).alias("p")),
     "rm3_expand": lambda t: t.expanded(),
@@ -107,6 +110,8 @@ SQL = {
     "term_stats": sql("freq", "SELECT term, cf, df FROM freq"),
     "bm25_topk": sql("run_a", "SELECT qid, docid, score, rank FROM run_a"),
     "weighted_query_topk": sql("run_b", "SELECT qid, docid, score, rank FROM run_b"),
+    "bm25_block_topk": sql("run_a", "SELECT qid, docid, score, rank FROM run_a"),
+    "weighted_block_topk": sql("run_b", "SELECT qid, docid, score, rank FROM run_b"),
     "feedback_docs": sql("run_a", f"SELECT qid, docid, rank, round(weight, 6) AS weight FROM ({feedback('run_a', 10)})"),
     "rm1_feedback_model": sql("run_a", f"SELECT qid, term, round(sum(f.weight * tf / dl), 6) AS p FROM ({feedback('run_a', 10)}) f JOIN postings USING (docid) JOIN doclen USING (docid) GROUP BY qid, term"),
     "rm3_expand": sql("run_a", rm3("run_a")),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.blocks import Blocks, read_blocks, write_blocks
 from quarry.operators.cells import CellFile, read_cells, write_cells
 from quarry.operators.lexical import Index, bm25, rm3, stored_index, weighted
 from quarry.sources.stored import folder_of, stored, version
@@ -44,6 +45,14 @@ class Tables:
     def index(self) -> Index:
         return stored_index(self.spark, self.key, lambda: self.docs)
 
+    @property
+    def blocks(self) -> Blocks:
+        """The index in blocks over shards, built once a session from the index."""
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = lambda folder: f"blocks_{folder.rpartition('/')[2]}"
+        folder = folder_of(self.spark, ("blocks", *self.key), lambda f: write_blocks(self.index, f, name(f), buckets))
+        return read_blocks(self.spark, folder, name(folder))
+
     def bm25(self) -> DataFrame:
         return bm25(self.queries, self.index, 100)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from quarry.operators import training as tr
 from quarry.plans.lexical import FEATURES
 from quarry.plans.prelude import sql
 from quarry.plans.tables import Tables
+from quarry.sources.stored import shared_folder
 
 
 def _rw(t: Tables) -> DataFrame:
@@ -92,16 +94,17 @@ def _analysis(t: Tables) -> DataFrame:
 
 
 def _pipeline(t: Tables) -> DataFrame:
-    """(step, rows): rows after each step of quality, length and duplicate filters."""
-    rows = _rows(t)
-    good = tr.filter_quality(rows)
-    fit = tr.filter_length(good, (3, 400), (10, 12000))
-    steps = {"0 input": rows, "1 quality": good, "2 length": fit, "3 dedup": tr.dedup(fit, "query", "qid")}
-    out = None
-    for name, df in steps.items():
-        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("step"), "rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(step, rows): rows after each step of the preprocessing, whose result is written."""
+    clean, steps = tr.preprocess(_rows(t))
+    clean.write.parquet(f"{shared_folder(t.spark)}/files/{uuid.uuid4().hex}")
+    return t.spark.createDataFrame(sorted(steps().items()), "step string, rows long")
+
+
+def _losses(t: Tables) -> DataFrame:
+    """Losses of scored candidates, and of vectors: each stated query with the two vectors that follow it, in batches of four."""
+    followers = [t.dd.select((F.col("docid") - k).alias("qid"), F.col("v").alias(name)) for k, name in ((1, "p"), (2, "n"))]
+    triples = t.dq.select("qid", F.floor(F.col("qid") / 400).alias("batch"), F.col("v").alias("q")).join(followers[0], "qid").join(followers[1], "qid")
+    return tr.losses(_flat(t).withColumn("score", F.col("score") / 50)).join(tr.batch_losses(triples), F.lit(True))
 
 
 _TEXTS = {
@@ -164,7 +167,7 @@ QUERIES = {
     "field_profile": _profile,
     "compare_profiles": _compared,
     "load_components": _components,
-    "loss_metrics": lambda t: tr.losses(_flat(t).withColumn("score", F.col("score") / 50)),
+    "loss_metrics": _losses,
     "expansion_match_boost": lambda t: _boosted(t),
 }
 
@@ -297,8 +300,9 @@ SQL = {
     ),
     "balance_queries": sql("qrels", "SELECT bucket, qid FROM (SELECT bucket, qid, row_number() OVER (PARTITION BY bucket ORDER BY md5('1:' || qid)) AS place FROM (SELECT qid, CASE WHEN count(*) <= 2 THEN 'few' WHEN count(*) <= 10 THEN 'some' ELSE 'many' END AS bucket FROM qrels WHERE grade > 0 GROUP BY qid)) WHERE place <= 5"),
     "preprocess_pipeline": sql(
-        "qrels", "SELECT '0 input' AS step, count(*) AS rows FROM rows3 UNION ALL SELECT '1 quality', count(*) FROM good UNION ALL SELECT '2 length', count(*) FROM fit UNION ALL SELECT '3 dedup', count(DISTINCT query) FROM fit", **_ROWS,
-        good=f"SELECT * FROM rows3 WHERE {_GOOD}", fit=f"SELECT * FROM good WHERE {_FITS.format(a=3, b=400, c=12000)}",
+        "qrels", "SELECT '0 input' AS step, count(*) AS rows FROM rows3 UNION ALL SELECT '1 quality', count(*) FROM good UNION ALL SELECT '2 length', count(*) FROM fit UNION ALL SELECT '3 dedup', count(*) FROM firsts UNION ALL SELECT '4 sampling', count(*) FROM kept UNION ALL SELECT '5 augmentation', sum(n)::BIGINT FROM more", **_ROWS,
+        good=f"SELECT * FROM rows3 WHERE {_GOOD}", fit=f"SELECT * FROM good WHERE {_FITS.format(a=3, b=400, c=12000)}", firsts="SELECT min(qid) AS qid FROM fit WHERE trim(query) != '' GROUP BY query",
+        kept=f"SELECT * FROM firsts WHERE {_BUCKET.format(x="concat('1:k:', qid)")} < 80", more=f"SELECT CASE WHEN {_BUCKET.format(x="concat('1:s:', qid)")} < 50 THEN 3 ELSE 1 END AS n FROM kept",
     ),
     "analyze_dataset": sql("qrels", "SELECT round(avg(words), 6) AS words_mean, round(stddev_pop(words), 6) AS words_std, round(avg(n), 6) AS positives_mean, round(stddev_pop(n), 6) AS positives_std, min(words)::INT AS words_low, max(words)::INT AS words_high FROM (SELECT len(string_split(query, ' ')) AS words, (SELECT count(*) FROM qrels r WHERE r.qid = q.qid AND grade > 0) AS n FROM q)"),
     "feature_quality": sql(
@@ -313,7 +317,10 @@ SQL = {
     ),
     "loss_metrics": sql(
         "qrels", """SELECT (SELECT round(avg((s - y) * (s - y)), 6) FROM x) AS mse, (SELECT round(avg(greatest(s, 0) - s * y + ln(1 + exp(-abs(s)))), 6) FROM x) AS bce,
-      (SELECT round(avg(h), 6) FROM per) AS hinge, (SELECT round(avg(ln(1 + r)), 6) FROM per) AS info_nce""", **_FLAT,
+      (SELECT round(avg(h), 6) FROM per) AS hinge, (SELECT round(avg(ln(1 + r)), 6) FROM per) AS info_nce, (SELECT round(avg(l), 6) FROM nce) AS in_batch_nce, (SELECT round(avg(l), 6) FROM triplet) AS triplet""", **_FLAT,
+        vq="SELECT vec_id AS qid, vec_id // 400 AS batch, embedding::DOUBLE[] AS q, p, n FROM embeddings JOIN (SELECT vec_id - 1 AS vec_id, embedding::DOUBLE[] AS p FROM embeddings) USING (vec_id) JOIN (SELECT vec_id - 2 AS vec_id, embedding::DOUBLE[] AS n FROM embeddings) USING (vec_id) WHERE vec_id % 100 = 0",
+        nce="SELECT a.qid, ln(sum(exp((list_cosine_similarity(a.q, b.p) - list_cosine_similarity(a.q, a.p)) / 0.05e0))) AS l FROM vq a JOIN vq b ON b.batch = a.batch GROUP BY a.qid",
+        triplet="SELECT qid, greatest(0, sqrt(sum(pow(x - y + 1e-6, 2))) - sqrt(sum(pow(x - z + 1e-6, 2))) + 0.2e0) AS l FROM (SELECT qid, unnest(q) AS x, unnest(p) AS y, unnest(n) AS z FROM vq) GROUP BY qid",
         x="SELECT qid, score / 50 AS s, (grade > 0)::INT::DOUBLE AS y FROM flat",
         per="SELECT qid, avg(greatest(0, 0.2e0 - p + s)) AS h, sum(exp((s - p) / 0.05e0)) AS r FROM x JOIN (SELECT qid, max(s) AS p FROM x WHERE y = 1 GROUP BY qid) USING (qid) WHERE y = 0 GROUP BY qid",
     ),

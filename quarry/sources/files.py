@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.vectors import norm
+
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line != ''")
@@ -111,22 +113,34 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("doc_id", "id", "docno").alias("docid"), F.coalesce("doc_text", "text").alias("text")).where("docid IS NOT NULL AND text IS NOT NULL")
 
 
-def validate_documents(rows: DataFrame, sample: int = 100) -> DataFrame:
-    """Counts over a sample of raw JSON lines (value): valid, invalid, rate, and the names seen."""
-    head = rows.limit(sample).withColumn("names", F.json_object_keys("value"))
+def validate_documents(rows: DataFrame, sample: int = 100, shown: int = 3, least: float = 0.9) -> DataFrame:
+    """Counts over a sample of raw JSON lines (value): valid, invalid, rate, the names seen, the first `shown` lines of the sample
+    as they came, and an alarm where the rate is under `least`."""
+    head = rows.limit(sample).withColumn("names", F.json_object_keys("value")).withColumn("nth", F.monotonically_increasing_id())
     has = lambda n: F.coalesce(F.array_contains("names", n), F.lit(False))
     valid = (has("doc_id") & has("doc_text")) | (has("id") & has("text")) | (has("docno") & has("text"))
-    return head.agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias("invalid"), F.round(F.avg(valid.cast("int")), 6).alias("rate"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), ",").alias("names"))
+    rate = F.avg(valid.cast("int"))
+    lines = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("nth", "value"))), 1, shown), lambda s: s["value"])
+    return head.agg(
+        F.count_if(valid).alias("valid"), F.count_if(~valid).alias("invalid"), F.round(rate, 6).alias("rate"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), ",").alias("names"),
+        lines.alias("samples"), F.coalesce(rate < least, F.lit(False)).alias("alarm"),
+    )
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
-    """Vectors as Parquet, and a one-row table of what they are beside it."""
-    vectors.write.parquet(f"{path}/vectors")
-    vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).write.parquet(f"{path}/about")
+    """Vectors as Parquet in single precision, and a one-row table of what they are beside it: n, dim, and whether all have
+    length 1 (within a thousandth)."""
+    vectors.withColumn("v", F.col("v").cast("array<float>")).write.parquet(f"{path}/vectors")
+    unit = F.abs(norm(F.col("v").cast("array<double>")) - 1) < 1e-3
+    vectors.sparkSession.read.parquet(f"{path}/vectors").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.coalesce(F.bool_and(unit), F.lit(False)).alias("normalised")).write.parquet(f"{path}/about")
+
+
+def about_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/about")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/vectors")
+    return spark.read.parquet(f"{path}/vectors").withColumn("v", F.col("v").cast("array<double>"))
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
