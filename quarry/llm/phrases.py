@@ -109,42 +109,44 @@ def _filter(frequent: DataFrame, digest: str) -> np.ndarray:
     return bits
 
 
-def _named(gram: np.ndarray, at: np.ndarray, n: int, digest: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """Phrases of n words that begin at some places, with the digests of their words."""
-    digests = np.stack([digest[at + k] for k in range(n)], 1).ravel()
-    return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(gram) + 1, dtype=np.int32) * n), pa.array(digests.view(np.int64))), pa.array(times)], names=["g", "d", "n"])
+def _chains(text: Text, n: int, on: np.ndarray) -> np.ndarray:
+    """Places at which n words follow each other in a piece, of those that are on."""
+    on = on[: max(0, len(text.start) - n + 1)].copy()
+    for k in range(n - 1):
+        on &= text.joined[k : len(on) + k]
+    return np.flatnonzero(on)
 
 
-def _longer(n: int, bits, last: bool):  # noqa: ANN001, ANN202  a broadcast; a function of batches
-    """Phrases of n words whose two parts of n - 1 words pass the filter: (g, d, n), counted for some text at a time; d is
-    left out but for the last level, as far more are counted than turn out frequent. Beside them, with a count of 0, the
-    phrases of n - 1 words that pass the filter, with d, each about once a task."""
+def _longer(n: int, bits):  # noqa: ANN001, ANN202  a broadcast; a function of batches
+    """Digests of phrases of n words whose two parts of n - 1 words pass the filter, counted: (g, n)."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown = np.empty(0, np.uint64)
         for text, _ in _texts(batches):
-            count, shorter = max(0, len(text.start) - n + 1), text.digest if n == 2 else grams(text.digest, n - 1)
-            part = _holds(bits.value, shorter)
-            whole = part[:count] & part[1 : count + 1]
-            for k in range(n - 1):
-                whole &= text.joined[k : count + k]
-            gram, first, times = np.unique(grams(text.digest, n)[at := np.flatnonzero(whole)], return_index=True, return_counts=True)
-            if last:
-                yield _named(gram, at[first], n, text.digest, times)
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.nulls(len(gram), pa.list_(pa.int64())), pa.array(times)], names=["g", "d", "n"])
-            if n > 2:
-                for k in range(n - 2):
-                    part = part & text.joined[k : len(part) + k]
-                gram, first = np.unique(shorter[at := np.flatnonzero(part)], return_index=True)
-                fresh = ~np.isin(gram, shown, assume_unique=True)
-                gram, first = gram[fresh], first[fresh]
-                shown = np.concatenate((shown if len(shown) < MOST_SHOWN else shown[:0], gram))
-                yield _named(gram, at[first], n - 1, text.digest, np.zeros(len(gram), np.int64))
+            part = _holds(bits.value, text.digest if n == 2 else grams(text.digest, n - 1))
+            gram, times = np.unique(grams(text.digest, n)[_chains(text, n, part[:-1] & part[1:])], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(times)], names=["g", "n"])
 
     return grow
 
 
+def _names(filters):  # noqa: ANN001, ANN202  a broadcast of a filter for each number of words; a function of batches
+    """Phrases that pass the filter of their length, each about once a task: (g, d), the phrase's digest and its words'."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown = {n: np.empty(0, np.uint64) for n in filters.value}
+        for text, _ in _texts(batches):
+            for n, bits in filters.value.items():
+                whole = grams(text.digest, n)
+                gram, first = np.unique(whole[at := _chains(text, n, _holds(bits, whole))], return_index=True)
+                fresh = ~np.isin(gram, shown[n], assume_unique=True)
+                gram, at = gram[fresh], at[first[fresh]]
+                shown[n] = np.concatenate((shown[n] if len(shown[n]) < MOST_SHOWN else shown[n][:0], gram))
+                digests = np.stack([text.digest[at + k] for k in range(n)], 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(gram) + 1, dtype=np.int32) * n), pa.array(digests.view(np.int64)))], names=["g", "d"])
+
+    return name
+
+
 @dataclass
 class Trie:
     """A double array: from state s, symbol c leads to base[s] + c if check there is s. Symbols are BITS bits of a word number,
@@ -300,16 +302,15 @@ def collocations(
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     words = scratch.written(rows.mapInArrow(_words, "lang string, word string, d long, n long").groupBy("lang", "word").agg(F.first("d").alias("d"), F.sum("n").alias("f")))
     frequent = words.where(F.col("f") >= least)
-    bits, found, counted = _filter(frequent, "d"), [], None
+    bits, filters, levels = _filter(frequent, "d"), {}, []
     for n in range(2, longest + 1):
-        grown = rows.mapInArrow(_longer(n, spark.sparkContext.broadcast(bits), n == longest), "g long, d array<bigint>, n long").groupBy("g", "d").agg(F.sum("n").alias("n"))
-        grown = scratch.written(grown.where((F.col("n") >= least) | (F.col("n") == 0)))
-        if counted is not None:  # the level before, named by this reading of the texts
-            found.append(grown.where("n = 0").select("g", "d").join(counted, "g", "left_semi"))
-        counted = grown.where("n > 0").select("g")
-        bits = _filter(counted, "g")
-    found.append(grown.where("n > 0").select("g", "d"))
-    candidates = scratch.written(reduce(DataFrame.unionByName, found).withColumn("id", F.monotonically_increasing_id()))
+        counts = rows.mapInArrow(_longer(n, spark.sparkContext.broadcast(bits)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+        levels.append(scratch.written(counts.where(F.col("n") >= least).select("g")))
+        filters[n] = bits = _filter(levels[-1], "g")
+    # far more phrases are counted than turn out frequent, so they are counted by digest and only the frequent ones are named
+    named = rows.mapInArrow(_names(spark.sparkContext.broadcast(filters)), "g long, d array<bigint>").distinct()
+    candidates = named.join(reduce(DataFrame.unionByName, levels), "g", "left_semi")
+    candidates = scratch.written(candidates.withColumn("id", F.monotonically_increasing_id()))
     counted = scratch.written(_phrase_counts(rows, candidates, per_trie).where(F.col("f") >= least))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     out = scratch.written(_scored(counted, frequent, totals, best))
@@ -319,19 +320,23 @@ def collocations(
 
 
 def _scored(counted: DataFrame, frequent: DataFrame, totals: DataFrame, best: int | None) -> DataFrame:
-    parts = counted.unionByName(frequent.select(F.array("d").alias("d"), "f"))
+    parts = counted.select("d", "f", F.lit(None).cast("string").alias("lang")).unionByName(frequent.select(F.array("d").alias("d"), "f", "lang"))
     cuts = counted.select("d", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.size("d") - 1)).alias("k"))
     cuts = cuts.withColumn("left", F.expr("slice(d, 1, k)")).withColumn("right", F.expr("slice(d, k + 1, size(d) - k)"))
-    cuts = cuts.join(parts.select(F.col("d").alias("left"), F.col("f").alias("l")), "left").join(parts.select(F.col("d").alias("right"), F.col("f").alias("r")), "right")
+    # the cut after the first word brings the language
+    cuts = cuts.join(parts.select(F.col("d").alias("left"), F.col("f").alias("l"), "lang"), "left").join(parts.select(F.col("d").alias("right"), F.col("f").alias("r")), "right")
     # a is at most l and r, so the quotient is at most 1,000,000; decimals of 38 digits hold the products of counts below 10^16
     wide = {c: F.col(c).cast("decimal(19,0)") for c in "alr"}
     score = F.expr("1000000BD * wide.a * wide.a div (wide.l * wide.r)").cast("long")
     cuts = cuts.withColumn("wide", F.struct(*(c.alias(k) for k, c in wide.items()))).withColumn("score", score)
-    lowest = cuts.groupBy("d", "a").agg(F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("cut"))
+    lowest = cuts.groupBy("d", "a").agg(F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("cut"), F.max("lang").alias("lang"))
     inner = F.expr("flatten(transform(sequence(2, size(d) - 1), n -> transform(sequence(1, size(d) - n + 1), i -> slice(d, i, n))))")
     over = counted.where(F.size("d") > 2).select("f", F.explode(inner).alias("d")).groupBy("d").agg(F.max("f").alias("longer"))
-    kept = lowest.join(over, "d", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a"))).select("d", "a", "cut.*")
-    named = kept.select("*", F.posexplode("d").alias("place", "one")).join(frequent.select(F.col("d").alias("one"), "lang", "word"), "one")
+    kept = lowest.join(over, "d", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < 50 * F.col("a"))).select("lang", "d", "a", "cut.*")
+    if best is not None:  # with all that tie with the last, so that only these need their words
+        order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+        kept = kept.withColumn("_rank", F.rank().over(order)).where(F.col("_rank") <= best).drop("_rank")
+    named = kept.select("*", F.posexplode("d").alias("place", "one")).join(frequent.select(F.col("d").alias("one"), "lang", "word"), ["one", "lang"])
     whole = named.groupBy("d", "a", "l", "r", "score", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda w: w["word"]), " ").alias("phrase"))
     ranked = whole.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
     ranked = ranked if best is None else ranked.where(F.col("rank") <= best)
