@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.vectors import mlp, rounded
 from quarry.operators import lexical
-from quarry.operators.dense import hashed_terms, pairs
+from quarry.operators.dense import hashed_terms, norm_stats, pairs
 from quarry.operators.evaluation import per_query
 from quarry.operators.training import kfold
 from quarry.plans.dense import MLP_1, MLP_2, MLP_3
@@ -20,7 +20,7 @@ from quarry.plans.interaction import _LETTERS
 from quarry.plans.lexical import FEATURES
 from quarry.plans.prelude import hashed, sql
 from quarry.plans.tables import Tables
-from quarry.sources import files
+from quarry.sources import encoding, files
 from quarry.sources.stored import shared_folder
 from quarry.streaming import intake
 
@@ -126,6 +126,34 @@ def _streamed(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("term", "docid", "tf")
 
 
+def _merged(t: Tables) -> DataFrame:
+    """Postings of the documents after a first intake in which every tenth had another text, and a second one of all."""
+    out, state, source = _folder(t), _folder(t), _folder(t)
+    docs = t.read("documents").select("doc_id", "text")
+    other = F.when(F.col("doc_id") % 10 == 0, F.concat_ws(" ", F.lit("replaced later"), "text")).otherwise(F.col("text"))
+    for rows in (docs.where("doc_id % 3 != 1").select("doc_id", other.alias("text")), docs):
+        rows.write.mode("append").parquet(source)
+        intake.stream_segments(intake.stream_documents(t.spark, source), out, state).awaitTermination()
+        index = intake.merge_segments(t.spark, out)
+    return index.postings
+
+
+def _merged_bm25(t: Tables) -> DataFrame:
+    """BM25 over the index that two merges of streamed segments give."""
+    out, state = _folder(t), _folder(t)
+    source = _fold_folder(t)
+    intake.stream_segments(intake.stream_documents(t.spark, source, files_at_once=1), out, state).awaitTermination()
+    return lexical.bm25(t.queries, intake.merge_segments(t.spark, out), 100)
+
+
+def _encoded(t: Tables) -> DataFrame:
+    """Vectors of all documents from a job that is stopped after three shards and taken up again."""
+    out = _folder(t)
+    encoding.encode(t.docs, hashed_terms, out, shards=8, at_most=3)
+    encoding.encode(t.docs, hashed_terms, out, shards=8)
+    return encoding.encoded(t.spark, out)[0].select("docid", rounded(F.col("v")).alias("v"))
+
+
 def _ingested(t: Tables) -> DataFrame:
     out, state = _folder(t), _folder(t)
     stream = intake.stream_documents(t.spark, _fold_folder(t)).select("doc_id", F.length("text").alias("chars"))
@@ -191,8 +219,12 @@ QUERIES = {
     "write_report": _report,
     "stream_ingest_documents": _ingested,
     "stream_build_postings": _streamed,
+    "stream_merge_segments": _merged,
+    "stream_merged_bm25": _merged_bm25,
     "stream_progress": _progress,
     "embed_texts": lambda t: hashed_terms(t.docs, "docid", "text").select("docid", rounded(F.col("v")).alias("v")),
+    "embed_job": _encoded,
+    "embed_job_norms": lambda t: norm_stats(hashed_terms(t.docs, "docid", "text")),
     "encoder_udf": lambda t: embed(t.docs, "docid", "text", _letters),
     "mlp_score": lambda t: _pairs(t).select("qid", "docid", F.round(mlp(MLP_1, MLP_2, MLP_3)(F.col("q"), F.col("v")), 6).alias("score")),
     "by_query": _by_query,
@@ -220,6 +252,8 @@ SQL = {
     "save_load_dataset_bundle": sql("qrels", "SELECT 'queries' AS part, count(*) AS rows FROM q UNION ALL SELECT 'qrels', count(*) FROM qrels"),
     "stream_progress": "SELECT count(*) AS rows, 100e0 AS percent FROM documents",
     "embed_texts": sql("d", "SELECT docid, list_transform(v, lambda e: round(e, 6)) AS v FROM h", h=hashed("d", "docid", "text")),
+    "embed_job": sql("d", "SELECT docid, list_transform(v, lambda e: round(e, 6)) AS v FROM h", h=hashed("d", "docid", "text")),
+    "embed_job_norms": sql("d", "SELECT count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT sqrt(list_dot_product(v, v)) AS x FROM h)", h=hashed("d", "docid", "text")),
     "encoder_udf": sql("d", f"SELECT docid, {_LETTERS.format(x='text')} AS v FROM d"),
     "mlp_score": sql(
         "dq dd", "SELECT qid, docid, round(sum(h * [0.5e0, -0.25e0, 0.75e0, 1e0][k + 1]), 6) AS score FROM l2 GROUP BY qid, docid",
@@ -233,6 +267,8 @@ SQL = {
     "write_report": sql("q", "SELECT fold, CASE WHEN own = fold THEN 'testing' ELSE 'training' END AS split, qid FROM (SELECT qid, row_number() OVER (ORDER BY md5('1:' || qid), qid) % 5 AS own FROM q), (SELECT unnest(range(5)) AS fold)"),
     "stream_ingest_documents": "SELECT doc_id, length(text)::INT AS chars FROM documents",
     "stream_build_postings": sql("postings", "SELECT term, docid, tf FROM postings"),
+    "stream_merge_segments": sql("postings", "SELECT term, docid, tf FROM postings"),
+    "stream_merged_bm25": sql("run_a", "SELECT qid, docid, score, rank FROM run_a"),
     "by_query": sql("run_a", "SELECT qid, docid, round(score / max(score) OVER (PARTITION BY qid), 6) AS score FROM run_a"),
     "pipe": sql("run_a", "SELECT qid, docid FROM run_a WHERE rank <= 10"),
 }
