@@ -150,11 +150,11 @@ def _names(filters):  # noqa: ANN001, ANN202  a broadcast of a filter for each n
 @dataclass
 class Trie:
     """A double array: from state s, symbol c leads to base[s] + c if check there is s. Symbols are BITS bits of a word number,
-    `width` for a word; words are the sorted digests of the vocabulary, phrases the word numbers of each phrase (-1 after its
-    last), accepts the number of the phrase that ends in a state, or -1."""
+    `width` for a word; words are the sorted digests of the vocabulary, longest the words of the longest phrase, accepts the number
+    of the phrase that ends in a state, or -1."""
 
     words: np.ndarray
-    phrases: np.ndarray
+    longest: int
     width: int
     root: int
     base: np.ndarray
@@ -177,7 +177,7 @@ class Trie:
         known = self.words[number] == text.digest
         place = np.flatnonzero(known & text.joined)
         state = np.full(len(place), self.root, np.int32)
-        for k in range(self.phrases.shape[1]):
+        for k in range(self.longest):
             at, state = self.step(state, number[place + k])
             place = place[at]
             end = self.accepts[state]
@@ -187,28 +187,29 @@ class Trie:
             place, state = place[on], state[on]
 
 
-def build_trie(digests: list[np.ndarray]) -> Trie:
-    """The trie of phrases, each given as the digests of its words."""
-    size = np.array([len(d) for d in digests], np.int64)
-    words, flat = np.unique(np.concatenate(digests), return_inverse=True)
-    phrases = np.full((len(digests), int(size.max())), -1, np.int64)
+def build_trie(digests: np.ndarray, size: np.ndarray) -> Trie:
+    """The trie of phrases: the digests of their words, one phrase after another, and the number of words of each."""
+    words, flat = np.unique(digests, return_inverse=True)
+    phrases = np.full((len(size), int(size.max())), -1, np.int32)
     phrases[np.arange(phrases.shape[1])[None] < size[:, None]] = flat
     width, symbols = max(1, -(-int(len(words) - 1).bit_length() // BITS)), 1 << BITS
-    # nodes level by level: a node for each different beginning
-    node, n_nodes, edges = np.zeros(len(size), np.int64), 1, []
+    # nodes level by level: a node for each different beginning; child k is node k + 1
+    node, n_nodes, parents, symbol = np.zeros(len(size), np.int64), 1, [], []
     for level in range(phrases.shape[1] * width):
         live = np.flatnonzero(size > level // width)
-        symbol = (phrases[live, level // width] >> (BITS * (level % width))) & (symbols - 1)
-        fresh, child = np.unique(node[live] * symbols + symbol, return_inverse=True)
-        edges.append(np.stack((fresh // symbols, fresh % symbols, np.arange(n_nodes, n_nodes + len(fresh)))))
+        chosen = (phrases[live, level // width] >> (BITS * (level % width))) & (symbols - 1)
+        fresh, child = np.unique(node[live] * symbols + chosen, return_inverse=True)
+        parents.append((fresh // symbols).astype(np.int32))
+        symbol.append((fresh % symbols).astype(np.int32))
         node[live] = child + n_nodes
         n_nodes += len(fresh)
-    parent, symbol, child = np.concatenate(edges, 1)
+    parent, symbol, child = np.concatenate(parents), np.concatenate(symbol), np.arange(1, n_nodes, dtype=np.int32)
+    del parents
     base = _placed(parent, symbol, n_nodes)
     slot = np.full(n_nodes, base.max() + symbols, np.int32)
     root = int(slot[0])
     slot[child] = base[parent] + symbol
-    out = Trie(words, phrases.astype(np.int32), width, root, np.zeros(root + 1, np.int32), np.full(root + 1, -1, np.int32), np.full(root + 1, -1, np.int32))
+    out = Trie(words, phrases.shape[1], width, root, np.zeros(root + 1, np.int32), np.full(root + 1, -1, np.int32), np.full(root + 1, -1, np.int32))
     out.base[slot], out.check[slot[child]], out.accepts[slot[node]] = base, slot[parent], np.arange(len(size))
     return out
 
@@ -220,7 +221,8 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, n_nodes: int) -> np.ndarray:
     draw, base, symbols = np.random.default_rng(1), np.zeros(n_nodes, np.int32), 1 << BITS
     order = np.argsort(parent, kind="stable")
     parent, symbol = parent[order], symbol[order]
-    nodes, first, degree = np.unique(parent, return_index=True, return_counts=True)
+    first = np.flatnonzero(np.concatenate((np.ones(1, bool), parent[1:] != parent[:-1])))
+    nodes, degree = parent[first], np.diff(np.append(first, len(parent)))
     full = degree > symbols // 2
     base[nodes[full]] = np.arange(full.sum()) * symbols
     spread, tries = max(512, int(full.sum()) * symbols + 2 * int(degree[~full].sum())), 0
@@ -271,8 +273,7 @@ def _phrase_counts(rows: DataFrame, candidates: DataFrame, per_trie: int) -> Dat
         if not len(mine):
             continue
         found = mine["d"].combine_chunks()
-        at = found.offsets.to_numpy()
-        trie = build_trie(np.split(found.values.to_numpy().view(np.uint64)[at[0] : at[-1]], at[1:-1] - at[0]))
+        trie = build_trie(found.flatten().to_numpy().view(np.uint64), np.diff(found.offsets.to_numpy()))
         part = rows.mapInArrow(_counter(context.broadcast((trie, mine["id"].to_numpy()))), "id long, n long")
         counted = part if counted is None else counted.unionByName(part)
     empty = rows.sparkSession.createDataFrame([], "id long, n long")

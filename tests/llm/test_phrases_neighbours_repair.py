@@ -74,7 +74,7 @@ def test_trie_accepts_its_phrases_only():
     vocabulary = np.unique(rng.integers(0, 2**63, 700)).astype(np.uint64)
     # one word that very many go on from, so that a state has every symbol
     wanted = {(0, i) for i in range(1, 600)} | {tuple(rng.integers(0, 700, rng.integers(2, 5)).tolist()) for _ in range(3000)}
-    trie = phrases.build_trie([vocabulary[list(p)] for p in wanted])
+    trie = phrases.build_trie(np.concatenate([vocabulary[list(p)] for p in wanted]), np.array([len(p) for p in wanted]))
     numbers = np.searchsorted(trie.words, vocabulary)
     asked = list(wanted) + [tuple(rng.integers(0, 700, rng.integers(1, 5)).tolist()) for _ in range(3000)]
     for p in asked:
