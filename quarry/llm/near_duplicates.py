@@ -33,8 +33,9 @@ COORDINATES, MISSED = 64, 1e-4
 #: Paths are as long as parts a corpus into FANOUT ** depth, and LEAST_DEPTH at least.
 FANOUT, LEAST_DEPTH = 64, 3
 #: Members of a side of a tile; members of a node beyond which it branches on, REPEATS times STEPS levels, ROUNDS times at
-#: most. What is still larger is compared in tiles as well, so no link that met is lost by these.
-TILE, LARGE, STEPS, REPEATS, ROUNDS = 1024, 8192, 2, 4, 3
+#: most. What is still larger is compared in tiles as well. A round of branching parts a pair with a chance of its own (0.00001
+#: for one at the threshold), which planned() takes off what the trees may miss.
+TILE, LARGE, STEPS, REPEATS, ROUNDS = 1024, 8192, 2, 12, 3
 #: Pairs whose signatures agree in fewer coordinates are not compared as sets: 4.3 standard deviations below the threshold.
 LEAST_AGREEING = 33
 #: Bytes of text that are hashed at once; shingles of a tile that are counted at once.
@@ -59,9 +60,10 @@ def missed(depth: int, trees: int, similarity: float = SIMILAR / DIFFERENT) -> f
 
 
 def planned(classes: int) -> tuple[int, int]:
-    """Depth and number of trees for so many classes."""
+    """Depth and number of trees for so many classes: so many that trees and branching together miss no more than MISSED."""
     depth = max(LEAST_DEPTH, math.ceil(math.log(max(classes, 1), FANOUT)))
-    return depth, next(t for t in range(1, 1000) if missed(depth, t) <= MISSED)
+    allowed = MISSED - ROUNDS * missed(STEPS, REPEATS)
+    return depth, next(t for t in range(1, 1000) if missed(depth, t) <= allowed)
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -269,6 +271,7 @@ class _Search:
     def nodes(self, members: DataFrame) -> DataFrame:
         """Members of the nodes that hold two classes or more, with the node's size and least member; of nodes with the same
         members one is left. Members are counted before they are exchanged, so a node of very many is not one task's work."""
+        members = self.scratch.written(members)  # read twice, and made by long paths
         counted = members.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("least"), *(F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"mark{k}") for k in range(2)))
         unlike = counted.where("size > 1").groupBy("size", "least", "mark0", "mark1").agg(F.min("key").alias("key"))
         return members.join(unlike.select("key", "size", "least"), "key")

@@ -61,6 +61,28 @@ def test_crowds_around_the_threshold(spark, monkeypatch, tile, large):
     assert sum(a != b for a, b in zip(found, want, strict=True)) <= 1
 
 
+def test_large_nodes_lose_no_link(spark, monkeypatch):
+    """A crowd in nodes that branch on, with pairs between 0.75 and 0.80 that nothing else links: none is lost."""
+    monkeypatch.setattr(near_duplicates, "TILE", 64)
+    monkeypatch.setattr(near_duplicates, "LARGE", 100)
+    allowed = near_duplicates.missed(*near_duplicates.planned(400)) + near_duplicates.ROUNDS * near_duplicates.missed(near_duplicates.STEPS, near_duplicates.REPEATS)
+    assert allowed <= near_duplicates.MISSED
+    rng = random.Random(12)
+    # all share half of a text, so large nodes hold them; only the partners of a pair share more
+    shared, rows, near = sentence(rng, 120).split(), [], 0
+    while len(rows) < 400:
+        base = shared + sentence(rng, 60).split()
+        own = list(base)
+        for _ in range(rng.randint(2, 5)):
+            own[rng.randrange(len(own))] = sentence(rng, 1)
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, own))
+        if 0.75 <= len(a & b) / len(a | b) <= 0.8:
+            near += 1
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(own))]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert near == 200 and sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+
+
 def test_pairs_just_over_the_threshold_are_found(spark):
     rng = random.Random(9)
     rows, pairs = [], 0
