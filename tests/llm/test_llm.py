@@ -368,6 +368,43 @@ def test_private_spans_and_redaction(spark, odd, empty):
     assert not privacy.learn(empty).nodes and privacy.find_spans(empty, trees).count() == 0
 
 
+def test_near_misses_of_every_kind_are_left_alone(spark):
+    """Spans of each added kind in their surroundings are selected and near misses of each are not, at two sizes of corpus."""
+    rng = random.Random(16)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+
+    def account():
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    planted = {
+        "spelled": lambda: ("contact ", f"jane{digits(3)} [at] example [dot] org"), "local_phone": lambda: ("phone ", f"0{digits(2)} {digits(3)} {digits(4)}"),
+        "id_number": lambda: ("his SSN is ", f"{rng.randint(100, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"), "account": lambda: ("IBAN ", account()),
+        "secret": lambda: ('api_key = "', "".join(rng.choice("0123456789abcdef") for _ in range(40))), "number": lambda: ("passport no. ", digits(9)),
+    }
+    missed = {
+        "spelled": lambda: ("we met ", "early at noon.today"), "local_phone": lambda: ("the lengths were ", f"{digits(2)} {digits(2)} {digits(3)}"), "id_number": lambda: ("version ", f"000-{digits(2)}-{digits(4)}"),
+        "account": lambda: ("model ", f"{account()[:-1]}X"), "secret": lambda: ("the ", f"{sentence(rng, 3).replace(' ', '-')}-handbook-of-gardening-2023"), "number": lambda: ("about ", digits(1) + "00000000"),
+    }
+    for copies in (30, 150):
+        rows, want = [], {}
+        for kind in privacy.ADDED:
+            for right in (True, False):
+                for _ in range(copies):
+                    lead, span = (planted if right else missed)[kind]()
+                    text = f"{sentence(rng, 15)} {lead}"
+                    want[len(rows)] = (kind, right, len(text), len(text) + len(span))
+                    rows.append((len(rows), f"{text}{span} {sentence(rng, 15)} mail a{digits(4)}@x.org and 4111 1111 1111 1111 or 4111 1111 1111 1112"))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        trees = privacy.learn(df)
+        found = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in privacy.ADDED} for r in privacy.find_spans(df, trees).collect()}
+        for kind in privacy.ADDED:
+            right = [(kind, a, b) in found[i] for i, (k, ok, a, b) in want.items() if k == kind and ok]
+            wrong = [any(x < b and a < y for _, x, y in found[i]) for i, (k, ok, a, b) in want.items() if k == kind and not ok]
+            recall, precision = sum(right) / copies, sum(right) / max(1, sum(right) + sum(wrong))
+            assert recall >= 0.9 and precision >= 0.85, (kind, copies, recall, precision)
+
+
 def test_thresholds_of_kinds():
     p, right, wrong = np.array([0.99, 0.9, 0.7, 0.6, 0.2]), np.array([1, 1, 1, 1, 1]), np.array([0, 0, 0, 0, 0])
     assert privacy._threshold(p, right) == 0.5 and privacy._threshold(p, wrong) == 2.0
