@@ -71,9 +71,9 @@ MOST_FITTED = 50_000
 #: Words of a lexicon that is broadcast, at most; a larger one is joined.
 MOST_HELD = 200_000
 #: Longest token, in bytes, whose reading is remembered; decoded tokens that are remembered at once.
-REMEMBERED, DECODED = 64, 50_000
+REMEMBERED, DECODED = 64, 20_000
 #: Words that a task counts before it gives them out.
-MOST_COUNTED = 150_000
+MOST_COUNTED = 60_000
 
 
 #: A reading as text, log probability and symbols.
