@@ -1,6 +1,7 @@
 """Hand-worked cases of metrics, expansion and vectors, and the registered queries against their SQL."""
 
 import math
+import re
 from decimal import Decimal
 
 import duckdb
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from quarry.functions import vectors as vec
 from quarry.functions.scores import minmax_half, top_k
 from quarry.functions.text import stem, tokens
-from quarry.operators import dense, evaluation, late, lexical, training
+from quarry.operators import blocks, cells, dense, evaluation, late, lexical, training
 from quarry.plans import registry
 from quarry.plans.tables import Tables
-from quarry.sources import files
+from quarry.sources import encoding, files
+from quarry.sources.stored import version
+from quarry.streaming import intake
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -103,6 +106,15 @@ def test_stored_index_is_read_and_not_built_again(spark):
     assert "Exchange" not in joined
 
 
+def test_a_changed_part_of_a_folder_is_another_version(spark, tmp_path):
+    folder = tmp_path / "data"
+    spark.createDataFrame([(1, "alpha")], "doc_id long, text string").write.parquet(str(folder / "documents.parquet"))
+    before = version(spark, str(folder))
+    assert version(spark, str(folder)) == before
+    spark.createDataFrame([(2, "beta")], "doc_id long, text string").write.mode("append").parquet(str(folder / "documents.parquet"))
+    assert version(spark, str(folder)) != before
+
+
 def test_a_changed_table_is_another_version(spark, tmp_path):
     folder = str(tmp_path / "data")
     for rows, n in (([(1, "alpha beta")], 2), ([(1, "alpha beta"), (2, "gamma")], 3)):
@@ -120,6 +132,193 @@ def test_recall_of_approximate_search(spark):
     assert dense.recall(exact.where("rank <= 5"), exact).first()["recall"] == 0.5
 
 
+def clustered(spark, n, dim, seed, spread=0.3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, dim))
+    x = centres[rng.integers(0, 40, n)] + spread * rng.normal(size=(n, dim)) / dim**0.5
+    return spark.createDataFrame([(i, v) for i, v in enumerate((x / np.linalg.norm(x, axis=1, keepdims=True)).tolist())], "docid long, v array<double>")
+
+
+def test_cells_are_pruned_and_measured(spark, tmp_path):
+    docs = clustered(spark, 4000, 24, 1)
+    queries = docs.where("docid % 100 = 0").withColumnRenamed("docid", "qid")
+    cells.write_cells(docs, ("docid",), str(tmp_path / "cells"), 10, 40)
+    index = cells.read_cells(spark, str(tmp_path / "cells"), ("docid",))
+    found = cells.cell_search(index, queries, 10)
+    assert dense.recall(found, dense.exact_knn(queries, docs, 10)).first()["recall"] >= 0.9 and index.recall >= 0.95
+    assert cells.looked_at(index, queries).first()["looked_at"] < 0.2
+    one = cells.cell_search(index, queries.limit(1), 10)
+    plan = one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    # the scan of one query's search is cut to the cells that it probes
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ (IN|INSET) ", plan)
+    assert cells.met(index, queries.limit(1)).select("docid").distinct().count() < 0.3 * 4000
+
+
+def test_token_cells_find_the_documents(spark, tmp_path):
+    flat = clustered(spark, 3000, 24, 2)
+    tokens = flat.select(F.floor(F.col("docid") / 5).alias("docid"), (F.col("docid") % 5).cast("int").alias("pos"), (F.col("docid") % 11).cast("int").alias("tokid"), "v")
+    asked = tokens.where("docid % 40 = 0").select(F.col("docid").alias("qid"), F.col("pos").alias("qpos"), "tokid", F.lit(1.0).alias("weight"), "v")
+    cells.write_cells(tokens, late.TOKEN, str(tmp_path / "cells"), 20, 40)
+    index = cells.read_cells(spark, str(tmp_path / "cells"), late.TOKEN)
+    row = late.token_recall(asked, tokens, index, 20).first()
+    assert row["queries"] == asked.count() and row["looked_at"] < 0.2 and row["recall"] >= 0.9
+    full, fast = late.end_to_end(asked, tokens, 20, 10), late.end_to_end(asked, index, 20, 10)
+    assert dense.recall(fast, full).first()["recall"] >= 0.9
+    assert late.nearest_tokens(asked, index).count() > 0
+    assert {(r["qid"], r["docid"]): r["score"] for r in late.ann_score(asked, index, 20, 1).collect()}.items() <= {(r["qid"], r["docid"]): r["score"] for r in late.ann_score(asked, tokens, 20).collect()}.items()
+
+
+def test_hyperplanes_compare_few_pairs(spark):
+    docs = clustered(spark, 4000, 24, 3).unionByName(spark.createDataFrame([(10_000 + i, [1.0] + [0.0] * 23) for i in range(700)], "docid long, v array<double>"))
+    queries = docs.where("docid % 100 = 0").withColumnRenamed("docid", "qid")
+    index = dense.lsh_build(docs)
+    pairs, n = dense.lsh_pairs(index, queries), queries.count()
+    assert pairs.count() < 0.3 * n * docs.count() and pairs.distinct().count() == pairs.count()
+    found, exact = dense.lsh_search(index, queries, 10), dense.exact_knn(queries, docs, 10)
+    assert dense.recall(found.where("qid < 10000"), exact.where("qid < 10000")).first()["recall"] >= 0.9
+    # copies can't be parted by bits, so their bucket is cut into parts
+    largest = index.postings.groupBy("table", "depth", "prefix", "part").count().agg(F.max("count")).first()[0]
+    assert index.buckets.agg(F.max("n")).first()[0] >= 700 and largest < 2 * index.bound
+    assert found.where("qid >= 10000 AND rank <= 10 AND score < 1").isEmpty()
+
+
+def test_blocks_leave_out_what_cannot_matter(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["common"] + [f"term{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}" for i in range(60)]
+    rows = [(i, " ".join(["common"] * int(rng.integers(1, 9)) + list(rng.choice(words[1:], 12)))) for i in range(3000)]
+    index = lexical.build_postings(spark.createDataFrame(rows, "docid long, text string"))
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    blocks.write_blocks(index, str(tmp_path / "blocks"), "blocks_of_a_test", 4)
+    held = blocks.read_blocks(spark, str(tmp_path / "blocks"), "blocks_of_a_test")
+    queries = spark.createDataFrame([(1, "common"), (2, "common termab"), (3, "termcd termef termab"), (4, "nothing"), (5, "common common termaa")], "qid long, query string")
+    terms = lexical.query_terms(queries)
+    same = lambda df: [tuple(r) for r in df.orderBy("qid", "rank").select("qid", "docid", "score", "rank").collect()]
+    for k in (1, 10, 5000):
+        assert same(blocks.retrieve_blocks(terms, held, k)) == same(lexical.retrieve(terms, index, k))
+    report = blocks.block_report(terms, held, 10).first()
+    assert report["read"] < 0.7 * report["blocks"] and report["postings_read"] < report["postings"]
+    # every document holds `common`, and its postings are dealt over all shards
+    of_common = held.blocks.where("term = 'common'").groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    assert len(of_common) == 4 and max(r["n"] for r in of_common) < 1000
+
+
+def test_segments_merge_like_a_full_build(spark, tmp_path):
+    first = spark.createDataFrame([(1, "cats dogs"), (2, "fish"), (3, "birds birds"), (4, "old words")], "doc_id long, text string")
+    second = spark.createDataFrame([(2, "fish cats cats"), (4, None), (5, "dogs"), (5, "a late dog")], "doc_id long, text string")
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in (first, second):
+        rows.coalesce(1).write.mode("append").parquet(source)
+        intake.stream_segments(intake.stream_documents(spark, source), out, state).awaitTermination()
+        index = intake.merge_segments(spark, out)
+    full = lexical.build_postings(spark.createDataFrame([(1, "cats dogs"), (2, "fish cats cats"), (3, "birds birds"), (4, None), (5, "a late dog")], "docid long, text string"))
+    rows = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+    assert rows(index.postings) == rows(full.postings) and rows(index.doclen) == rows(full.doclen) and rows(index.stats) == rows(full.stats)
+    assert rows(intake.merged_terms(spark, out)) == rows(lexical.term_stats(full.postings))
+    queries = spark.createDataFrame([(1, "cat dog fish"), (2, "old")], "qid long, query string")
+    assert rows(lexical.bm25(queries, index)) == rows(lexical.bm25(queries, full))
+    again = intake.merge_segments(spark, out)  # nothing came since
+    assert rows(again.postings) == rows(index.postings) and rows(again.stats) == rows(index.stats)
+
+
+def test_an_encoding_job_is_taken_up_again(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{'abcdefghij'[i % 10]} and more" if i % 7 else None) for i in range(200)], "docid long, text string")
+    seen = []
+
+    def encoder(rows, key, text):
+        seen.extend(r[key] for r in rows.select(key).collect())
+        return dense.hashed_terms(rows, key, text)
+
+    def dying(rows, key, text):
+        if len(seen) > 60:
+            raise RuntimeError("killed")
+        return encoder(rows, key, text)
+
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    with pytest.raises(RuntimeError):
+        encoding.encode(docs, dying, parts, shards=8)
+    before = len(seen)
+    assert 60 < before < 200 and encoding.encoded(spark, parts)[0].count() == before
+    assert encoding.encode(docs, encoder, parts, shards=8) and encoding.encode(docs, encoder, parts, shards=8) == []
+    assert sorted(seen) == list(range(200))  # nothing twice
+    encoding.encode(docs, dense.hashed_terms, whole, shards=1)
+    rows = lambda out: sorted((r["docid"], tuple(r["v"])) for r in encoding.encoded(spark, out)[0].collect())
+    assert rows(parts) == rows(whole) and encoding.encoded(spark, parts)[1].first()["n"] == 200
+
+
+def test_pairwise_fit_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    x, grade = rng.normal(size=(120, 3)), rng.integers(0, 3, 120)
+    x[:, 0] += grade
+    rows = [(int(i % 6), int(i), x[i].tolist()) for i in range(120)]
+    features = spark.createDataFrame(rows, "qid long, docid long, x array<double>")
+    qrels = spark.createDataFrame([(int(i % 6), int(i), int(grade[i])) for i in range(120) if grade[i]], "qid long, docid long, grade int")
+    got = [r["weight"] for r in dense.fit_pairwise(features, qrels).orderBy("feature").collect()]
+    d = np.array([x[i] - x[j] for i in range(120) for j in range(120) if i % 6 == j % 6 and grade[i] > grade[j]])
+    w = np.zeros(3)
+    for _ in range(200):  # plain gradient steps, to the same optimum
+        w += 0.5 * ((1 / (1 + np.exp(d @ w)))[:, None] * d).mean(0) - 0.5 * 2e-3 * w
+    assert got == pytest.approx(w.tolist(), abs=1e-4)
+    ranked = dense.weighted_rank(features, dense.fit_pairwise(features, qrels))
+    plain = dense.weighted_rank(features, spark.createDataFrame([(0, 0.1), (1, 1.0), (2, -1.0)], "feature int, weight double"))
+    value = lambda run: [r["value"] for r in evaluation.evaluate(run, qrels, ("ndcg_10",)).collect()][0]
+    assert value(ranked) > value(plain)
+
+
+def test_pairwise_fit_is_as_good_as_the_grid(spark):
+    known = registry.queries()
+    from quarry.plans import dense as plans
+
+    t = Tables(spark, DATA)
+    best = known["fit_weights"](spark, DATA).agg(F.max("value")).first()[0]
+    features = plans._pair_features(t)
+    fitted = evaluation.evaluate(dense.weighted_rank(features, dense.fit_pairwise(features, t.dqrels)), t.dqrels, ("ndcg_10",)).first()["value"]
+    assert fitted >= best - 1e-9
+
+
+def test_projection_of_queries_equals_numpy(spark):
+    t = Tables(spark, DATA)
+    from quarry.plans import dense as plans
+
+    chosen = plans._choice(t)
+    got = dense.project_queries(chosen, t.dq, t.dd).collect()
+    vectors = {r["docid"]: np.array(r["v"]) for r in t.dd.collect()}
+    for qid in {r["qid"] for r in got}:
+        own = [r for r in got if r["qid"] == qid]
+        assert sum(r["kind"] == "query" for r in own) == 1
+        x = np.array([vectors[qid if r["docid"] is None else r["docid"]] for r in own])
+        u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        assert np.abs(np.array([r["xy"] for r in own])) == pytest.approx(np.abs(u[:, :2] * s[:2]), abs=1e-8)
+
+
+def test_batch_losses_by_hand(spark):
+    rows = [(0, 1, [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]), (0, 2, [0.0, 1.0], [0.0, 2.0], [1.0, 0.0]), (1, 3, [1.0, 0.0], [0.0, 1.0], [1.0, 0.0])]
+    row = training.batch_losses(spark.createDataFrame(rows, "batch int, qid long, q array<double>, p array<double>, n array<double>"), temperature=1.0).first()
+    assert row["in_batch_nce"] == pytest.approx(2 * math.log(1 + math.exp(-1)) / 3, abs=1e-6)
+    assert row["triplet"] == pytest.approx((0 + max(0, 1 - 2**0.5 + 0.2) + 2**0.5 + 0.2) / 3, abs=1e-5)
+
+
+def test_preprocessing_counts_in_one_reading(spark, tmp_path):
+    rows = [(i, "same words here" if i < 4 else f"query number {i} of these", ["long enough text"], int(i != 9), 1) for i in range(30)] + [(50, "no", ["long enough text"], 1, 1)]
+    rows = spark.createDataFrame(rows, "qid long, query string, texts array<string>, n_positive long, n_negative long")
+    rows.write.parquet(str(tmp_path / "in"))
+    df, steps = training.preprocess(spark.read.parquet(str(tmp_path / "in")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") in (1, 2) and len(set(re.findall(r"FileScan parquet [^\n]*#(\d+)", plan))) <= 1
+    df.write.parquet(str(tmp_path / "out"))
+    found, out = steps(), spark.read.parquet(str(tmp_path / "out"))
+    assert (found["0 input"], found["1 quality"], found["2 length"], found["3 dedup"]) == (31, 30, 29, 26)
+    assert found["4 sampling"] == out.where("method = 'none'").count() and found["5 augmentation"] == out.count() and 15 < found["4 sampling"] < 26
+
+
+def test_format_check_raises_the_alarm(spark):
+    good, bad = '{"doc_id": "a", "doc_text": "x"}', '{"docno": "a", "body": "x"}'
+    check = lambda lines: files.validate_documents(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)).first()
+    row = check([good] * 17 + [bad, "no json", good])
+    assert (row["valid"], row["invalid"], row["rate"], row["alarm"], row["samples"]) == (18, 2, 0.9, False, [good] * 3)
+    row = check([bad, good])
+    assert row["alarm"] and row["samples"] == [bad, good]
+
+
 def test_principal_components_keep_the_most_variance(spark):
     t = Tables(spark, DATA)
     rows = t.vectors.orderBy("vec_id").select("v").toArrow().column(0).to_pylist()
