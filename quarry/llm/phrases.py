@@ -28,6 +28,8 @@ PHRASES_PER_TRIE = 1 << 19
 #: only lets a needless candidate through.
 FILTER_BITS = 26
 AT_ONCE = 1 << 20
+#: Bits by which documents are told apart when a phrase is named in one of them.
+MARK_BITS = 16
 #: Phrases that a task remembers to have named; beyond, it begins anew and names some again.
 MOST_SHOWN = 1 << 20
 #: Bits of a symbol of the tries: with few symbols, states fit between each other.
@@ -94,19 +96,40 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([langs.take(pa.array(text.owner[at])).cast(pa.string()), word, pa.array(digest.view(np.int64)), pa.array(n)], names=["lang", "word", "d", "n"])
 
 
-def _holds(bits: np.ndarray, digest: np.ndarray) -> np.ndarray:
-    at = digest >> np.uint64(64 - FILTER_BITS)
+def _bit(digest: np.ndarray) -> np.ndarray:
+    return digest >> np.uint64(64 - FILTER_BITS)
+
+
+def _marked_bit(digest: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return (digest & np.uint64((1 << FILTER_BITS) - 1)) ^ (mark << np.uint64(FILTER_BITS - MARK_BITS))
+
+
+def _holds(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _filter(frequent: DataFrame, digest: str) -> np.ndarray:
-    """One bit for each digest of frequent, by its first FILTER_BITS bits: at most 2 ** (FILTER_BITS - 6) rows for the driver."""
-    at = F.shiftrightunsigned(F.col(digest), 64 - FILTER_BITS)
-    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({digest}, {64 - FILTER_BITS}) & 63 as int))")
-    found = frequent.select(F.shiftrightunsigned(at, 6).alias("at"), mask.alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[found["at"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
-    return bits
+def _filter(bits: DataFrame) -> np.ndarray:
+    """The bits that are numbered in the column `bit`: at most 2 ** (FILTER_BITS - 6) rows for the driver."""
+    found = bits.select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[found["at"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def _digest_filter(frequent: DataFrame, digest: str) -> np.ndarray:
+    return _filter(frequent.select(F.shiftrightunsigned(digest, 64 - FILTER_BITS).alias("bit")))
+
+
+def _marked_filter(frequent: DataFrame) -> np.ndarray:
+    return _filter(frequent.select(F.expr(f"(g & {(1 << FILTER_BITS) - 1}L) ^ shiftleft(mark, {FILTER_BITS - MARK_BITS})").alias("bit")))
+
+
+def _marks(text: Text) -> np.ndarray:
+    """MARK_BITS of a digest of each word's document: the same wherever and whenever the document is read."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(text.digest, dtype=np.uint64)))
+    first = np.searchsorted(text.owner, text.owner)
+    last = np.searchsorted(text.owner, text.owner, "right")
+    return mix(sums[last] - sums[first]) >> np.uint64(64 - MARK_BITS)
 
 
 def _chains(text: Text, n: int, on: np.ndarray) -> np.ndarray:
@@ -118,26 +141,32 @@ def _chains(text: Text, n: int, on: np.ndarray) -> np.ndarray:
 
 
 def _longer(n: int, bits):  # noqa: ANN001, ANN202  a broadcast; a function of batches
-    """Digests of phrases of n words whose two parts of n - 1 words pass the filter, counted: (g, n)."""
+    """Digests of phrases of n words whose two parts of n - 1 words pass the filter, counted, with the mark of a document that
+    holds them: (g, mark, n)."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, _ in _texts(batches):
-            part = _holds(bits.value, text.digest if n == 2 else grams(text.digest, n - 1))
-            gram, times = np.unique(grams(text.digest, n)[_chains(text, n, part[:-1] & part[1:])], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(times)], names=["g", "n"])
+            part = _holds(bits.value, _bit(text.digest if n == 2 else grams(text.digest, n - 1)))
+            at = _chains(text, n, part[:-1] & part[1:])
+            gram, first, times = np.unique(grams(text.digest, n)[at], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(_marks(text)[at[first]].view(np.int64)), pa.array(times)], names=["g", "mark", "n"])
 
     return grow
 
 
-def _names(filters):  # noqa: ANN001, ANN202  a broadcast of a filter for each number of words; a function of batches
-    """Phrases that pass the filter of their length, each about once a task: (g, d), the phrase's digest and its words'."""
+def _names(filters):  # noqa: ANN001, ANN202  a broadcast of two filters for each number of words; a function of batches
+    """Phrases that pass the filter of their length, in documents with the mark that was kept for them: (g, d), the phrase's
+    digest and its words'. So each is named in about one document."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown = {n: np.empty(0, np.uint64) for n in filters.value}
         for text, _ in _texts(batches):
-            for n, bits in filters.value.items():
+            marks = _marks(text)
+            for n, (bits, marked) in filters.value.items():
                 whole = grams(text.digest, n)
-                gram, first = np.unique(whole[at := _chains(text, n, _holds(bits, whole))], return_index=True)
+                at = _chains(text, n, _holds(bits, _bit(whole)))
+                at = at[_holds(marked, _marked_bit(whole[at], marks[at]))]
+                gram, first = np.unique(whole[at], return_index=True)
                 fresh = ~np.isin(gram, shown[n], assume_unique=True)
                 gram, at = gram[fresh], at[first[fresh]]
                 shown[n] = np.concatenate((shown[n] if len(shown[n]) < MOST_SHOWN else shown[n][:0], gram))
@@ -303,14 +332,15 @@ def collocations(
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     words = scratch.written(rows.mapInArrow(_words, "lang string, word string, d long, n long").groupBy("lang", "word").agg(F.first("d").alias("d"), F.sum("n").alias("f")))
     frequent = words.where(F.col("f") >= least)
-    bits, filters, levels = _filter(frequent, "d"), {}, []
+    bits, filters, levels = _digest_filter(frequent, "d"), {}, []
     for n in range(2, longest + 1):
-        counts = rows.mapInArrow(_longer(n, spark.sparkContext.broadcast(bits)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-        levels.append(scratch.written(counts.where(F.col("n") >= least).select("g")))
-        filters[n] = bits = _filter(levels[-1], "g")
+        counts = rows.mapInArrow(_longer(n, spark.sparkContext.broadcast(bits)), "g long, mark long, n long").groupBy("g").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
+        levels.append(scratch.written(counts.where(F.col("n") >= least).select("g", "mark")))
+        bits = _digest_filter(levels[-1], "g")
+        filters[n] = bits, _marked_filter(levels[-1])
     # far more phrases are counted than turn out frequent, so they are counted by digest and only the frequent ones are named
     named = rows.mapInArrow(_names(spark.sparkContext.broadcast(filters)), "g long, d array<bigint>").distinct()
-    candidates = named.join(reduce(DataFrame.unionByName, levels), "g", "left_semi")
+    candidates = named.join(reduce(DataFrame.unionByName, levels).select("g"), "g", "left_semi")
     candidates = scratch.written(candidates.withColumn("id", F.monotonically_increasing_id()))
     counted = scratch.written(_phrase_counts(rows, candidates, per_trie).where(F.col("f") >= least))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
