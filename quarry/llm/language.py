@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, text_bytes
+from quarry.llm.common import table, text_bytes, written
 
 #: n-grams of one to so many characters, and how many of the most frequent make a profile.
 LONGEST, PROFILE = 3, 400
@@ -144,20 +144,52 @@ def _profiles(rows: list, size: int) -> tuple[list[str], np.ndarray, np.ndarray]
     return langs, grams, places
 
 
-def predict(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int = PROFILE) -> DataFrame:
+def _ranked(size: int):  # noqa: ANN202  a function of batches
+    """(at, gram, nth, own): the ranks of each document's most frequent grams, and how many it has."""
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = text_bytes(batch.column(0))
+            for i, row in enumerate(batch.column(1).to_pylist()):
+                codes = _stream(data[at[i] : at[i + 1]].tobytes())
+                if len(codes):
+                    own = _top(*_grams(codes), size)
+                    numbers = [np.full(len(own), row), own.astype(np.int64), np.arange(len(own)), np.full(len(own), len(own))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in numbers], names=["at", "gram", "nth", "own"])
+
+    return ranked
+
+
+def _joined(docs: DataFrame, profiles: DataFrame, text: str, size: int) -> DataFrame:
+    """docs with lang_pred and score as predict() gives them, by a join on grams: for more languages than tasks can hold."""
+    rows = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")))
+    grams = rows.select(F.col("row")[text].alias("text"), "at").mapInArrow(_ranked(size), "at long, gram long, nth long, own long")
+    near = F.lit(size) - F.least(F.abs(F.col("place") - F.col("nth")), F.lit(size))
+    # a language without any of a document's grams is at the greatest distance; the first of all stands for these
+    first = profiles.agg(F.min("lang").alias("lang"))
+    gains = grams.join(profiles.select("lang", F.col("gram").cast("long").alias("gram"), "place"), "gram").groupBy("at", "lang", "own").agg(F.sum(near).alias("gain"))
+    none = grams.select("at", "own").distinct().join(F.broadcast(first), F.lit(True)).select("at", "lang", "own", F.lit(0).cast("long").alias("gain"))
+    best = gains.unionByName(none).groupBy("at", "own").agg(F.max(F.struct("gain")).alias("top"), F.min_by("lang", F.struct(-F.col("gain"), "lang")).alias("lang"))
+    found = rows.join(best, "at", "left")
+    score = F.when(F.col("lang").isNull(), 0.0).otherwise(1 - (F.col("own") * size - F.col("top.gain")).cast("double") / (F.col("own") * size))
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns), F.coalesce("lang", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
+def predict(docs: DataFrame, profiles: DataFrame, text: str = "text", size: int = PROFILE, most_held: int = 2_000) -> DataFrame:
     """docs with lang_pred and score added (columns of these names are replaced).
 
     A document's most frequent n-grams are ranked like a profile; the out-of-place distance to a language sums, over
     them, how far each stands from its place there, `size` at most and where it is missing. The nearest language wins,
     ties by name. score is 1 minus the mean distance over `size`. Texts that are null or have no letter get und and 0,
     as all do if there is no profile. Rows map one to one, repeated ones too. Profiles are languages x size rows, so
-    they go to the tasks as a broadcast value (checked: at most 2,000 languages).
+    they go to the tasks as a broadcast value if they are no more than most_held languages have; of more languages they are
+    joined with the documents' n-grams, with the same result.
     """
-    rows = profiles.limit(2_000 * size + 1).collect()
-    if len(rows) > 2_000 * size:
-        raise ValueError("more than 2,000 languages")
-    known = docs.sparkSession.sparkContext.broadcast(_profiles(rows, size))
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = profiles.limit(most_held * size + 1).collect()
+    if len(rows) > most_held * size:
+        return _joined(docs.select(*kept), profiles, text, size)
+    known = docs.sparkSession.sparkContext.broadcast(_profiles(rows, size))
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
     place = kept.index(text)
 

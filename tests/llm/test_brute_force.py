@@ -61,6 +61,15 @@ def test_crowds_around_the_threshold(spark, monkeypatch, tile, large):
     assert sum(a != b for a, b in zip(found, want, strict=True)) <= 1
 
 
+def test_many_languages_are_joined_with_the_same_result(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").limit(150)
+    profiles = language.learn(docs)
+    asked = docs.unionByName(spark.createDataFrame([(-1, None, None), (-2, "123 ...", None), (-3, "\u4e00\u4e01", None), (-3, "\u4e00\u4e01", None)], "doc_id long, text string, lang string")).withColumn("at", F.lit(3)).withColumn("gram", F.lit("x"))
+    rows = lambda df: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 12), r["at"], r["gram"]) for r in df.collect())
+    assert rows(language.predict(asked, profiles, most_held=0)) == rows(language.predict(asked, profiles))
+    assert language.predict(asked.limit(0), profiles, most_held=0).count() == 0
+
+
 def test_large_nodes_lose_no_link(spark, monkeypatch):
     """A crowd in nodes that branch on, with pairs between 0.75 and 0.80 that nothing else links: none is lost."""
     monkeypatch.setattr(near_duplicates, "TILE", 64)
