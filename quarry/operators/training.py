@@ -36,8 +36,8 @@ def numbered(df: DataFrame, key: str, chunks: int = 4096, name: str = "place") -
 def components(queries: DataFrame, run: DataFrame, qrels: DataFrame, docs: DataFrame, subset: DataFrame | None = None) -> dict[str, DataFrame]:
     """The queries, run, judgments and documents of a data set, cut to a subset of queries (qid) if one is given: documents
     are those that the run or the judgments name."""
-    kept = queries if subset is None else queries.join(F.broadcast(subset.select("qid")), "qid", "left_semi")
-    of_run, judged = (df.join(F.broadcast(kept.select("qid")), "qid", "left_semi") for df in (run, qrels))
+    kept = queries if subset is None else queries.join(subset.select("qid"), "qid", "left_semi")
+    of_run, judged = (df.join(kept.select("qid"), "qid", "left_semi") for df in (run, qrels))
     named = of_run.select("docid").union(judged.select("docid")).distinct()
     return {"queries": kept, "run": of_run, "qrels": judged, "documents": docs.join(named, "docid", "left_semi")}
 

@@ -46,7 +46,7 @@ def build_up(t: Tables) -> DataFrame:
     parts = lexical.bm25_parts(steps, t.index).select("qid", "step", "docid", "part")
     by_step = W.partitionBy("qid", "docid").orderBy("step")
     score = F.round(F.sum("part").over(by_step.rowsBetween(W.unboundedPreceding, 0)), 6)
-    running = parts.withColumns({"score": score, "next": F.lead("step").over(by_step)}).join(F.broadcast(steps.groupBy("qid").agg(F.max("step").alias("last"))), "qid")
+    running = parts.withColumns({"score": score, "next": F.lead("step").over(by_step)}).join(steps.groupBy("qid").agg(F.max("step").alias("last")), "qid")
     held = running.select("qid", "docid", "score", F.explode(F.sequence("step", F.coalesce(F.col("next") - 1, "last"))).alias("step"))
     run = top_k(held, 1000, ["qid", "step"])
     return ev.per_query(run, t.qrels, ("ndcg_10",), ("qid", "step")).select("qid", "step", "value")

@@ -140,7 +140,7 @@ QUERIES = {
     "kfold": lambda t: tr.kfold(t.queries),
     "split_validation": lambda t: tr.val_split(t.queries),
     "split_by_fold": lambda t: t.qrels.join(tr.kfold(t.queries).where("fold = 2 AND split = 'testing'").select("qid"), "qid", "left_semi").select("qid", "docid", "grade"),
-    "filter_by_query_ids": lambda t: t.run_a.join(F.broadcast(t.queries.where("qid % 4 = 0").select("qid")), "qid", "left_semi"),
+    "filter_by_query_ids": lambda t: t.run_a.join(t.queries.where("qid % 4 = 0").select("qid"), "qid", "left_semi"),
     "semi_common_queries": lambda t: t.queries.join(t.run_a.select("qid").distinct(), "qid", "left_semi").join(t.qrels.where("grade = 2").select("qid").distinct(), "qid", "left_semi"),
     "anti_missing_queries": _coverage,
     "join_run_doc_text": lambda t: t.run_a.join(t.docs, "docid").select("qid", "docid", "rank", F.length("text").alias("chars")),
