@@ -16,6 +16,18 @@ from quarry.sources.stored import shared_folder
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch, and what a session has that names none.
+BATCH_BYTES, _UNNAMED = "4m", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of about BATCH_BYTES, unless the session names a bound of its own: a batch lies
+    in memory twice in the executor and twice in the worker, and long texts make 10,000 rows large."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) == _UNNAMED:
+        spark.conf.set(bound, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

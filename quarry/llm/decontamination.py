@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import runs, table, text_bytes, without, written
+from quarry.llm.common import runs, small_batches, table, text_bytes, without, written
 from quarry.llm.hashing import grams, split_words
 
 #: Words of a shingle; a window matches an item if 100 times the weight of what they share is at least 75 times that of what either has.
@@ -177,6 +177,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     sized = items.withColumn("words", F.size(F.split("text", r"[\x20\x09-\x0D]+")))
     slices = max(1, -(-int(sized.agg(F.sum("words")).first()[0] or 0) // slice_words))
     numbered = sized.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
+    small_batches(spark)
     rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     found = []
     for k in range(slices):

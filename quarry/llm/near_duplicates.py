@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, runs, small, table, text_bytes
+from quarry.llm.common import Scratch, runs, small, small_batches, table, text_bytes
 from quarry.llm.components import components
 from quarry.llm.hashing import constants, mix, shingle_lists, split_words
 
@@ -357,6 +357,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     and kept true for them if no row with an id is reached. Repeated rows of one doc_id are each returned and share its
     fate. Extra columns are left out; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("id")).withColumn("body", F.xxhash64("text"))
     sketched = rows.select("text", "id", "body").mapInArrow(_sketched, "id long, body long, n_shingles long, high long, low long, signature binary")
     scratch, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.samples import bounded
-from quarry.llm.common import cut, runs, small, table, text_bytes, written
+from quarry.llm.common import cut, runs, small, small_batches, table, text_bytes, written
 from quarry.llm.hashing import grams, split_words
 from quarry.llm.language import held_out
 
@@ -295,6 +295,7 @@ def _word_counts(counts: list[tuple[int, int]]):  # noqa: ANN202  a function of
 def labelled_texts(docs: DataFrame, labels: DataFrame, parts: int, part: int, text: str = "text", label: str = "toxic") -> DataFrame:
     """(text, toxic, group, row): labelled documents that aren't held out, as a table in the shared folder. Documents and
     labels are joined by doc_id; a null id or label joins nothing; repeated ones give a row each."""
+    small_batches(docs.sparkSession)
     own = labels.where(~held_out(F.col("doc_id"), parts, part) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("toxic"))
     joined = docs.select("doc_id", F.col(text).alias("text")).join(small(own), "doc_id").select("text", "toxic")
     return written(joined.mapInArrow(_grouped, "text string, toxic int, group long").withColumn("row", F.monotonically_increasing_id()))
@@ -404,6 +405,7 @@ def score_texts(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...], tex
     repeated ones too. The trigram table goes to the tasks as a closure; the lexicon is broadcast if it is counted to have
     MOST_HELD words or fewer, and joined to the words of the texts otherwise.
     """
+    small_batches(docs.sparkSession)
     counts = [(r["gram"], r["n"]) for r in character_counts(docs, text).collect()]  # 28 ** 3 rows at most
     lexicon = learn_lexicon(labelled, counts)
     n_words = lexicon.count()
