@@ -15,9 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.scores import top_k
-from quarry.functions.vectors import dot, mean_vector, total
-from quarry.operators.cells import CellFile, looked_at, met
-from quarry.operators.dense import _blocks
+from quarry.functions.vectors import dot, mean_vector
+from quarry.operators import nearest
+from quarry.operators.cells import CellFile, cell_search, looked_at, met
 
 # Token ids that mark a sequence, a query, a document, or a mask.
 SPECIAL = (101, 102, 103, 1, 2)
@@ -30,7 +30,7 @@ def token_pairs(queries: DataFrame, docs: DataFrame, candidates: DataFrame | Non
     if candidates is not None:
         met = docs.join(candidates.select("qid", "docid"), "docid").join(q, "qid")
     else:
-        met = reduce(DataFrame.unionByName, [docs.join(F.broadcast(block), F.lit(True)) for block in _blocks(q)])
+        met = reduce(DataFrame.unionByName, [docs.join(F.broadcast(block), F.lit(True)) for block in nearest.blocks(q)])
     return met.select("qid", "qpos", "qtok", "weight", "docid", "pos", "tokid", dot(F.col("q"), F.col("v")).alias("sim"))
 
 
@@ -40,9 +40,7 @@ def maxsim(queries: DataFrame, docs: DataFrame, candidates: DataFrame | None = N
         # tokens stay together by document, so there is one row for each query and document and none for each pair of tokens
         asked = queries.groupBy("qid").agg(F.collect_list(F.struct("weight", "v")).alias("q"))
         held = docs.groupBy("docid").agg(F.collect_list("v").alias("d"))
-        met = reduce(DataFrame.unionByName, [held.join(F.broadcast(block), F.lit(True)) for block in _blocks(asked)])
-        parts = F.transform("q", lambda q: q["weight"] * F.greatest(F.lit(0.0), F.array_max(F.transform("d", lambda d: dot(q["v"], d)))))
-        return top_k(met.select("qid", "docid", F.round(total(parts), 6).alias("score")), k)
+        return top_k(nearest.best_bags(asked, held, k), k)
     best = token_pairs(queries, docs, candidates).groupBy("qid", "docid", "qpos", "weight").agg(F.max("sim").alias("sim"))
     return top_k(best.groupBy("qid", "docid").agg(F.round(F.sum(F.col("weight") * F.greatest(F.lit(0.0), "sim")), 6).alias("score")), k)
 
@@ -84,9 +82,9 @@ def probed_pairs(queries: DataFrame, index: CellFile, probes: int | None = None)
 def token_neighbours(queries: DataFrame, docs: DataFrame | CellFile, k: int) -> DataFrame:
     """The k nearest document tokens of each query token, ties by document and position: of all tokens, or, with a cell file
     of tokens for docs, of those in the probed cells."""
-    order = W.partitionBy("qid", "qpos").orderBy(F.desc("sim"), "docid", "pos")
-    near = (probed_pairs if isinstance(docs, CellFile) else token_pairs)(queries, docs).withColumn("sim", F.round("sim", 6))
-    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    asked = queries.select(F.struct("qid", "qpos", F.col("tokid").alias("qtok"), "weight").alias("qid"), "v")
+    found = cell_search(docs, asked, k, kind="dot", rank="place") if isinstance(docs, CellFile) else nearest.best(asked, docs, list(TOKEN), k, "dot", "place")
+    return found.select("qid.*", *TOKEN, F.col("score").alias("sim"), F.col("place").cast("int").alias("place"))
 
 
 def set_retrieve(queries: DataFrame, docs: DataFrame | CellFile, k: int = 1000) -> DataFrame:
