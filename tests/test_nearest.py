@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scores import top_k
 from quarry.functions.vectors import dot, similarity, total
-from quarry.operators import dense, evaluation, late, nearest, reweighting
+from quarry.operators import cells, dense, evaluation, late, nearest, reweighting
 from quarry.plans import dense as plans
 from quarry.plans.tables import Tables
 
@@ -65,3 +65,15 @@ def test_correlation_of_equal_weights_is_no_error(spark):
     found = spark.createDataFrame([(1, 0.5, 0.1, 0.3, True), (1, 0.5, 0.2, 0.3, True), (2, 0.1, 0.2, 0.1, False), (2, 0.2, 0.4, 0.1, False), (3, 0.1, 0.2, 0.1, False)], "qid int, rm_weight double, semantic double, hybrid double, boosted boolean")
     got = {r["qid"]: r["correlation"] for r in reweighting.reweighting_stats(found).collect()}
     assert math.isnan(got[1]) and got[2] == 1.0 and math.isnan(got[3])
+
+
+def test_cells_are_multiplied_and_give_the_rows_of_a_join(spark, tmp_path):
+    draw = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, [float(x) for x in draw.normal(size=8)]) for i in range(800)], "docid long, v array<double>").cache()
+    q = docs.where("docid % 40 = 0").select(F.col("docid").alias("qid"), "v")
+    cells.write_cells(docs, ("docid",), str(tmp_path / "cells"), 5, 12)
+    index = cells.read_cells(spark, str(tmp_path / "cells"), ("docid",))
+    found = cells.cell_search(index, q, 5, 3)
+    plain = top_k(cells.met(index, q, 3).select("qid", "docid", F.round(similarity(F.col("q"), F.col("v")), 6).alias("score")), 5)
+    assert rows(found.select("qid", "docid", "score", "rank")) == rows(plain)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
