@@ -386,3 +386,16 @@ def test_query_equals_sql(spark, tables, name):
     got, want = sorted(([r[c] for c in columns] for r in df.collect()), key=key), sorted(([r[i] for i in at] for r in found.fetchall()), key=key)
     assert len(got) == len(want)
     assert [(a, b) for a, b in zip(got, want, strict=True) if not _close(a, b)] == []
+
+
+@pytest.mark.parametrize("name", ["pool_tokens", "vector_mean", "interaction_matrix"])
+def test_rounded_zeros_have_no_sign(spark, tmp_path, name):
+    rows = [(n, [1.0, 0.0] if n < 4 else [-1e-7 * (1 + n % 4), 0.5], 0) for n in range(12)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    df, found = registry.queries()[name](spark, str(tmp_path)), con.sql(registry.oracle_sql()[name])
+    columns = sorted(df.columns)
+    at = [found.columns.index(c) for c in columns]
+    got, want = sorted(repr([r[c] for c in columns]) for r in df.collect()), sorted(repr([r[i] for i in at]) for r in found.fetchall())
+    assert got == want and "-0.0" not in str(got)
