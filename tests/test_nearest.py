@@ -77,3 +77,19 @@ def test_cells_are_multiplied_and_give_the_rows_of_a_join(spark, tmp_path):
     plain = top_k(cells.met(index, q, 3).select("qid", "docid", F.round(similarity(F.col("q"), F.col("v")), 6).alias("score")), 5)
     assert rows(found.select("qid", "docid", "score", "rank")) == rows(plain)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_of_all_pairs(spark):
+    rows = [(n, [((7 * n + 3 * i) % 13 - 6) / 8 for i in range(4)]) for n in range(60)]
+    rows += [(60, None), (61, [1.0, None, 2.0, 3.0]), (62, [1.0, 2.0]), (63, [0.0] * 4), (64, [1e200] * 4), (65, [float("nan"), 1.0, 1.0, 1.0]), (66, [float("inf"), 0.0, 0.0, 0.0]), (67, [5e-7, 0.0, 0.0, 0.0]), (68, [-1e-7, 0.0, 0.0, 0.0]), (69, []), (70, [1e12, -1e12, 0.1, 0.3])]
+    docs = spark.createDataFrame(rows, "docid long, v array<double>")
+    queries = docs.select(F.col("docid").alias("qid"), "v")
+    for add in (0.0, 0.25):
+        plain = queries.withColumnRenamed("v", "q").crossJoin(docs).select("qid", "docid", F.round(dot(F.col("q"), F.col("v")) + add, 6).alias("score"))
+        want, got = sorted(repr(tuple(r)) for r in plain.collect()), sorted(repr(tuple(r)) for r in nearest.products(queries, docs, add).collect())
+        assert got == want
+
+
+def test_bilinear_scores_are_multiplied_in_blocks(spark):
+    plan = plans.QUERIES["bilinear_score"](Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "MapInArrow" in plan
