@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +66,20 @@ LEAST_SPACED = 3
 _AROUND = "".join(c for c in SEPARATORS if c != "(").encode()
 _SIGN, _LETTER, _TWICE = re.compile(rb"[^A-Za-z\x80-\xff]"), re.compile(rb"[A-Za-z\x80-\xff]"), re.compile(rb"([a-z])\1", re.I)
 _PUNCTUATION = set(SEPARATORS) - {"("}
+#: The same by byte, for whole batches: white space as split() takes it, what is stripped, letters, and lower case.
+_BYTES = [bytes([c]) for c in range(256)]
+_SPACE, _STRIPPED = (np.array([test(c) for c in _BYTES]) for test in (bytes.isspace, lambda c: c.isspace() or c in _AROUND))
+_ASCII_LETTER, _ALNUM, _LOWER = np.array([c.isalpha() for c in _BYTES]), np.array([c.isalnum() for c in _BYTES]), np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_ANY_LETTER = _ASCII_LETTER | (np.arange(256) >= 128)
 
 #: Labelled rows that the logistic model of three features is fitted on, at most.
 MOST_FITTED = 50_000
 #: Words of a lexicon that is broadcast, at most; a larger one is joined.
 MOST_HELD = 200_000
-#: Longest token, in bytes, whose reading is remembered; decoded tokens that are remembered at once.
+#: Longest token, in bytes, whose reading is remembered; tokens, and decoded ones, that are remembered at once.
 REMEMBERED, DECODED = 64, 20_000
+#: Bytes of texts whose tokens are told apart at once.
+AT_ONCE = 1 << 16
 #: Words that a task counts before it gives them out.
 MOST_COUNTED = 60_000
 
@@ -85,7 +93,10 @@ def _reading(letters: str, cost: float) -> Reading:
     return letters, cost, tuple(0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else OTHER for c in letters)
 
 
+_OTHERS = lru_cache(4096)(lambda c: (_reading(c, 0.0),))
 _SIGNS = {c: tuple(_reading(*x) for x in readings) for c, readings in READINGS.items()}
+#: Where there is a choice: a sign, or what is there twice or more.
+_UNSURE = re.compile("(?:" + "|".join(map(re.escape, READINGS)) + r")+|(.)\1+", re.S)
 _LETTERS = {chr(c): (_reading(chr(c), 0.0),) for c in range(97, 123)}
 #: What read() says of a token that is one plain word.
 _NOTHING: tuple[int, list[bytes]] = 0, []
@@ -105,13 +116,25 @@ class CharacterModel:
         log = np.log(three)
         log[:, :, 1:] += 2.5
         self.log = log.ravel().tolist()
+        # by the symbols before, of, and behind a letter that is there twice: whether two are likelier than one, by a margin for
+        # rounding. Such choices don't touch each other, as each is in the trigrams that end in the second letter and next to it
+        same = np.arange(SYMBOLS)
+        self.stays = (log[:, same, same][:, :, None] + log[same, same, :][None, :, :] - log > DOUBLED + 1e-9).ravel()
 
     def restore(self, token: str, fold: bool = True) -> str:
         """The likeliest word or words behind a token or a spaced run, letters a to z and whatever else has no reading as it
         is. fold: what is there twice may stand for one, and signs at the edges for nothing."""
+        low = token.lower()
+        unsure = [m.span() for m in _UNSURE.finditer(low)]
+        if not unsure:
+            return low
+        # letters before the first choice give its context, and two behind the last one make all ways one again
+        begin, close = unsure[0][0], min(len(low), unsure[-1][1] + 2)
         steps: list[tuple[Reading, ...]] = []
-        i, low = 0, token.lower()
-        while i < len(low):
+        i, start = begin, 0
+        for c in low[max(0, begin - 2) : begin]:
+            start = start * SYMBOLS + (_LETTERS.get(c) or _OTHERS(c))[0][2][0]
+        while i < close:
             c, j = low[i], i + 1
             while j < len(low) and low[j] == c:
                 j += 1
@@ -128,13 +151,23 @@ class CharacterModel:
             elif run == 2:
                 steps.append((_reading(c + c, 0.0), _reading(c, DOUBLED)) if fold else (_reading(c + c, 0.0),))
             else:
-                steps.append(_LETTERS.get(c) or (_reading(c, 0.0),))
+                steps.append(_LETTERS.get(c) or _OTHERS(c))
             i = j
         # each state keeps its best score and the way to it, a list from its end
         log = self.log
-        best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+        best: dict[int, tuple[float, tuple | None]] = {start: (0.0, None)}
         for step in steps:
             after: dict[int, tuple[float, tuple | None]] = {}
+            if len(step) == 1 and step[0][0] in _LETTERS:  # as below, for the letters that most steps are
+                letters, x = step[0][0], step[0][2][0]
+                for state, (score, way) in best.items():
+                    at = state * SYMBOLS + x
+                    total = score + log[at]
+                    at %= _STATES
+                    if at not in after or total > after[at][0]:
+                        after[at] = total, (way, letters)
+                best = after
+                continue
             for state, (score, way) in best.items():
                 for letters, cost, symbols in step:
                     at, total = state, score + cost
@@ -149,12 +182,12 @@ class CharacterModel:
                     if at not in after or total > after[at][0]:
                         after[at] = total, ((way, letters) if letters else way)
             best = after
-        way = max(((score + (log[at * SYMBOLS] if at else 0.0), k, way) for k, (at, (score, way)) in enumerate(best.items())), default=(0.0, 0, None))[2]
+        way = max(((score + (log[at * SYMBOLS] if at and close == len(low) else 0.0), k, way) for k, (at, (score, way)) in enumerate(best.items())), default=(0.0, 0, None))[2]
         out: list[str] = []
         while way:
             way, letters = way
             out.append(letters)
-        return "".join(reversed(out))
+        return low[:begin] + "".join(reversed(out)) + low[close:]
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +211,62 @@ def character_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(_trigrams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+class _Recent(dict):
+    """What was looked up last, DECODED entries at most: the newer half, and the older one that it replaced."""
+
+    def __init__(self) -> None:
+        self.older: dict = {}
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        value = self.older.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:  # noqa: ANN001
+        if len(self) >= DECODED // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+
+def _looked_at(raw: bytes, stays: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, start, end) of the tokens of raw, which begins and ends with a space, but for those of which _Restorer.read()
+    is known to say _NOTHING: words without a sign whose repeated letters stay, and two different letters or digits."""
+    b = np.frombuffer(raw, np.uint8)
+    space = _SPACE[b]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    inner = np.flatnonzero(~_STRIPPED[b])
+    if not len(start) or not len(inner):
+        return np.arange(len(start)), start, end
+    first, behind = np.searchsorted(inner, start), np.searchsorted(inner, end)
+    filled = behind > first
+    lo, hi = inner[np.minimum(first, len(inner) - 1)], inner[behind - 1] + 1
+    low = _LOWER[b]
+    upto = lambda mask: np.concatenate(([0], np.cumsum(mask, dtype=np.int32)))
+    signs, ascii_letters = upto(~_ANY_LETTER[b]), upto(_ASCII_LETTER[b])
+    twice = upto((low[1:] == low[:-1]) & _ASCII_LETTER[b[1:]])
+    size, head = hi - lo, b[lo]
+    # the sign for kelvin, which begins with 0xE2, is k in lower case; no other letter beyond ASCII becomes an ASCII one alone
+    word = (size > 2) & (signs[hi] == signs[lo]) & ((head < 128) | ((head != 0xE2) & (ascii_letters[hi] > ascii_letters[lo])))
+    once = twice[hi - 1] == twice[lo]
+    # pairs of letters that are one choice each: no letter is there three times, and those beyond ASCII are Latin ones that stand alone
+    pair = np.flatnonzero((low[1:] == low[:-1]) & _ASCII_LETTER[b[1:]])
+    symbol = _SYMBOL[low].astype(np.int64)
+    fixed = stays[symbol[pair - 1] * _STATES + symbol[pair] * SYMBOLS + symbol[pair + 2]] & (low[pair - 1] != low[pair]) & (low[pair + 2] != low[pair])
+    moved = np.zeros(len(b), bool)
+    moved[pair[~fixed]] = True
+    far = b >= 128
+    latin = np.flatnonzero((b[1:-2] == 0xC3) & far[2:-1] & (b[2:-1] < 0xC0) & ~far[:-3] & ~far[3:]) + 1
+    far[latin] = far[latin + 1] = False
+    unclear = upto(moved | far)
+    word &= once | (unclear[hi] == unclear[lo])
+    two = (size == 2) & _ALNUM[head] & _ALNUM[b[hi - 1]] & (low[lo] != low[hi - 1])
+    some = np.flatnonzero(~(filled & (word | two)))
+    return some, start[some], end[some]
+
+
 class _Restorer:
     """The words of a text, with disguised ones restored; remembers what it has decoded, up to a bound."""
 
@@ -186,23 +275,21 @@ class _Restorer:
         for gram, n in counts:
             cube[gram] = n
         self.model = CharacterModel(cube)
-        self.memory: dict[bytes, tuple[int, list[bytes]]] = {}
-        self.decoded: dict[str, list[bytes]] = {}
+        self.memory, self.decoded = _Recent(), _Recent()
 
     def decode(self, token: bytes) -> list[bytes]:
         """The words behind a token or spaced run that it doesn't show openly."""
         text = token.decode("utf-8", "replace").lower()
-        if text in self.decoded:
-            return self.decoded[text]
+        known = self.decoded[text]
+        if known is not None:
+            return known
         shown = set(text.encode().translate(PLAIN).split())
         found = self.model.restore(text).encode().split()
         if _SIGN.search(token):  # a doubled letter or a sign at the edge may belong to the word
             found += [w for w in self.model.restore(text, fold=False).encode().split() if w not in found]
         hidden = [w for w in found if w not in shown]
         if len(text) <= REMEMBERED:
-            if len(self.decoded) > DECODED:
-                self.decoded.clear()
-            self.decoded[text] = hidden
+            self.decoded.keep(text, hidden)
         return hidden
 
     def read(self, token: bytes) -> tuple[int, list[bytes]]:
@@ -218,35 +305,51 @@ class _Restorer:
             value = part, self.decode(core) if len(core) > 2 and _LETTER.search(core) and (signed or twice) else []
             value = value if part or value[1] else _NOTHING
         if len(token) <= REMEMBERED:
-            if len(self.memory) > 2 * DECODED:
-                self.memory.clear()
-            self.memory[token] = value
+            self.memory.keep(token, value)
         return value
 
     def words(self, raw: bytes) -> tuple[list[bytes], int]:
         """Words of the text and after them the restored ones; and the number of the latter."""
-        found = raw.translate(PLAIN).split()
+        return next(self.texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+
+    def texts(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[list[bytes], int]]:
+        """words() of each text of a batch."""
+        for i, j in runs(at, AT_ONCE):
+            texts = [data[at[k] : at[k + 1]].tobytes() for k in range(i, j)]
+            raw = b" " + b" ".join(texts) + b" "
+            number, start, end = _looked_at(raw, self.model.stays)
+            # a text lies behind the spaces of those before it
+            edges = np.searchsorted(start, at[i : j + 1] - at[i] + np.arange(1, j - i + 2)).tolist()
+            number, start, end = number.tolist(), start.tolist(), end.tolist()
+            for k, text in enumerate(texts):
+                some = slice(edges[k], edges[k + 1])
+                found, restored = text.translate(PLAIN).split(), self._restored(raw, number[some], start[some], end[some])
+                yield found + restored, len(restored)
+
+    def _restored(self, raw: bytes, number: list[int], start: list[int], end: list[int]) -> list[bytes]:
+        """What is behind a text's tokens that are looked at; one that isn't looked at ends a spaced run."""
         restored: list[bytes] = []
         run: list[bytes] = []
-        solid = 0
-        known = self.memory.get
-        for token in raw.split():
-            value = known(token) or self.read(token)
-            if value is _NOTHING and not run:
-                continue
-            part, own = value
-            if own:
-                restored += own
-            if part:
-                run.append(token)
-                solid += part == 2
-            elif run:
+        solid, last, memory = 0, -1, self.memory
+        for nth, a, b in zip(number, start, end, strict=True):
+            token = raw[a:b]
+            part, own = memory[token] or self.read(token)
+            if run and (nth != last + 1 or not part):
+                # words of a token that ends a run come before those of the run
+                if not part and nth == last + 1:
+                    restored += own
+                    own = []
                 if solid >= LEAST_SPACED:
                     restored += self.spaced(run)
                 run, solid = [], 0
+            restored += own
+            if part:
+                run.append(token)
+                solid += part == 2
+            last = nth
         if solid >= LEAST_SPACED:
             restored += self.spaced(run)
-        return found + restored, len(restored)
+        return restored
 
     def spaced(self, run: list[bytes]) -> list[bytes]:
         text = b" ".join(run)
@@ -279,8 +382,8 @@ def _word_counts(counts: list[tuple[int, int]]):  # noqa: ANN202  a function of
         table: dict[bytes, list[int]] = {}
         for batch in batches:
             data, at = text_bytes(batch.column(0))
-            for i, label in enumerate(batch.column(1).to_pylist()):
-                for w in set(restorer.words(data[at[i] : at[i + 1]].tobytes())[0]):
+            for label, (words, _) in zip(batch.column(1).to_pylist(), restorer.texts(data, at), strict=True):
+                for w in set(words):
                     if len(w) >= 3:
                         both = table.setdefault(w, [0, 0])
                         both[0] += label
@@ -335,8 +438,7 @@ def _features(counts: list[tuple[int, int]], lexicon):  # noqa: ANN001, ANN202
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             rows = np.zeros((batch.num_rows, 4))
-            for i in range(batch.num_rows):
-                words, restored = restorer.words(data[at[i] : at[i + 1]].tobytes())
+            for i, (words, restored) in enumerate(restorer.texts(data, at)):
                 hits = [weights[w] for w in words if w in weights]
                 rows[i] = bool(hits), np.log1p(sum(hits)), np.sqrt(len(hits) / max(20, len(words))), restored
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(rows[:, k]) for k in range(4))], names=[*batch.schema.names[1:], *FEATURES, "restored"])
@@ -351,8 +453,7 @@ def _listed(counts: list[tuple[int, int]]):  # noqa: ANN202  a function of batch
         restorer = _Restorer(counts)
         for batch in batches:
             data, at = text_bytes(batch.column(0))
-            for i, row in enumerate(batch.column(1).to_pylist()):
-                words, restored = restorer.words(data[at[i] : at[i + 1]].tobytes())
+            for row, (words, restored) in zip(batch.column(1).to_pylist(), restorer.texts(data, at), strict=True):
                 table = Counter(words)
                 yield pa.RecordBatch.from_pydict({
                     "at": pa.array([row] * (len(table) + 1), pa.int64()), "word": pa.array([None, *(w.decode("utf-8", "replace") for w in table)], pa.string()),

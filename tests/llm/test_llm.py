@@ -468,6 +468,30 @@ def test_lattices_take_separators_and_signs_anywhere():
     assert restorer.words(b"all fools, that (ass) of a dumbass; hate!")[1] <= 1
 
 
+def test_plain_tokens_are_told_apart_by_batches(monkeypatch):
+    rng = random.Random(13)
+    text = " ".join(rng.choice(["letter", "all", "Called", "été", "the", "of", "word,", "Straße."]) for _ in range(2000))
+    rows = next(toxicity._trigrams(iter([pa.RecordBatch.from_pydict({"text": pa.array([text])})])))
+    restorer = toxicity._Restorer(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)))
+    looked_at, read = [], restorer.read
+    monkeypatch.setattr(restorer, "read", lambda token: looked_at.append(token) or read(token))
+    assert restorer.words(text.encode())[1] == 0 and looked_at == []  # nothing is disguised, and doubled letters are likely
+    # what is looked at tells the same as each token alone does
+    odd = ["".join(rng.choices(list("aabkK\u212aZ 05.,-($!*\n\x1c\x85\xa0") + ["é", "É", "İ", "Ÿ", "ÿ", "日"], k=rng.randrange(30))) for _ in range(3000)]
+    data, at = toxicity.text_bytes(pa.array(odd, pa.string()))
+    for t, (words, n) in zip(odd, restorer.texts(data, at), strict=True):
+        plain, restored, run = t.encode().translate(toxicity.PLAIN).split(), [], []
+        for part, own, token in [(*read(token), token) for token in t.encode().split()] + [(0, [], b"")]:
+            restored += own
+            if part:
+                run.append((token, part))
+                continue
+            if sum(part == 2 for _, part in run) >= toxicity.LEAST_SPACED:
+                restored += restorer.spaced([token for token, _ in run])
+            run = []
+        assert words == plain + restored and n == len(restored), t
+
+
 def test_large_lexicons_are_joined(spark, monkeypatch):
     rng = random.Random(12)
     rows = [(i, sentence(rng, 25) + (" nasty" if i % 5 == 0 else "") + (" v i l e" if i % 10 == 0 else "")) for i in range(200)] + [(500, None)]
