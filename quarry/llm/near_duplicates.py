@@ -272,8 +272,9 @@ class _Search:
         """Members of the nodes that hold two classes or more, with the node's size and least member; of nodes with the same
         members one is left. Members are counted before they are exchanged, so a node of very many is not one task's work."""
         members = self.scratch.written(members)  # read twice, and made by long paths
-        counted = members.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("least"), *(F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"mark{k}") for k in range(2)))
-        unlike = counted.where("size > 1").groupBy("size", "least", "mark0", "mark1").agg(F.min("key").alias("key"))
+        counted = members.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("least"), F.bit_xor(F.xxhash64("class")).alias("mark"))
+        # 64 bits do: they are compared only among nodes of one size and least member, and a class is in few nodes
+        unlike = counted.where("size > 1").groupBy("size", "least", "mark").agg(F.min("key").alias("key"))
         return members.join(unlike.select("key", "size", "least"), "key")
 
     def below(self, members: DataFrame, depth: int, repeats: int) -> DataFrame:
