@@ -38,8 +38,9 @@ FANOUT, LEAST_DEPTH = 64, 3
 TILE, LARGE, STEPS, REPEATS, ROUNDS = 1024, 8192, 2, 12, 3
 #: Pairs whose signatures agree in fewer coordinates are not compared as sets: 4.3 standard deviations below the threshold.
 LEAST_AGREEING = 33
-#: Bytes of text that are hashed at once; shingles of a tile that are counted at once.
-AT_ONCE, COLUMNS = 1 << 18, 4096
+#: Bytes of text that are hashed at once; shingles of a tile that are sorted at once, about, and shared ones that are counted
+#: at once: so a tile of long texts takes little more memory than its sets.
+AT_ONCE, SORTED, COLUMNS = 1 << 18, 1 << 18, 1024
 
 _SEEDS = constants(COORDINATES, 11)
 
@@ -202,19 +203,24 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Shingles in common of each set on the left with each on the right."""
-    joined, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, which, count = np.unique(joined, return_inverse=True, return_counts=True)
-    shared = count > 1
-    column, owner = (np.cumsum(shared) - 1)[which][shared[which]], owner[shared[which]]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
+    """Shingles in common of each set on the left with each on the right; sets are sorted, and read range by range of values."""
     total = np.zeros((len(left), len(right)), np.int64)
-    for begin in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(column, [begin, begin + COLUMNS])
-        has = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - begin)), np.float32)
-        has[owner[a:b], column[a:b] - begin] = 1
-        total += (has[left] @ has[right].T).astype(np.int64)
+    ranges = max(1, -(-sum(len(s) for s in sets) // SORTED))
+    inner = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, inner).tolist(), len(s)] for s in sets]
+    for r in range(ranges):
+        part = [s[c[r] : c[r + 1]] for s, c in zip(sets, cuts, strict=True)]
+        joined, owner = np.concatenate(part), np.repeat(np.arange(len(part)), [len(s) for s in part])
+        _, which, count = np.unique(joined, return_inverse=True, return_counts=True)
+        shared = count > 1
+        column, owner = (np.cumsum(shared) - 1)[which][shared[which]], owner[shared[which]]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for begin in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [begin, begin + COLUMNS])
+            has = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - begin)), np.float32)
+            has[owner[a:b], column[a:b] - begin] = 1
+            total += (has[left] @ has[right].T).astype(np.int64)
     return total
 
 
@@ -236,13 +242,13 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return p
 
         a, b = [], []
-        for i, j in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
-            i, j = int(left[i]), int(right[j])
-            p, q = root(part[i]), root(part[j])
-            if p != q:
-                parent[q] = p
-                a.append(ids[i])
-                b.append(ids[j])
+        for i, row in zip(left.tolist(), found, strict=True):
+            for j in right[row].tolist():
+                p, q = root(part[i]), root(part[j])
+                if p != q:
+                    parent[q] = p
+                    a.append(ids[i])
+                    b.append(ids[j])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -288,7 +294,10 @@ class _Search:
 
     def linked(self, tiles: DataFrame) -> DataFrame:
         """Links between the two sides of tiles (tile, class, component, side), by full sets."""
-        full = tiles.join(self.sets, "class").repartition("tile").sortWithinPartitions("tile")
+        # a class has several sets only where one row of the table is repeated. They are made one in the exchange that the join
+        # needs, so that sets are exchanged once here and not once more before
+        sets = self.sets.groupBy("class").agg(F.any_value("shingles").alias("shingles"))
+        full = tiles.join(sets, "class").repartition("tile").sortWithinPartitions("tile")
         return self.scratch.written(full.select("tile", "class", "component", "side", "shingles").mapInArrow(_linked, "a long, b long"))
 
     def stars(self, nodes: DataFrame) -> DataFrame:
@@ -328,9 +337,7 @@ class _Search:
         self.searched = self.scratch.written(self.classes.join(met, "class", "left_semi").select("class", "least_id", "body", "signature"))
         chosen = small(self.searched.select(F.col("least_id").alias("_id"), F.col("body").alias("_body"), "class"))
         texts = self.docs.join(chosen, (F.col("body") == F.col("_body")) & F.col("id").eqNullSafe(F.col("_id")))
-        # a class has several rows here only where one row of the table is repeated
-        found = texts.select("text", "class").mapInArrow(_full_sets, "class long, shingles binary")
-        self.sets = self.scratch.written(found.groupBy("class").agg(F.any_value("shingles").alias("shingles")))
+        self.sets = self.scratch.written(texts.select("text", "class").mapInArrow(_full_sets, "class long, shingles binary"))
 
         links = self.linked(self.likely(self.stars(nodes)))
         known = self.scratch.written(components(links))

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -108,6 +109,38 @@ def test_pairs_just_over_the_threshold_are_found(spark):
     assert got.where("component_id = doc_id - doc_id % 2").count() >= 2 * pairs - 1
 
 
+def test_sets_are_not_exchanged_before_they_are_compared(spark, monkeypatch):
+    """A repeated row's sets are made one where they are joined, with the same result; the table of sets takes no exchange."""
+    written, plans = near_duplicates.Scratch.written, []
+
+    def noted(self, df):
+        if df.columns == ["class", "shingles"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(self, df)
+
+    monkeypatch.setattr(near_duplicates.Scratch, "written", noted)
+    rng = random.Random(21)
+    rows = list(enumerate(crowd(rng, 40, 12)))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows + rows[:5] * 3, "doc_id long, text string").repartition(7))
+    assert sorted({(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()}) == brute_components(rows) and got.count() == 55
+    assert plans and not any("Exchange hashpartitioning" in p or "Exchange(hashpartitioning" in p for p in plans)
+
+
+def test_a_tile_of_long_texts_takes_little_more_than_its_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 64, 60_000, np.uint64))
+    sets = [np.sort(rng.choice(pool, int(rng.integers(1, 30_000)), replace=False)) for _ in range(60)] + [np.empty(0, np.uint64)]
+    left, right = np.arange(0, 40), np.arange(20, 61)
+    tracemalloc.start()
+    got = near_duplicates._in_common(sets, left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[len(set(sets[i].tolist()) & set(sets[j].tolist())) for j in right[:6].tolist()] for i in left[:6].tolist()] == got[:6, :6].tolist()
+    assert peak < 3 * sum(s.nbytes for s in sets)
+    monkeypatch.setattr(near_duplicates, "SORTED", 1 << 40)
+    assert np.array_equal(got, near_duplicates._in_common(sets, left, right))
+
+
 # quality: the risk and the prior in plain Python
 
 
