@@ -2,7 +2,7 @@
 
 import duckdb
 
-from quarry.plans import files
+from quarry.plans import files, training
 from quarry.plans.tables import Tables
 
 DATA = "/root/testdata/sf0.001"
@@ -15,3 +15,11 @@ def test_stored_vectors_keep_the_sign_of_what_rounds_to_zero(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     assert repr(sorted(got.items())) == repr(sorted(con.execute(files.SQL["save_load_embeddings"]).fetchall()))
+
+
+def test_a_sum_over_no_sampled_rows_is_null(spark, monkeypatch):
+    good = [(i, f"query number {i} of these", ["long enough text"], 1, 1) for i in range(30)]
+    for rows, last in (([(*r[:4], 0) for r in good], None), ([], None), (good, 30)):
+        monkeypatch.setattr(training, "_rows", lambda t, rows=rows: spark.createDataFrame(rows, "qid long, query string, texts array<string>, n_positive long, n_negative long"))
+        got = dict(map(tuple, training.QUERIES["preprocess_pipeline"](Tables(spark, DATA)).collect()))
+        assert got["0 input"] == len(rows) and (got["5 augmentation"] is None if last is None else got["5 augmentation"] >= got["4 sampling"] > 0)
