@@ -1,7 +1,13 @@
 """Edges at which queries and their SQL differed or took too long: signs of zero, steps without rows, all pairs by blocks."""
 
 import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from quarry.functions.vectors import similarity
+from quarry.operators import dense, nearest
+from quarry.plans import dense as vectors
 from quarry.plans import files, training
 from quarry.plans.tables import Tables
 
@@ -23,3 +29,29 @@ def test_a_sum_over_no_sampled_rows_is_null(spark, monkeypatch):
         monkeypatch.setattr(training, "_rows", lambda t, rows=rows: spark.createDataFrame(rows, "qid long, query string, texts array<string>, n_positive long, n_negative long"))
         got = dict(map(tuple, training.QUERIES["preprocess_pipeline"](Tables(spark, DATA)).collect()))
         assert got["0 input"] == len(rows) and (got["5 augmentation"] is None if last is None else got["5 augmentation"] >= got["4 sampling"] > 0)
+
+
+def rows(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    draw = np.random.default_rng(7)
+    found = [(n, [float(x) for x in draw.normal(size=4)]) for n in range(80)] + [(80 + n, [((7 * n + 3 * i) % 13 - 6) / 8 for i in range(4)]) for n in range(40)]
+    found += [(120, None), (121, [1.0, None, 2.0, 3.0]), (122, [1.0, 2.0]), (123, [0.0] * 4), (124, [1e200] * 4), (125, [float("nan"), 1.0, 1.0, 1.0]), (126, [float("inf"), 0.0, 0.0, 0.0])]
+    found += [(127, [5e-7, 0.0, 0.0, 0.0]), (128, [-1e-7, 0.0, 0.0, 0.0]), (129, []), (130, [1e12, -1e12, 0.1, 0.3]), (131, [0.0, 0.0]), (132, [None] * 4), (133, [1e-200] * 4), (134, [-0.0] * 4), (None, [0.5] * 4)]
+    return spark.createDataFrame(found, "docid long, v array<double>").repartition(3).cache()
+
+
+def test_all_measures_of_all_pairs(spark, odd, monkeypatch):
+    queries = odd.select(F.col("docid").alias("qid"), "v")
+    plain = dense.pairs(queries, odd).select("qid", "docid", *(F.round(similarity(F.col("q"), F.col("v"), k), 6).alias(k) for k in nearest.MEASURES))
+    for some, sent in ((1_024, 32_768), (7, 50)):
+        monkeypatch.setattr(nearest, "SOME", some)
+        monkeypatch.setattr(nearest, "SENT", sent)
+        assert rows(nearest.measures(queries, odd)) == rows(plain)
+    alike = odd.where("size(v) = 4 AND docid < 120")
+    assert rows(nearest.measures(queries.where("qid < 30"), alike)) == rows(plain.where("qid < 30 AND docid < 120"))
+    plan = vectors.QUERIES["vector_similarity"](Tables(spark, DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "MapInArrow" in plan
