@@ -1,12 +1,16 @@
 """Edges at which queries and their SQL differed or took too long: signs of zero, steps without rows, all pairs by blocks."""
 
+from types import SimpleNamespace
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions.scores import top_k
 from quarry.functions.vectors import similarity
-from quarry.operators import dense, nearest
+from quarry.operators import dense, hyperplanes, nearest
 from quarry.plans import dense as vectors
 from quarry.plans import files, training
 from quarry.plans.tables import Tables
@@ -47,11 +51,71 @@ def odd(spark):
 def test_all_measures_of_all_pairs(spark, odd, monkeypatch):
     queries = odd.select(F.col("docid").alias("qid"), "v")
     plain = dense.pairs(queries, odd).select("qid", "docid", *(F.round(similarity(F.col("q"), F.col("v"), k), 6).alias(k) for k in nearest.MEASURES))
-    for some, sent in ((1_024, 32_768), (7, 50)):
-        monkeypatch.setattr(nearest, "SOME", some)
-        monkeypatch.setattr(nearest, "SENT", sent)
-        assert rows(nearest.measures(queries, odd)) == rows(plain)
+    assert rows(nearest.measures(queries, odd)) == rows(plain)
+    # the same by smaller blocks, in this process
+    table = odd.toArrow()
+    asked = SimpleNamespace(value=table.rename_columns(["qid", "v"]))
+    monkeypatch.setattr(nearest, "SOME", 7)
+    monkeypatch.setattr(nearest, "SENT", 50)
+    parts = [list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in nearest._measured(asked)(iter(table.combine_chunks().to_batches()))]
+    assert max(map(len, parts)) <= 50 and sorted(repr(r) for part in parts for r in part) == rows(plain)
     alike = odd.where("size(v) = 4 AND docid < 120")
     assert rows(nearest.measures(queries.where("qid < 30"), alike)) == rows(plain.where("qid < 30 AND docid < 120"))
     plan = vectors.QUERIES["vector_similarity"](Tables(spark, DATA))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "MapInArrow" in plan
+
+
+def clusters(spark, n, dim, centres, seed=1):
+    draw = np.random.default_rng(seed)
+    at = draw.normal(size=(centres, dim))
+    x = at[draw.integers(0, centres, n)] + 0.3 * draw.normal(size=(n, dim)) / dim**0.5
+    return spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(n + i, x[0].tolist()) for i in range(300)] + [(n + 300, None), (n + 301, [1.0])], "docid long, v array<double>").cache()
+
+
+@pytest.mark.parametrize(("centres", "bound"), [(40, 64), (1, 64), (40, 8)])
+def test_hyperplanes_find_what_a_join_of_their_buckets_finds(spark, centres, bound, monkeypatch):
+    """Pairs, their number and the best of them, by blocks, are those of a join of the probes with the postings."""
+    docs = clusters(spark, 2000, 8, centres)
+    queries = docs.where("docid % 100 = 0 OR docid >= 2300").select(F.col("docid").alias("qid"), "v")
+    index = hyperplanes.lsh_build(docs, bound=bound)
+    sizes = index.buckets
+    assert index.recall >= 0.95 or index.bound >= 2302
+    assert sizes.where(f"n > {index.bound} AND depth < 24").isEmpty() and sizes.groupBy("table").agg(F.sum("n").alias("n")).where("n != 2300").isEmpty()
+    asked = queries.where("qid < 2300").collect()
+    probes, _ = hyperplanes._coded(nearest.Vectors(pa.array([r["v"] for r in asked])), index.planes, 6)
+    known = {(r["table"], r["depth"], r["prefix"]) for r in sizes.collect()}
+    probed = {(r["qid"], t, d, int(c) >> (24 - d)) for r, codes in zip(asked, probes, strict=True) for t in range(8) for c in codes[t] for d in range(4, 25, 2)}
+    wanted = spark.createDataFrame([p for p in probed if p[1:] in known], "qid long, table long, depth long, prefix long")
+    pairs = wanted.join(index.postings, ["table", "depth", "prefix"]).select("qid", "docid").distinct()
+    scored = pairs.join(docs, "docid").join(queries.select("qid", F.col("v").alias("q")), "qid").select("qid", "docid", F.round(similarity(F.col("q"), F.col("v")), 6).alias("score"))
+    for block in (4_096, 7):
+        monkeypatch.setattr(hyperplanes, "ASKED", block)
+        assert rows(hyperplanes.lsh_pairs(index, queries)) == rows(pairs) and hyperplanes.lsh_compared(index, queries).first()["n"] == pairs.count()
+        assert rows(hyperplanes.lsh_search(index, queries, 10)) == rows(top_k(scored, 10))
+
+
+@pytest.mark.parametrize("share", [0.002, 0.3, 1.0])
+def test_pairs_that_meet_by_product_or_one_by_one(share, monkeypatch):
+    draw = np.random.default_rng(9)
+    side = lambda n: nearest.Vectors(pa.array([[float(x) for x in row] for row in draw.integers(-2, 3, (n, 6))] + [None, [0.0] * 6, [float("nan")] * 6, [1e200] * 6]))
+    q, d = side(300), side(900)
+    met = draw.random((304, 904)) < share
+    found = []
+    for few in (64, 0, 10**9):  # as it is, all one by one, all by product
+        monkeypatch.setattr(nearest, "FEW", few)
+        best, got = nearest._Best(304, 5), []
+        for i, j, score in nearest._met(q, np.arange(304), d, best, "cosine", lambda a, b: met[a:b]):
+            got += list(zip(i.tolist(), j.tolist(), map(repr, score), strict=True))
+        found.append(sorted(got))
+    i, j = np.nonzero(met)
+    score = np.where(q.null[i] | d.null[j], -np.inf, nearest._rounded(nearest._score(q, d, i, j, "cosine")))
+    order = np.lexsort((j, -score, i))
+    order = order[nearest._leading(i[order], 5)]
+    real = {(a, b) for a, b, s in zip(i[order].tolist(), j[order].tolist(), score[order], strict=True) if s != -np.inf}
+    assert found[0] == found[1] == found[2] and real <= {r[:2] for r in found[0]} and all(met[r[:2]] for r in found[0])
+
+
+def test_hyperplanes_send_no_pairs(spark):
+    t = Tables(spark, DATA)
+    plan = vectors.QUERIES["lsh_knn"](t)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("MapInArrow") >= 2
