@@ -119,3 +119,18 @@ def test_hyperplanes_send_no_pairs(spark):
     t = Tables(spark, DATA)
     plan = vectors.QUERIES["lsh_knn"](t)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("MapInArrow") >= 2
+
+
+def test_quality_of_all_pairs(spark, odd):
+    """By sums and blocks as by a plain join, with copies, null labels, zero and odd vectors."""
+    labelled = odd.where("size(v) = 4").withColumn("label", F.when(F.col("docid") % 7 != 0, F.col("docid") % 3).cast("int"))
+    labelled = labelled.unionByName(labelled.where("docid % 5 = 0")).cache()
+    plain = labelled.where("docid < 120 OR docid IN (121, 123, 132, 134)")
+    for docs in (plain, labelled.where("docid != 126"), labelled, plain.where("label = 1"), plain.where("label IS NULL"), plain.limit(0)):
+        queries = docs.where("docid % 2 = 1").withColumnRenamed("docid", "qid")
+        pairs = queries.select("qid", F.col("v").alias("q"), F.col("label").alias("ql")).crossJoin(docs).select(similarity(F.col("q"), F.col("v")).alias("c"), (F.col("label") == F.col("ql")).alias("hit"))
+        good, bad = F.avg(F.when(F.col("hit"), F.col("c"))), F.avg(F.when(~F.col("hit"), F.col("c")))
+        want = pairs.agg(*(F.round(c, 6).alias(n) for c, n in ((F.min("c"), "low"), (F.max("c"), "high"), (good, "positive"), (bad, "negative"), (good - bad, "separation"))))
+        assert repr(tuple(dense.embedding_quality(queries, docs).first())[:5]) == repr(tuple(want.first()))
+    plan = vectors.QUERIES["embedding_quality"](Tables(spark, DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan
