@@ -1,8 +1,9 @@
 """Collocations: phrases of a language whose words occur together more often than alone.
 
 Candidates grow word by word as Apriori has it: a phrase can only be frequent if all shorter phrases in it are. They are put
-into double-array tries of bounded size; every task advances the states of all its text positions at once, word by word,
-and counts the accepting states.
+into double-array tries of bounded size, shared out by their first two words, and the words at a text position go to the one
+trie that can hold its phrases; a task advances the states of all positions of a trie at once, word by word, and counts the
+accepting states. So texts are read once, however many tries there are.
 """
 
 from __future__ import annotations
@@ -14,20 +15,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, runs, table, text_bytes
+from quarry.llm.common import Scratch, runs, small_batches, table, text_bytes
 from quarry.llm.hashing import Spans, grams, mix
 
 LEAST, LONGEST, BEST = 10, 3, 2000
-#: Phrases of a trie, about. More candidates make more tries, and each trie reads the texts once.
-PHRASES_PER_TRIE = 1 << 19
+#: Phrases of a trie, about. More candidates make more tries; each is built and used in one task.
+PHRASES_PER_TRIE = 1 << 15
 #: Bits of the filter of frequent words or phrases: a fixed size, whatever the corpus. A bit that is set by another phrase
 #: only lets a needless candidate through.
 FILTER_BITS = 26
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: Bits by which documents are told apart when a phrase is named in one of them.
 MARK_BITS = 16
 #: Phrases that a task remembers to have named; beyond, it begins anew and names some again.
@@ -199,21 +201,20 @@ class Trie:
             at, state = at[on], to[on]
         return at, state
 
-    def count(self, text: Text, counts: np.ndarray) -> None:
-        """Adds the occurrences of all phrases in a text."""
-        number = np.searchsorted(self.words, text.digest)
-        number[number == len(self.words)] = 0
-        known = self.words[number] == text.digest
-        place = np.flatnonzero(known & text.joined)
-        state = np.full(len(place), self.root, np.int32)
+    def count(self, words: list[np.ndarray], size: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The occurrences of all phrases at the beginnings of texts of `size` words, words[0] first, each found n times."""
+        counts = np.zeros(int(self.accepts.max()) + 1, np.int64)
+        place, state = np.arange(len(size)), np.full(len(size), self.root, np.int32)
         for k in range(self.longest):
-            at, state = self.step(state, number[place + k])
-            place = place[at]
-            end = self.accepts[state]
-            counts += np.bincount(end[end >= 0], minlength=len(counts))
-            on = text.joined[place + k]
-            on[on] = known[place[on] + k + 1]
+            on = size[place] > k
             place, state = place[on], state[on]
+            number = np.minimum(np.searchsorted(self.words, words[k][place]), len(self.words) - 1)
+            known = self.words[number] == words[k][place]
+            at, state = self.step(state[known], number[known])
+            place = place[known][at]
+            end = self.accepts[state]
+            np.add.at(counts, end[end >= 0], n[place[end >= 0]])
+        return counts
 
 
 def build_trie(digests: np.ndarray, size: np.ndarray) -> Trie:
@@ -281,33 +282,50 @@ def _placed(parent: np.ndarray, symbol: np.ndarray, n_nodes: int) -> np.ndarray:
     return base
 
 
-def _counter(held):  # noqa: ANN001, ANN202  a broadcast of a trie and the ids of its phrases; a function of batches
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, ids = held.value
-        counts = np.zeros(len(ids), np.int64)
-        for text, _ in _texts(batches):
-            trie.count(text, counts)
+def _windows(longest: int, filters):  # noqa: ANN001, ANN202  a broadcast of two filters for each number of words; a function of batches
+    """The words that follow at each place, as many as may be a candidate, those of a megabyte counted: (size, n, w0, w1, ...). All
+    beginnings of a frequent phrase are frequent, so what passes no filter ends it."""
+
+    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for text, _ in _texts(batches, 2 * AT_ONCE):
+            size, whole = np.ones(len(text.start), np.int32), text.digest.copy()
+            for n in range(2, longest + 1):
+                gram = grams(text.digest, n)
+                at = _chains(text, n, size == n - 1)
+                at = at[_holds(filters.value[n][0], _bit(gram[at]))]
+                size[at], whole[at] = n, gram[at]
+            at = np.flatnonzero(size > 1)
+            _, first, times = np.unique(whole[at], return_index=True, return_counts=True)
+            at = at[first]
+            words = [pa.array(np.where(size[at] > k, text.digest[np.minimum(at + k, len(text.digest) - 1)], 0).view(np.int64)) for k in range(longest)]
+            yield pa.RecordBatch.from_arrays([pa.array(size[at]), pa.array(times), *words], names=["size", "n", *(f"w{k}" for k in range(longest))])
+
+    return window
+
+
+def _matched(longest: int):  # noqa: ANN202  a function of the phrases (id, d) and the windows of a trie
+    def match(phrases: pa.Table, windows: pa.Table) -> pa.Table:
+        if not len(phrases) or not len(windows):
+            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        found = phrases.column("d").combine_chunks()
+        trie = build_trie(found.flatten().to_numpy().view(np.uint64), pc.list_value_length(found).to_numpy())
+        counts = trie.count([windows.column(f"w{k}").to_numpy().view(np.uint64) for k in range(longest)], windows.column("size").to_numpy(), windows.column("n").to_numpy())
         met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(counts[met])], names=["id", "n"])
+        return pa.table({"id": phrases.column("id").take(pa.array(met)), "n": pa.array(counts[met])})
 
-    return count
+    return match
 
 
-def _phrase_counts(rows: DataFrame, candidates: DataFrame, per_trie: int) -> DataFrame:
-    """(d, f): occurrences of every candidate (id, g, d), by a broadcast trie for each share of them."""
-    context, shares = rows.sparkSession.sparkContext, max(1, -(-candidates.count() // per_trie))
-    counted = None
-    for share in range(shares):
-        mine = candidates.where(F.pmod("g", F.lit(shares)) == share).select("id", "d").toArrow()
-        if not len(mine):
-            continue
-        found = mine["d"].combine_chunks()
-        trie = build_trie(found.flatten().to_numpy().view(np.uint64), np.diff(found.offsets.to_numpy()))
-        part = rows.mapInArrow(_counter(context.broadcast((trie, mine["id"].to_numpy()))), "id long, n long")
-        counted = part if counted is None else counted.unionByName(part)
-    empty = rows.sparkSession.createDataFrame([], "id long, n long")
-    summed = (empty if counted is None else counted).groupBy("id").agg(F.sum("n").alias("f"))
-    return candidates.select("id", "d").join(summed, "id").select("d", "f")
+def _phrase_counts(rows: DataFrame, candidates: DataFrame, per_trie: int, longest: int, filters) -> DataFrame:  # noqa: ANN001
+    """(d, f): occurrences of every candidate (id, g, d). A trie holds the candidates whose first two words fall to its share, and
+    the words at all text positions go where their first two fall."""
+    shares = max(1, -(-candidates.count() // per_trie))
+    share = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(shares)).cast("int").alias("share")
+    windows = rows.mapInArrow(_windows(longest, filters), "size int, n long, " + ", ".join(f"w{k} long" for k in range(longest)))
+    phrases = candidates.select(share(F.col("d")[0], F.col("d")[1]), "id", "d").repartition(shares, "share")
+    sent = windows.select(share(F.col("w0"), F.col("w1")), "*").repartition(shares, "share")
+    counted = phrases.groupBy("share").cogroup(sent.groupBy("share")).applyInArrow(_matched(longest), "id long, n long")
+    return candidates.select("id", "d").join(counted.withColumnRenamed("n", "f"), "id").select("d", "f")
 
 
 def collocations(
@@ -325,10 +343,12 @@ def collocations(
     empty table gives an empty result. Words are known by 64-bit digests of word and language.
 
     Every level reads the texts once and exchanges only phrases whose parts pass a filter of fixed size. Tries hold about
-    per_trie phrases, so a task's memory is bounded; their number, and with it the readings of the texts, grows with the
-    candidates and not with the texts. The tables made on the way are deleted when the result has been written.
+    per_trie phrases, so a task's memory is bounded; their number grows with the candidates, the readings of the texts do not:
+    one reading sends each position's words to the one trie that can hold them. The tables made on the way are deleted when
+    the result has been written.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
     words = scratch.written(rows.mapInArrow(_words, "lang string, word string, d long, n long").groupBy("lang", "word").agg(F.first("d").alias("d"), F.sum("n").alias("f")))
     frequent = words.where(F.col("f") >= least)
@@ -339,10 +359,11 @@ def collocations(
         bits = _digest_filter(levels[-1], "g")
         filters[n] = bits, _marked_filter(levels[-1])
     # far more phrases are counted than turn out frequent, so they are counted by digest and only the frequent ones are named
-    named = rows.mapInArrow(_names(spark.sparkContext.broadcast(filters)), "g long, d array<bigint>").distinct()
+    sent = spark.sparkContext.broadcast(filters)
+    named = rows.mapInArrow(_names(sent), "g long, d array<bigint>").distinct()
     candidates = named.join(reduce(DataFrame.unionByName, levels).select("g"), "g", "left_semi")
     candidates = scratch.written(candidates.withColumn("id", F.monotonically_increasing_id()))
-    counted = scratch.written(_phrase_counts(rows, candidates, per_trie).where(F.col("f") >= least))
+    counted = scratch.written(_phrase_counts(rows, candidates, per_trie, longest, sent).where(F.col("f") >= least))
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     out = scratch.written(_scored(counted, frequent, totals, best))
     scratch.paths.pop()

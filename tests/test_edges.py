@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scores import top_k
 from quarry.functions.vectors import similarity
+from quarry.llm import phrases
 from quarry.operators import dense, evaluation, hyperplanes, lexical, nearest
 from quarry.plans import dense as vectors
 from quarry.plans import files, training
@@ -156,3 +157,12 @@ def test_ties_at_the_reach_are_kept_up_to_k(spark, monkeypatch):
         last = whole.where("rank <= 10").groupBy("alpha", "qid").agg(F.min("score").alias("last"))
         want = whole.join(last, ["alpha", "qid"]).where("score >= last").select("alpha", "qid", "docid", "score", "rank")
         assert rows(lexical.retrieve_reaching(terms, index, 10, k, ("alpha", "qid")).select(*want.columns)) == rows(want) and want.count() > 1
+
+
+def test_texts_are_read_once_however_many_tries(spark, monkeypatch):
+    docs = spark.createDataFrame([(" ".join(f"w{(i * j) % 7}" for j in range(1, 30)) + ". end of it", "en" if i % 2 else None) for i in range(60)], "text string, lang string")
+    seen, real = [], phrases._phrase_counts
+    monkeypatch.setattr(phrases, "_phrase_counts", lambda *given: seen.append(real(*given)) or seen[-1])
+    many, one = phrases.collocations(docs, least=3, per_trie=5), phrases.collocations(docs, least=3)
+    assert rows(many) == rows(one) and many.count() > 20
+    assert [df._jdf.queryExecution().analyzed().toString().count("MapInArrow") for df in seen] == [1, 1]
